@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from heddle.llm import bpe, decontaminate, sharding, simhash, substrings, tokenfiles, urlfilter
+from heddle.llm import bpe, decontaminate, quality, sharding, simhash, substrings, tokenfiles, urlfilter
 
 
 def vocabulary(name: str) -> str:
@@ -44,12 +44,16 @@ def op8_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.repeated_bytes(table(spark, sf_dir, "documents"))
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.token_file_digests(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sharding, op3_url_filter, op5_decontamination, op6_bpe, op7_simhash, op8_suffix_array, op10_token_files)
+    f.__name__: f for f in (op1_sharding, op3_url_filter, op5_decontamination, op6_bpe, op7_simhash, op8_suffix_array, op9_quality_rules, op10_token_files)
 }
 
 ORACLE: dict[str, str] = {}
