@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Entries that a worker's cache of encoded chunks may hold, and the longest chunk that it takes.
 CACHE_ENTRIES, CACHE_CHARS = 500_000, 48
@@ -299,12 +300,11 @@ def _ids(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatc
 
 
 def encode(docs: DataFrame, vocabulary: str, *, text: str = "text", ids: str = "ids") -> DataFrame:
-    """``docs`` with an array column ``ids``; an existing column of that name is replaced."""
-    rest = docs.drop(ids) if ids != text else docs
-    named = rest.withColumnRenamed(text, "_text")
-    schema = named.schema.add("_ids", "array<int>")
-    out = named.mapInArrow(lambda it: _ids(it, vocabulary), schema)
-    return out.withColumnsRenamed({"_text": text, "_ids": ids})
+    """``docs`` with an array column ``ids`` at the end; an existing column of that name is replaced."""
+    inner = {c: "_text" if c == text else f"c{k}" for k, c in enumerate(docs.columns)}  # so that no name clashes
+    named = docs.withColumnsRenamed(inner)
+    out = named.mapInArrow(lambda it: _ids(it, vocabulary), T.StructType([*named.schema, T.StructField("_ids", T.ArrayType(T.IntegerType()))]))
+    return out.select(*[F.col(n).alias(c) for c, n in inner.items() if c != ids], F.col("_ids").alias(ids))
 
 
 def _texts(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
@@ -315,7 +315,8 @@ def _texts(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBa
 
 
 def decode(tokens: DataFrame, vocabulary: str, *, ids: str = "ids", text: str = "text") -> DataFrame:
-    """``tokens`` with the decoded text in column ``text``; null id lists give null."""
-    named = tokens.drop(text).withColumnRenamed(ids, "_ids")
-    out = named.mapInArrow(lambda it: _texts(it, vocabulary), named.schema.add("_decoded", "string"))
-    return out.withColumnsRenamed({"_ids": ids, "_decoded": text})
+    """``tokens`` with the decoded text in column ``text`` at the end; null id lists give null."""
+    inner = {c: "_ids" if c == ids else f"c{k}" for k, c in enumerate(tokens.columns)}
+    named = tokens.withColumnsRenamed(inner)
+    out = named.mapInArrow(lambda it: _texts(it, vocabulary), T.StructType([*named.schema, T.StructField("_decoded", T.StringType())]))
+    return out.select(*[F.col(n).alias(c) for c, n in inner.items() if c != text], F.col("_decoded").alias(text))

@@ -224,3 +224,33 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text: str = "text",
         cut = scanned.mapInArrow(_cut, scanned.schema)
         left = cut.where((F.length("_hits") == 0) | F.col("_text").rlike(r"[0-9A-Za-z\x{80}-\x{10FFFF}]"))
     return left.select(*[F.col("_text").alias(text) if c == text else F.col(c) for c in docs.columns])
+
+
+ORACLE = r"""
+WITH item_words AS (
+  SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark WHERE item_id IS NOT NULL
+), item_windows AS (
+  SELECT DISTINCT item, least(10, len(w)) AS n, array_to_string(w[k : k + least(10, len(w)) - 1], ' ') AS gram
+  FROM item_words, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS t(k) WHERE len(w) > 0
+), doc_words AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), sizes AS (SELECT DISTINCT n FROM item_windows),
+doc_windows AS (
+  SELECT doc_id, k, n, array_to_string(w[k : k + n - 1], ' ') AS gram
+  FROM doc_words, sizes, unnest(range(1, len(w) - n + 2)) AS t(k) WHERE len(w) >= n
+), hits AS (
+  SELECT d.doc_id, d.k, d.n, i.item FROM doc_windows d JOIN item_windows i ON d.n = i.n AND d.gram = i.gram
+), covered AS (
+  SELECT doc_id, count(DISTINCT p) AS n_hit FROM hits, unnest(range(k, k + n)) AS t(p) GROUP BY doc_id
+), items AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names
+  FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(c.n_hit, 0) AS n_hit, coalesce(i.n_items, 0) AS n_items,
+  sha256(coalesce(i.names, '')) AS items_sha256, coalesce(c.n_hit, 0) > 0 AS contaminated
+FROM doc_words d LEFT JOIN covered c USING (doc_id) LEFT JOIN items i USING (doc_id)
+"""

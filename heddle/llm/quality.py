@@ -271,4 +271,4 @@ def keep_good(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lang:
     row = F.xxhash64(F.col(key), F.col(text))
     judged = judge(docs, key=key, text=text, lang=lang, source=source, keep={"_row": row})
     lost = judged.where("not kept").select(F.col("_row").alias("_lost")).distinct()
-    return docs.join(lost, row == F.col("_lost"), "left_anti")
+    return docs.join(lost, row == lost["_lost"], "left_anti")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from heddle.llm import bpe, decontaminate, quality, sharding, simhash, substrings, tokenfiles, urlfilter
+from heddle.llm import bpe, chat, decontaminate, extract, quality, sharding, simhash, substrings, tokenfiles, urlfilter
 
 
 def vocabulary(name: str) -> str:
@@ -24,10 +24,18 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(table(spark, sf_dir, "documents"), 24)
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.filter_urls(table(spark, sf_dir, "pages"))
 
 
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rotate(table(spark, sf_dir, "conversations"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -53,7 +61,23 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sharding, op3_url_filter, op5_decontamination, op6_bpe, op7_simhash, op8_suffix_array, op9_quality_rules, op10_token_files)
+    f.__name__: f
+    for f in (
+        op1_sharding,
+        op2_html_extraction,
+        op3_url_filter,
+        op4_chat,
+        op5_decontamination,
+        op6_bpe,
+        op7_simhash,
+        op8_suffix_array,
+        op9_quality_rules,
+        op10_token_files,
+    )
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op3_url_filter": urlfilter.ORACLE,
+    "op4_chat": chat.ORACLE,
+    "op5_decontamination": decontaminate.ORACLE,
+}

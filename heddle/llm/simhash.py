@@ -102,15 +102,10 @@ def chain_fits(differences: np.ndarray, radius: int = RADIUS) -> np.ndarray:
 
 
 def _near(one: np.uint64, others: np.ndarray, radius: int) -> np.ndarray:
-    """Positions of ``others`` that link with ``one``: the chain prunes, the full distance decides."""
+    """Positions of ``others`` that link with ``one``: the chains prune, the full distance decides."""
     differences = others ^ one
-    if len(others) > 64:  # a whole-ring prefix of the chain test costs less than the test itself
-        quick = np.flatnonzero(np.bitwise_count(differences) <= 4 * radius)
-        differences = differences[quick]
-    else:
-        quick = np.arange(len(others))
     passed = np.flatnonzero(chain_fits(differences, radius))
-    return quick[passed[np.bitwise_count(differences[passed]) <= radius]]
+    return passed[np.bitwise_count(differences[passed]) <= radius]
 
 
 def link_stars(fps: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
@@ -131,11 +126,6 @@ def link_stars(fps: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
     return out
 
 
-def link_blocks(a: np.ndarray, b: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
-    """Links that join two blocks of one bucket, as stars of the search over both."""
-    return link_stars(np.concatenate([a, b]), radius)
-
-
 class _Forest:
     """Joins links as they come and gives one link for each fingerprint that is not its group's root."""
 
@@ -255,7 +245,7 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text")
 def keep_one(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one document of each group: the one with the smallest key.
 
-    Rows that share key and text are one document and one of them stays; documents with a null key stay.
+    Rows that share the smallest key all stay; documents with a null key stay.
     """
     groups = near_duplicates(docs, key=key, text=text)
     lost = groups.where(F.col(key) != F.col("component_id")).select(F.col(key).alias("_lost")).distinct()

@@ -157,3 +157,25 @@ def filter_urls(
         lambda it: _judge(it, rules, globs, default, block), f"_k {kind}, host string, path string, rule string, verdict string"
     )
     return judged.withColumnRenamed("_k", key)
+
+
+ORACLE = r"""
+WITH parts AS (
+  SELECT page_id, CASE WHEN strpos(coalesce(url, ''), '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+), canonical AS (
+  SELECT page_id,
+    translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+  FROM parts
+), rules(rule, verdict) AS (
+  VALUES ('com/', 'allow'), ('example.com/en/', 'block'), ('www.example.com/en/', 'allow'), ('net/es/', 'block'), ('net/fr/', 'block')
+), split AS (
+  SELECT rule, verdict, split_part(rule, '/', 1) AS own, substr(rule, length(split_part(rule, '/', 1)) + 1) AS prefix FROM rules
+), fits AS (
+  SELECT c.page_id, s.rule, s.verdict, row_number() OVER (PARTITION BY c.page_id ORDER BY length(s.rule) DESC) AS nth
+  FROM canonical c JOIN split s
+    ON (c.host = s.own OR ends_with(c.host, '.' || s.own)) AND starts_with(c.path, s.prefix)
+)
+SELECT c.page_id, c.host, c.path, f.rule, coalesce(f.verdict, 'allow') AS verdict
+FROM canonical c LEFT JOIN fits f ON f.page_id = c.page_id AND f.nth = 1
+"""
