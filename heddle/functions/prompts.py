@@ -19,8 +19,8 @@ LONG_PROMPT, MANY_BREAKS = 250, 4
 
 def is_complex_prompt(prompt: Column | str) -> Column:
     """Whether a prompt has a demanding word, over 250 characters or 4 line breaks."""
-    p = strip(F.coalesce(col(prompt), F.lit("")))
-    return contains_any(F.lower(p), COMPLEX_MARKS) | (F.length(p) > LONG_PROMPT) | (occurrences(p, "\n") >= MANY_BREAKS)
+    p = F.coalesce(col(prompt), F.lit(""))
+    return contains_any(F.lower(p), COMPLEX_MARKS) | (F.length(strip(p)) > LONG_PROMPT) | (occurrences(p, "\n") >= MANY_BREAKS)
 
 
 def classify_prompt(prompt: Column | str, small: int = 512, large: int = 1024) -> Column:
