@@ -13,9 +13,12 @@ these prefixes. Only what is still in a bucket with others is refined further:
     windows have the same anchor at the same place, so only anchors, one in about 70 bytes, are sorted.
 2.  Consecutive windows with one anchor are a run. Runs sort by the anchor's bucket and then by the identifiers of
     the 200 bytes at the run's both ends. Runs in one bucket consist of repeated windows.
-3.  Where runs share the anchor's bucket but not the run's, their windows are refined one by one to 200 bytes.
+3.  Where runs share the anchor's bucket but not the run's, they are cut into blocks of 8 windows, aligned at the
+    anchor. A block sorts by its core, the 193 bytes that all its windows share, and then by the up to 7 bytes on
+    either side. A core that occurs once settles its block; equal blocks consist of repeated windows.
+4.  Where blocks share a core only, their windows sort by core and side bytes, one by one.
 
-Strings count as equal when two independent 64-bit names agree (anchor and run, or anchor and window).
+Strings count as equal when the 64-bit names of bucket and refined bucket both agree.
 """
 
 from __future__ import annotations
@@ -36,6 +39,9 @@ from heddle.llm.scratch import materialise
 WIDTH, GRAM = 200, 64
 #: Window starts that are named in one go, and text bytes that a task sorts before it sends anything on.
 PIECE, FLUSH = 1 << 20, 12 << 20
+#: Windows in a block and bytes that all of them share.
+BLOCK = 8
+CORE = WIDTH - BLOCK + 1
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _ODD2 = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -138,21 +144,25 @@ def name_of(raw: bytes) -> tuple[int, int]:
     return int(digest[0]), int(digest[1])
 
 
-_FIELDS = ["bucket", "refined", "d1", "d2", "low", "high", "kind"]
-_SCHEMA = "bucket long, refined long, d1 long, d2 long, low long, high long, kind byte"
+_FIELDS = ["bucket", "refined", "d1", "d2", "low", "high", "left", "right", "kind"]
+_SCHEMA = ", ".join(f"{f} long" for f in _FIELDS[:-1]) + ", kind byte"
+_SLIM = "bucket long, refined long, d1 long, d2 long, low long, high long, kind byte"
 
 
-def _rows(bucket, refined, d1, d2, low, high, kind) -> Iterator[pa.RecordBatch]:
-    n = len(low)
-    columns = [np.asarray(c).astype(np.int64, copy=False) if c.dtype != np.uint64 else c.view(np.int64) for c in (bucket, refined, d1, d2, low, high)]
+def _rows(columns: list[np.ndarray], kind) -> Iterator[pa.RecordBatch]:
+    """Rows of ``columns`` (bucket, refined, d1, d2, low, high and perhaps left, right) and their kind."""
+    n = len(columns[4])
+    signed = [c.view(np.int64) if c.dtype == np.uint64 else c.astype(np.int64, copy=False) for c in columns]
     kinds = np.broadcast_to(np.asarray(kind, np.int8), n)
+    names = [*_FIELDS[: len(columns)], "kind"]
     for a in range(0, n, 1 << 16):
         b = a + (1 << 16)
-        yield pa.RecordBatch.from_arrays([*(pa.array(c[a:b]) for c in columns), pa.array(kinds[a:b])], _FIELDS)
+        yield pa.RecordBatch.from_arrays([*(pa.array(c[a:b]) for c in signed), pa.array(kinds[a:b])], names)
 
 
-def _known(d1, d2, low, high) -> Iterator[pa.RecordBatch]:
+def _known(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
     """Windows known to repeat, neighbouring ranges of one text merged; rows are spread by their text."""
+    d1, d2, low, high = columns[2:6]
     if not len(low):
         return
     order = np.lexsort((low, d2, d1))
@@ -161,22 +171,22 @@ def _known(d1, d2, low, high) -> Iterator[pa.RecordBatch]:
     opens[1:] = (d1[1:] != d1[:-1]) | (d2[1:] != d2[:-1]) | (low[1:] > high[:-1] + 1)  # ranges of a text do not nest
     first = np.flatnonzero(opens)
     last = np.concatenate([first[1:], [len(low)]]) - 1
-    yield from _rows(d1[first], low[first], d1[first], d2[first], low[first], high[last], KNOWN)
+    none = [np.zeros(len(first), np.int64)] * (len(columns) - 6)
+    yield from _rows([d1[first], low[first], d1[first], d2[first], low[first], high[last], *none], KNOWN)
 
 
-def _settle(bucket, refined, d1, d2, low, high, weight) -> Iterator[pa.RecordBatch]:
+def _settle(columns: list[np.ndarray], weight: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Sort on (bucket, refined bucket); what repeats here is known here, and one row stands for it elsewhere."""
-    order = np.lexsort((refined, bucket))
-    b, r = bucket[order], refined[order]
+    order = np.lexsort((columns[1], columns[0]))
+    b, r = columns[0][order], columns[1][order]
     opens = np.ones(len(b), bool)
     opens[1:] = (b[1:] != b[:-1]) | (r[1:] != r[:-1])
     first = np.flatnonzero(opens)
-    total = np.add.reduceat(weight[order], first)
-    many = total > 1
+    many = np.add.reduceat(weight[order], first) > 1
     stand = order[first]
-    yield from _rows(bucket[stand], refined[stand], d1[stand], d2[stand], low[stand], high[stand], np.where(many, MANY, ONE))
+    yield from _rows([c[stand] for c in columns], np.where(many, MANY, ONE))
     known = order[np.repeat(many, np.diff(np.concatenate([first, [len(b)]])))]
-    yield from _known(d1[known], d2[known], low[known], high[known])
+    yield from _known([c[known] for c in columns])
 
 
 def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[bytes, int]]:
@@ -212,11 +222,11 @@ def _sort_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found.append((bucket, run, number[part], first + shift, last + shift))
         if found:
             bucket, run, of, low, high = (np.concatenate(c) for c in zip(*found, strict=True))
-            yield from _settle(bucket, run, names[of, 0], names[of, 1], low, high, weights[of])
+            yield from _settle([bucket, run, names[of, 0], names[of, 1], low, high], weights[of])
 
 
 def _compare(batches: Iterator[pa.RecordBatch], want: bool) -> Iterator[pa.RecordBatch]:
-    """Rows sorted on (bucket, refined): what occurs twice is known; runs alone in a shared bucket are wanted.
+    """Rows sorted on (bucket, refined): what occurs twice is known; rows alone in a shared bucket are wanted.
 
     Only the row before and the row after matter, so a bucket of any size passes through in batches.
     """
@@ -224,7 +234,7 @@ def _compare(batches: Iterator[pa.RecordBatch], want: bool) -> Iterator[pa.Recor
 
     def judge(rows: list[np.ndarray], before, after: bool) -> Iterator[pa.RecordBatch]:
         """All ``rows`` if nothing comes after them, else all but the last."""
-        bucket, refined, d1, d2, low, high, kind = rows
+        bucket, refined, kind = rows[0], rows[1], rows[-1]
         n = len(bucket) - after
         b = np.concatenate([[before[0] if before else 0], bucket])
         r = np.concatenate([[before[1] if before else 0], refined])
@@ -234,16 +244,16 @@ def _compare(batches: Iterator[pa.RecordBatch], want: bool) -> Iterator[pa.Recor
         next_bucket, next_same = np.append(same_bucket[1:], False)[:n], np.append(same[1:], False)[:n]
         same_bucket, same = same_bucket[:n], same[:n]
         twice = np.flatnonzero(same | next_same | (kind[:n] == MANY))
-        yield from _known(d1[twice], d2[twice], low[twice], high[twice])
+        yield from _known([c[twice] for c in rows[:-1]])
         if want:
             asked = np.flatnonzero((~same & same_bucket) | (~next_same & next_bucket))
-            yield from _rows(bucket[asked], refined[asked], d1[asked], d2[asked], low[asked], high[asked], WANTED)
+            yield from _rows([c[asked] for c in rows[:-1]], WANTED)
 
     for batch in batches:
-        rows = [batch.column(c).to_numpy(zero_copy_only=False) for c in _FIELDS]
+        rows = [batch.column(c).to_numpy(zero_copy_only=False) for c in batch.schema.names]
         passed = rows[-1] == KNOWN
         if passed.any():
-            yield from _rows(*(c[passed] for c in rows))
+            yield from _rows([c[passed] for c in rows[:-1]], KNOWN)
             rows = [c[~passed] for c in rows]
         if not len(rows[0]):
             continue
@@ -273,15 +283,38 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Refine each wanted run to its windows."""
+def _blocks_of_run(flat: np.ndarray, low: int, high: int, anchor: int) -> list[np.ndarray]:
+    """(core, sides, low, high, left, right) of the blocks of a wanted run, given its anchor's bucket."""
+    own = flat[low : high + WIDTH]
+    bucket = grams64(own)
+    span = high - low
+    at = span + int(np.argmax(bucket[span : span + _SPAN] == np.uint64(anchor & (1 << 64) - 1)))
+    block = np.arange((at - span) // BLOCK, at // BLOCK + 1)
+    start = at - BLOCK * block  # of the cores: the last window of a whole block
+    first, last = np.maximum(start - (BLOCK - 1), 0), np.minimum(start, span)
+    before, after = start - first, BLOCK - 1 - (start - last)  # side bytes that some window of the block has
+    core = refine(refine(bucket[start], bucket[start + 64]), refine(bucket[start + 128], bucket[start + 129]))
+    padded = np.concatenate([np.zeros(BLOCK, np.uint8), own, np.zeros(BLOCK, np.uint8)]).astype(np.uint64)
+    left, right = np.zeros(len(block), np.uint64), np.zeros(len(block), np.uint64)
+    for k in range(BLOCK - 1):
+        shift = np.uint64(8 * k)
+        left |= np.where(k < before, padded[start + BLOCK - 1 - k], np.uint64(0)) << shift
+        right |= np.where(k < after, padded[start + BLOCK + CORE + k], np.uint64(0)) << shift
+    sides = refine(refine(left, right), (before * 16 + after).astype(np.uint64))
+    left |= before.astype(np.uint64) << np.uint64(56)  # so that a window's place in the block is known later
+    core = refine(core, np.full(len(block), np.uint64(anchor & (1 << 64) - 1)) + block.astype(np.uint64))
+    return [core, sides, first + low, last + low, left, right]
+
+
+def _sort_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Cut each wanted run into blocks and name them."""
     unpack, seen = zstandard.ZstdDecompressor(), set()
-    found: list[tuple[np.ndarray, ...]] = []
+    found: list[list[np.ndarray]] = []
     held = 0
 
     def flush():
         columns = [np.concatenate(c) for c in zip(*found, strict=True)]
-        return _settle(*columns, np.ones(len(columns[0]), np.int64))
+        return _settle(columns, np.ones(len(columns[0]), np.int64))
 
     for batch in batches:
         for d1, d2, packed, wanted in zip(*(batch.column(c) for c in ("d1", "d2", "_packed", "_wanted")), strict=True):
@@ -291,13 +324,11 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seen.add(name)
             flat = np.frombuffer(unpack.decompress(packed.as_buffer().to_pybytes()), np.uint8)
             for run in wanted.as_py():
-                low, high = run["low"], run["high"]
-                bucket = grams64(flat[low : high + WIDTH])
-                names = window_names(bucket, np.arange(high - low + 1))
-                n, at = len(names), np.arange(low, high + 1)
-                found.append((np.full(n, run["bucket"], np.int64), names.view(np.int64), np.full(n, name[0]), np.full(n, name[1]), at, at))
+                core, sides, low, high, left, right = _blocks_of_run(flat, run["low"], run["high"], run["bucket"])
+                n = len(core)
+                found.append([core, sides, np.full(n, name[0]), np.full(n, name[1]), low, high, left, right])
                 held += n
-            if held > 1 << 19:
+            if held > 1 << 18:
                 yield from flush()
                 found, held = [], 0
         if len(seen) > 1 << 16:
@@ -306,6 +337,25 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from flush()
 
 
+def _sort_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Name the windows of each wanted block by its core and the window's own side bytes."""
+    for batch in batches:
+        core, _, d1, d2, low, high, left, right = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in _FIELDS[:-1])
+        core, left, right = core.view(np.uint64), left.view(np.uint64), right.view(np.uint64)
+        before = (left >> np.uint64(56)).astype(np.int64)
+        found = []
+        for step in range(BLOCK):
+            at = np.flatnonzero(low + step <= high)
+            ahead = before[at] - step  # bytes of this window before the core
+            mask = lambda n: (np.uint64(1) << (8 * n).astype(np.uint64)) - np.uint64(1)
+            own = refine(left[at] & mask(ahead), right[at] & mask(BLOCK - 1 - ahead))
+            place = refine(core[at], ahead.astype(np.uint64))
+            found.append([place, own, d1[at], d2[at], low[at] + step, low[at] + step])
+        columns = [np.concatenate(c) for c in zip(*found, strict=True)]
+        if len(columns[0]):
+            yield from _settle(columns, np.ones(len(columns[0]), np.int64))
+
+
 def removed(raw_size: int, ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Maximal byte spans covered by windows that start in ``ranges``."""
     spans: list[tuple[int, int]] = []
@@ -360,21 +410,24 @@ def _shorten(batch: pa.RecordBatch, raws: list[bytes], cuts: list) -> pa.RecordB
 
 def _exchange(rows: DataFrame, want: bool) -> DataFrame:
     dealt = rows.repartition("bucket") if want else rows.repartition("bucket", "refined")
-    return dealt.sortWithinPartitions("bucket", "refined").mapInArrow(lambda it: _compare(it, want), _SCHEMA)
+    return dealt.sortWithinPartitions("bucket", "refined").mapInArrow(lambda it: _compare(it, want), rows.schema)
 
 
 def _with_ranges(docs: DataFrame, text: str) -> DataFrame:
     """Other columns of ``docs`` with d1, d2, _packed (the text) and _ranges (window starts that repeat; null: none)."""
     texts = docs.select(F.col(text).alias("_text"))
-    settled = materialise(_exchange(texts.mapInArrow(_sort_runs, _SCHEMA), True), "repeat-runs")
+    runs = materialise(_exchange(texts.mapInArrow(_sort_runs, _SLIM), True), "repeat-runs")
     packed = docs.withColumnRenamed(text, "_text")
     others = packed.drop("_text").schema
     packed = packed.mapInArrow(_pack, others.add("d1", "long").add("d2", "long").add("_packed", "binary"))
 
-    wanted = settled.where(F.col("kind") == WANTED).select("d1", "d2", "low", "high", "bucket").distinct()
+    wanted = runs.where(F.col("kind") == WANTED).select("d1", "d2", "low", "high", "bucket").distinct()
     lists = wanted.groupBy("d1", "d2").agg(F.collect_list(F.struct("low", "high", "bucket")).alias("_wanted"))  # a text's own
-    windows = packed.select("d1", "d2", "_packed").join(lists, ["d1", "d2"]).mapInArrow(_windows, _SCHEMA)
-    ranges = settled.union(_exchange(windows, False)).where(F.col("kind") == KNOWN).select("d1", "d2", "low", "high").distinct()
+    blocks = packed.select("d1", "d2", "_packed").join(lists, ["d1", "d2"]).mapInArrow(_sort_blocks, _SCHEMA)
+    blocks = materialise(_exchange(blocks, True), "repeat-blocks")
+    windows = _exchange(blocks.where(F.col("kind") == WANTED).mapInArrow(_sort_windows, _SLIM), False)
+    known = [x.where(F.col("kind") == KNOWN).select("d1", "d2", "low", "high") for x in (runs, blocks, windows)]
+    ranges = known[0].union(known[1]).union(known[2]).distinct()
     merged = ranges.groupBy("d1", "d2").agg(F.collect_list(F.struct("low", "high")).alias("_ranges"))
     return packed.join(merged, ["d1", "d2"], "left")
 
