@@ -148,11 +148,20 @@ def textbook_quality(content: Column | str, path: Column | str, exact_round: boo
 
 
 def exact_rounded(c: Column, digits: int) -> Column:
-    """Nearest multiple of 10 ** -digits to the double's exact value; ties, which are exact only there, go to even."""
+    """Nearest multiple of 10 ** -digits to the double's exact binary value, as Python rounds.
+
+    Twice the scaled value is kept as a product and its exact rounding error, so its side of the half is
+    known without doubt.
+    """
     scale = 10**digits
+    spread = c * 134217729.0
+    high = spread - (spread - c)
+    product = c * (2.0 * scale)
+    error = (high * (2.0 * scale) - product) + (c - high) * (2.0 * scale)
     down = F.floor(c * scale)
-    lower, upper = down / scale, (down + 1) / scale
-    return F.when(c - lower < upper - c, lower).when(upper - c < c - lower, upper).otherwise(F.when(down % 2 == 0, lower).otherwise(upper))
+    side = (product - (down * 2 + 1)) + error
+    up = (side > 0) | ((side == 0) & (down % 2 != 0))
+    return F.when(up, down + 1).otherwise(down) / scale
 
 
 def content_hash(content: Column | str) -> Column:
