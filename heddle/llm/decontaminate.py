@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heddle.llm.scratch import materialise
+from heddle.llm.columns import quoted
 
 #: Words in a window.
 NGRAM = 10
@@ -118,7 +118,7 @@ def _scan(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]
 
 def scan_documents(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", keep: list[str], item_key: str = "item_id",
                    item_text: str = "text", ngram: int = NGRAM, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Columns ``keep`` of ``docs`` with _text, _hits (bit per word), _items (sorted names) and _n_words.
+    """Columns ``keep`` of ``docs``, named k0, k1 and so on, with _text, _hits (bit per word), _items (sorted names) and _n_words.
 
     The benchmark's text is measured first. Up to ``block_bytes`` it is broadcast as one set; beyond that
     it is split by a hash of the item's key into as many blocks as its size asks for, each broadcast in
@@ -132,8 +132,8 @@ def scan_documents(docs: DataFrame, benchmark: DataFrame, *, text: str = "text",
     blocks = max(1, -(-size // block_bytes))
     kinds = ", ".join(f"{f'k{i}'} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep))
     out = docs.select(
-        *[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)],
-        F.col(text).alias("_text"),
+        *[quoted(c).alias(f"k{i}") for i, c in enumerate(keep)],
+        quoted(text).alias("_text"),
         F.lit(b"").alias("_hits"),
         F.array().cast("array<string>").alias("_items"),
         F.lit(0).cast("long").alias("_n_words"),
@@ -144,7 +144,7 @@ def scan_documents(docs: DataFrame, benchmark: DataFrame, *, text: str = "text",
         rows = [(r["name"], r["text"]) for r in part.collect()]  # about block_bytes, measured above
         shared = spark.sparkContext.broadcast(GramSet(rows, ngram))
         out = out.mapInArrow(lambda it, shared=shared: _scan(it, shared), schema)
-    return out.withColumnsRenamed({f"k{i}": c for i, c in enumerate(keep)})
+    return out
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,7 +153,7 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n_hit = [int(np.unpackbits(np.frombuffer(h, np.uint8)).sum()) if h else 0 for h in hits]
         yield pa.RecordBatch.from_arrays(
             [
-                batch.column("doc_id"),
+                batch.column("k0"),
                 batch.column("_n_words"),
                 pa.array(n_hit, pa.int64()),
                 pa.array([len(x) for x in items], pa.int64()),
@@ -223,7 +223,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text: str = "text",
     else:
         cut = scanned.mapInArrow(_cut, scanned.schema)
         left = cut.where((F.length("_hits") == 0) | F.col("_text").rlike(r"[0-9A-Za-z\x{80}-\x{10FFFF}]"))
-    return left.select(*[F.col("_text").alias(text) if c == text else F.col(c) for c in docs.columns])
+    inner = {c: f"k{i}" for i, c in enumerate(keep)} | {text: "_text"}
+    return left.select(*[F.col(inner[c]).alias(c) for c in docs.columns])
 
 
 ORACLE = r"""

@@ -33,6 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from heddle.llm.columns import renamed
 from heddle.llm.scratch import materialise
 
 #: Bytes of a repeated string, and of an anchor's bucket.
@@ -457,7 +458,7 @@ def remove_repeats(docs: DataFrame, *, text: str = "text") -> DataFrame:
     empty text, and null texts stay null.
     """
     names = {c: f"c{k}" for k, c in enumerate(docs.columns)}  # so that no column clashes with those used here
-    inner = docs.withColumnsRenamed(names).withColumn("_null", F.col(names[text]).isNull())
+    inner = renamed(docs, names).withColumn("_null", F.col(names[text]).isNull())
     schema = inner.drop(names[text]).schema.add("_text", "string").add("_cut", "boolean")
     out = _with_ranges(inner, names[text]).mapInArrow(lambda it: _apply(it, _shorten), schema)
     out = out.withColumn(names[text], F.when(~F.col("_null"), F.col("_text")))
