@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from heddle.llm.scratch import new_path
 
 #: Words that a worker's cache may hold, and the longest of them in bytes.
-CACHE_WORDS, CACHE_BYTES = 500_000, 48
+CACHE_WORDS, CACHE_BYTES = 600_000, 48
 
 #: Writer settings. Ids are unordered and nearly uniform in width, so they are delta-binary packed instead of
 #: dictionary coded; the small metadata columns come first and have pages of their own, so both can be read alone.
@@ -32,11 +33,16 @@ LAYOUT = {
 }
 
 
+# Kinds of bytes: ASCII letters and digits, ASCII marks, all else.
+_ALNUM, _MARK = 1, 2
+_KINDS = np.array([_ALNUM if chr(b).isascii() and chr(b).isalnum() else _MARK if 32 < b < 127 else 0 for b in range(256)], np.uint8)
+
+
 class WordEncoder:
     """The library's ids by white-space word: such words encode alone as they do inside a text.
 
     The vocabulary's normaliser and splitter treat runs of white space as gaps without ids, so a text's ids are its
-    words' ids in order. Only ASCII white space is split at; all else inside a word is left to the library.
+    words' ids in order. Only ASCII white space and marks are split at; all else inside a word is left to the library.
     """
 
     def __init__(self, path: str):
@@ -46,23 +52,55 @@ class WordEncoder:
         self.library.no_truncation()
         self.library.no_padding()
         self.cache: dict[bytes, bytes] = {}
-        if self._ids([b"a b", b"a\tb\r\nb"]) != [self._join(b"ab"), self._join(b"abb")]:
+        vocabulary = self.library.get_vocab()
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a piece of a word
+        self.closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.folds = self._each([b"Ab"]) == self._each([b"ab"])
+        if self._each([b"a b", b"a\tb\r\nb"]) != [b"".join(self._each([b"a", b"b"])), b"".join(self._each([b"a", b"b", b"b"]))]:
             raise ValueError("this vocabulary gives ids to white space")
 
-    def _ids(self, words: list[bytes]) -> list[bytes]:
+    def _each(self, words: list[bytes]) -> list[bytes]:
         texts = [w.decode("utf-8", "surrogatepass") for w in words]
-        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _join(self, letters: bytes) -> bytes:
-        return b"".join(self._ids([bytes([c]) for c in letters]))
+        return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _alone(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of distinct words. Words of letters only are one piece each, so many go through the library as one text."""
+        known: dict[bytes, bytes] = {}
+        letters = [w for w in words if w.decode("utf-8", "surrogatepass").isalpha()]
+        for low in range(0, len(letters), 4096):
+            some = letters[low : low + 4096]
+            text = b" ".join(some).decode("utf-8", "surrogatepass")
+            ids = np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(self.closes[ids]) + 1
+            if len(ends) == len(some):  # each word has a last piece, so each has just one
+                raw, cuts = ids.tobytes(), [0, *(ends * 4).tolist()]
+                known.update(zip(some, (raw[i:j] for i, j in zip(cuts, cuts[1:], strict=False)), strict=True))
+        rest = [w for w in words if w not in known]
+        known.update(zip(rest, self._each(rest), strict=True))
+        return known
+
+    def _words(self, text: str) -> list[bytes]:
+        """The words of a text, their ASCII marks cut off after a letter or digit, where the vocabulary always splits.
+
+        Without combining marks ASCII capitals may be folded first. A text with what may be an added token is only
+        split at white space.
+        """
+        raw = text.encode("utf-8", "surrogatepass")
+        if b"<|" in raw:
+            return raw.split()
+        if self.folds and b"\xcc" not in raw and b"\xcd" not in raw:  # first bytes of the combining marks
+            raw = raw.lower()
+        kind = _KINDS[np.frombuffer(raw, np.uint8)]
+        cuts = np.flatnonzero((kind[:-1] == _ALNUM) & (kind[1:] == _MARK)) + 1
+        if len(cuts):
+            raw = np.insert(np.frombuffer(raw, np.uint8), cuts, 32).tobytes()
+        return raw.split()
 
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
         cache = self.cache
-        split = [t.encode("utf-8", "surrogatepass").split() if t else [] for t in texts]
-        new = list(set().union(*split).difference(cache))
-        for low in range(0, len(new), 1 << 14):
-            some = new[low : low + (1 << 14)]
-            cache.update(zip(some, self._ids(some), strict=True))
+        split = [self._words(t) if t else [] for t in texts]
+        new = set().union(*split).difference(cache)
+        cache.update(self._alone(list(new)))
         out = [b"".join(map(cache.__getitem__, words)) for words in split]
         if len(cache) > CACHE_WORDS:
             cache.clear()
@@ -82,7 +120,7 @@ def word_encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
-def _encode(batches: Iterator[pa.RecordBatch], path: str, end_id: int, rows: int = 512) -> Iterator[pa.RecordBatch]:
+def _encode(batches: Iterator[pa.RecordBatch], path: str, end_id: int, rows: int = 1024) -> Iterator[pa.RecordBatch]:
     """One partition in order: ids with the end id, and how many ids of the partition come before them."""
     own, end, before = word_encoder(path), np.array([end_id], "<u4").tobytes(), 0
     for batch in batches:
