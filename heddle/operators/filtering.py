@@ -43,8 +43,9 @@ def with_reasons(
 
     Tests run in the order of REASONS; the score is tested only when ``min_score`` is over 0. Dedup comes
     last: of the rows that pass everything else, the first of each hash in ``order`` is accepted, unless an
-    earlier run (``seen``, a table of hashes) has it. The hash is what is shuffled for it, not the text of
-    other tests; a hash with very many rows is ranked by Spark's window, which spills.
+    earlier run (``seen``, a table of hashes) has it. One exchange by hash ranks the copies; columns that the
+    caller does not use, such as the text when only reasons are counted, are pruned below it. A hash with very
+    many rows is ranked by Spark's window, which spills.
     """
     early = (
         F.when(F.col(malformed) if malformed else F.lit(False), F.lit("malformed"))

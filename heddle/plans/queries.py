@@ -402,10 +402,11 @@ def validate_db_call(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", parsers.validate_db_call("p").alias("x")).select("id", "x.valid", "x.dialect", "x.operation", "x.table", "x.error")
 
 
-@query()
+@query(f"""SELECT c.i AS "copy", k AS example, true AS valid, json_extract_string(call, '$.dialect') AS dialect, json_extract_string(call, '$.operation') AS operation,
+  json_extract_string(call, '$.table') AS "table", CAST(NULL AS VARCHAR) AS error FROM range(2) c(i), {_values(_DB_ROWS, 'k, dialect, prompt, reasoning, call, stmt')} t""")
 def parse_db_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = synth.db_call_examples(spark, 2).select("copy", "example", F.explode(parsers.parse_db_calls("content")).alias("x"))
-    return found.select("copy", "example", "x.*")
+    return found.select("copy", "example", "x.valid", "x.dialect", "x.operation", "x.table", "x.error")
 
 
 def _tag_sql(name: str) -> str:
