@@ -77,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE: dict[str, str] = {
+    "op1_sharding": sharding.ORACLE,
     "op3_url_filter": urlfilter.ORACLE,
     "op4_chat": chat.ORACLE,
     "op5_decontamination": decontaminate.ORACLE,

@@ -74,3 +74,26 @@ def shard_by_bytes(docs: DataFrame, n_shards: int = 24, *, key: str = "doc_id",
         (F.col("_at") - F.col("_first")).alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+# The checksum is folded byte by byte over a table that is made by the polynomial's rule.
+ORACLE = """
+WITH tab AS (
+  SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384::BIGINT, c >> 1) ELSE c >> 1 END, n) ORDER BY n) AS t
+  FROM range(256) r(n)
+), bytes AS (
+  SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 8 AS size,
+    list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: CAST('0x' || x AS BIGINT)) AS b
+  FROM documents
+), sized AS (
+  SELECT doc_id, size, xor(list_reduce(b, lambda c, x: xor(t[(xor(c, x) & 255) + 1], c >> 8), 4294967295::BIGINT), 4294967295::BIGINT) AS text_crc32
+  FROM bytes, tab
+), placed AS (
+  SELECT *, sum(size) OVER (ORDER BY doc_id NULLS FIRST, size, text_crc32 ROWS UNBOUNDED PRECEDING) AS upto, sum(size) OVER () AS total FROM sized
+), dealt AS (
+  SELECT *, least(23, CAST((2 * upto - size) * 24 AS BIGINT) // CAST(2 * total AS BIGINT)) AS shard FROM placed
+)
+SELECT doc_id, CAST(size AS BIGINT) AS size, text_crc32, 'bytes' AS law, CAST(shard AS INTEGER) AS shard,
+  row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, size, text_crc32) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard
+FROM dealt
+"""
