@@ -35,11 +35,8 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text, and whether decoding them gives the text again."""
-    path = vocabulary(VOCABULARY)
-    encoded = bpe.encode(docs.select("doc_id", "lang", "source", "text"), path, ids="ids")
-    decoded = bpe.decode(encoded.withColumnRenamed("text", "original"), path, ids="ids", text="decoded")
-    exact = F.col("decoded") == F.coalesce("original", F.lit(""))
-    return decoded.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), exact.alias("exact"))
+    encoded = bpe.encode(docs.select("doc_id", "lang", "source", "text"), vocabulary(VOCABULARY), exact="exact")
+    return encoded.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), "exact")
 
 
 STAGES = [

@@ -7,7 +7,7 @@ import heapq
 import json
 import re
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from itertools import islice
 
 import numpy as np
@@ -16,8 +16,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Entries that a worker's cache of encoded chunks may hold, and the longest chunk that it takes.
-CACHE_ENTRIES, CACHE_CHARS = 500_000, 48
+from heddle.llm.columns import renamed
+
+#: Entries that a worker's caches of chunks, of texts' first chunks and of pre-tokens may hold, and the longest entry.
+CACHE_SPACED, CACHE_OPENING, CACHE_PIECES, CACHE_CHARS = 250_000, 20_000, 150_000, 48
 #: Longest fragment that is merged in the batched form; longer ones are merged one by one with a heap.
 BATCHED_BYTES = 40
 
@@ -40,8 +42,6 @@ class Codec:
     """A byte-level BPE vocabulary as tables."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -50,7 +50,7 @@ class Codec:
         letters = byte_letters()
         byte_of = {c: b for b, c in enumerate(letters)}
         vocab = model["vocab"]
-        self.library = Tokenizer.from_file(path)
+        self.path = path
         self.specials = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.bytes_of: dict[int, bytes] = {i: bytes(byte_of[c] for c in t) for t, i in vocab.items() if t not in self.specials}
         self.bytes_of |= {i: t.encode() for t, i in self.specials.items()}
@@ -73,6 +73,18 @@ class Codec:
         self.spaced: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
+    @cached_property
+    def library(self):
+        """The library's tokenizer, for the few texts that it has to split."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
+    def forget(self) -> None:
+        """Empty the caches; an idle worker then holds little more than its tables."""
+        for cache in (self.opening, self.spaced, self.pieces):
+            cache.clear()
+
     def _index(self) -> None:
         """Rank of a pair of ids as a few gathers: slots hashed by the pair, what collides goes to the next table."""
         self.tables = []
@@ -80,19 +92,20 @@ class Codec:
         ranks = np.array(list(self.ranks.values()), np.int64)
         factor = np.uint64(0x9E3779B97F4A7C15)
         while len(keys):
-            slot = (keys * factor) >> np.uint64(44)
+            bits = max(8, (len(keys) * 16).bit_length())
+            slot = (keys * factor) >> np.uint64(64 - bits)
             _, firsts = np.unique(slot, return_index=True)
-            held, value = np.full(1 << 20, np.iinfo(np.uint64).max), np.zeros(1 << 20, np.int64)
+            held, value = np.full(1 << bits, np.iinfo(np.uint64).max), np.zeros(1 << bits, np.int32)
             held[slot[firsts]], value[slot[firsts]] = keys[firsts], ranks[firsts]
-            self.tables.append((factor, held, value))
+            self.tables.append((factor, np.uint64(64 - bits), held, value))
             keys, ranks = np.delete(keys, firsts), np.delete(ranks, firsts)
             factor = np.uint64((int(factor) * 3 | 1) & (1 << 64) - 1)
 
     def _rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         keys = (a.astype(np.uint64) << np.uint64(32)) | b.astype(np.uint64)
         out = np.full(keys.shape, np.iinfo(np.int64).max)
-        for factor, held, value in self.tables:
-            slot = (keys * factor) >> np.uint64(44)
+        for factor, shift, held, value in self.tables:
+            slot = (keys * factor) >> shift
             hit = held[slot] == keys
             out[hit] = value[slot[hit]]
         return out
@@ -182,7 +195,7 @@ class Codec:
         new = set().union(*split).difference(known)
         known.update(self._encode_pieces(new))
         out = [b"".join(map(known.__getitem__, pieces)) for pieces in split]
-        _trim(known, new)
+        _trim(known, new, CACHE_PIECES)
         return out
 
     def _split(self, part: str) -> list[str]:
@@ -217,8 +230,8 @@ class Codec:
         later = self._learn(spaced, " ", set().union(*(c[1:] for _, _, c in chunked)))
         for k, at, chunks in chunked:
             out[k][at] = opening[chunks[0]] + b"".join(map(spaced.__getitem__, chunks[1:]))
-        _trim(opening, first)
-        _trim(spaced, later)
+        _trim(opening, first, CACHE_OPENING)
+        _trim(spaced, later, CACHE_SPACED)
         return [b"".join(x) for x in out]
 
     def decode(self, ids: bytes) -> str:
@@ -226,9 +239,9 @@ class Codec:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
 
 
-def _trim(cache: dict[str, bytes], new: set[str]) -> None:
+def _trim(cache: dict[str, bytes], new: set[str], most: int) -> None:
     """Keep a cache small: long entries go at once, all entries when there are too many."""
-    if len(cache) > CACHE_ENTRIES:
+    if len(cache) > most:
         cache.clear()
     else:
         for entry in new:
@@ -270,6 +283,7 @@ def _digest(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordB
             ],
             ["_k", "n_tokens", "ids_sha256", "decoded_sha256"],
         )
+    own.forget()
 
 
 def token_digests(docs: DataFrame, vocabulary: str, *, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -289,22 +303,32 @@ def token_digests(docs: DataFrame, vocabulary: str, *, key: str = "doc_id", text
     return out.withColumnRenamed("_k", key)
 
 
-def _ids(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+def _ids(batches: Iterator[pa.RecordBatch], path: str, check: bool) -> Iterator[pa.RecordBatch]:
     own = codec(path)
     for batch in _slices(batches):
-        encoded = own.encode_batch([t or "" for t in batch.column("_text").to_pylist()])
+        texts = [t or "" for t in batch.column("_text").to_pylist()]
+        encoded = own.encode_batch(texts)
         offsets = np.concatenate([[0], np.cumsum([len(ids) // 4 for ids in encoded])]).astype(np.int32)
         flat = np.frombuffer(b"".join(encoded), "<i4")
-        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
-        yield batch.append_column("_ids", lists)
+        out = batch.append_column("_ids", pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)))
+        if check:
+            same = [own.decode(ids) == t for ids, t in zip(encoded, texts, strict=True)]
+            out = out.append_column("_exact", pa.array(same, pa.bool_()))
+        yield out
+    own.forget()
 
 
-def encode(docs: DataFrame, vocabulary: str, *, text: str = "text", ids: str = "ids") -> DataFrame:
-    """``docs`` with an array column ``ids`` at the end; an existing column of that name is replaced."""
+def encode(docs: DataFrame, vocabulary: str, *, text: str = "text", ids: str = "ids", exact: str | None = None) -> DataFrame:
+    """``docs`` with an array column ``ids`` at the end; existing columns of that name are replaced.
+
+    With ``exact`` the ids are decoded again in the same pass, and that column says whether they give the text.
+    """
     inner = {c: "_text" if c == text else f"c{k}" for k, c in enumerate(docs.columns)}  # so that no name clashes
-    named = docs.withColumnsRenamed(inner)
-    out = named.mapInArrow(lambda it: _ids(it, vocabulary), T.StructType([*named.schema, T.StructField("_ids", T.ArrayType(T.IntegerType()))]))
-    return out.select(*[F.col(n).alias(c) for c, n in inner.items() if c != ids], F.col("_ids").alias(ids))
+    named = renamed(docs, inner)
+    made = [T.StructField("_ids", T.ArrayType(T.IntegerType()))] + ([T.StructField("_exact", T.BooleanType())] if exact else [])
+    out = named.mapInArrow(lambda it: _ids(it, vocabulary, exact is not None), T.StructType([*named.schema, *made]))
+    added = [F.col("_ids").alias(ids)] + ([F.col("_exact").alias(exact)] if exact else [])
+    return out.select(*[F.col(n).alias(c) for c, n in inner.items() if c not in (ids, exact)], *added)
 
 
 def _texts(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
@@ -317,6 +341,6 @@ def _texts(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBa
 def decode(tokens: DataFrame, vocabulary: str, *, ids: str = "ids", text: str = "text") -> DataFrame:
     """``tokens`` with the decoded text in column ``text`` at the end; null id lists give null."""
     inner = {c: "_ids" if c == ids else f"c{k}" for k, c in enumerate(tokens.columns)}
-    named = tokens.withColumnsRenamed(inner)
+    named = renamed(tokens, inner)
     out = named.mapInArrow(lambda it: _texts(it, vocabulary), T.StructType([*named.schema, T.StructField("_decoded", T.StringType())]))
     return out.select(*[F.col(n).alias(c) for c, n in inner.items() if c != text], F.col("_decoded").alias(text))
