@@ -1,0 +1,165 @@
+"""Near copies by the resemblance of word shingles: MinHash bands propose, the shingle sets decide."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from heddle.llm.columns import quoted
+from heddle.llm.graph import connected_components
+from heddle.llm.scratch import materialise
+from heddle.llm.simhash import _Forest, _runs
+
+#: Words in a shingle, seed of its hash, and the least similarity that links, as a fraction.
+SHINGLE, SEED, SIMILARITY = 5, 42, (4, 5)
+#: MinHash bands and values in each: a pair at 0.8 shares no band with a chance of (1 - 0.8 ** 4) ** 32 = 5e-8.
+BANDS, ROWS = 32, 4
+#: Sets of one bucket that are compared in one go; larger buckets are split into pairs of blocks.
+BLOCK = 1024
+
+_random = np.random.default_rng(SEED)
+_FLIPS = _random.integers(0, 1 << 64, BANDS * ROWS, np.uint64)
+_FACTORS = _random.integers(0, 1 << 64, BANDS * ROWS, np.uint64) | np.uint64(1)
+_MIX = _random.integers(0, 1 << 64, ROWS, np.uint64) | np.uint64(1)
+
+
+def shingles(text: str | None) -> np.ndarray:
+    """Sorted distinct hashes of the word shingles; a shorter text is one shingle, a text without words none."""
+    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []  # bytes: ASCII case and white space
+    if not words:
+        return np.array([], np.uint64)
+    joined = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    width = min(SHINGLE, len(words))
+    spans = zip(starts[: len(words) - width + 1].tolist(), ends[width - 1 :].tolist(), strict=True)
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((digest(joined[a:b], SEED) for a, b in spans), np.uint64))
+
+
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """One key a band, of the least values of ROWS hash functions over the set."""
+    if not len(hashes):
+        return np.array([], np.uint64)
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for low in range(0, len(hashes), 1024):
+        mixed = (hashes[low : low + 1024, None] ^ _FLIPS) * _FACTORS
+        least = np.minimum(least, (mixed ^ (mixed >> np.uint64(32))).min(0))
+    keys = np.arange(BANDS, dtype=np.uint64)
+    for k, values in enumerate(least.reshape(BANDS, ROWS).T):
+        keys = (keys ^ values) * _MIX[k]
+        keys ^= keys >> np.uint64(29)
+    return keys
+
+
+def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets, keys = [], []
+        for t in batch.column("_text"):
+            found = shingles(t.as_py())
+            sets.append(xxhash.xxh64_intdigest(found.tobytes(), SEED))
+            keys.append(band_keys(found).view(np.int64))
+        names = pa.array(np.array(sets, np.uint64).view(np.int64))
+        yield pa.RecordBatch.from_arrays([batch.column("_tag"), names, pa.array(keys, pa.list_(pa.int64()))], ["_tag", "_set", "_keys"])
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        raw = [shingles(t.as_py()).tobytes() for t in batch.column("_text")]
+        yield pa.RecordBatch.from_arrays([batch.column("_set"), pa.array(raw, pa.binary())], ["_set", "_hashes"])
+
+
+def similar(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """Whether each of ``others`` has at least SIMILARITY of its union with ``one`` in common."""
+    over, under = SIMILARITY
+    sizes = np.fromiter(map(len, others), np.int64, len(others))
+    near = np.flatnonzero(np.minimum(sizes, len(one)) * under >= np.maximum(sizes, len(one)) * over)
+    out = np.zeros(len(others), bool)
+    if len(near):
+        flat = np.concatenate([others[k] for k in near])
+        hit = one[np.minimum(np.searchsorted(one, flat), len(one) - 1)] == flat
+        common = np.add.reduceat(hit.astype(np.int64), np.cumsum(sizes[near]) - sizes[near])
+        out[near] = common * (over + under) >= over * (sizes[near] + len(one))
+    return out
+
+
+def link_sets(names: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """(name, root) for each linked set of a bucket but the roots: a breadth-first search, each set reached once."""
+    left, out = list(range(len(names))), []
+    while len(left) > 1:
+        root, queue, left = left[0], [left[0]], left[1:]
+        while queue and left:
+            found = similar(sets[queue.pop()], [sets[k] for k in left])
+            reached = [k for k, f in zip(left, found, strict=True) if f]
+            out += [(int(names[k]), int(names[root])) for k in reached]
+            queue += reached
+            left = [k for k, f in zip(left, found, strict=True) if not f]
+    return out
+
+
+def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    forest = _Forest()
+    for keys, parts, names, raw in _runs(batches, ["_key", "_part", "_set", "_hashes"], 2):
+        edge = np.flatnonzero((np.diff(keys) != 0) | (np.diff(parts) != 0)) + 1
+        bounds = np.concatenate([[0], edge, [len(keys)]])
+        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+            for x, y in link_sets(names[a:b], [np.frombuffer(r, np.uint64) for r in raw[a:b]]):
+                forest.add(x, y)
+    links = np.array(forest.links(), np.int64).reshape(-1, 2)
+    for low in range(0, len(links), 1 << 16):
+        part = links[low : low + (1 << 16)]
+        yield pa.RecordBatch.from_arrays([pa.array(part[:, 0].copy()), pa.array(part[:, 1].copy())], ["a", "b"])
+
+
+def _members(bands: DataFrame, block: int) -> DataFrame:
+    """(_key, _part, _set): the buckets to search. Of buckets with the same sets one is enough."""
+    sizes = bands.groupBy("_key").agg(F.count("*").alias("_n"), F.bit_xor(F.xxhash64("_set")).alias("_same")).where("_n > 1")
+    chosen = materialise(sizes.groupBy("_n", "_same").agg(F.min("_key").alias("_key")), "resemblance-buckets")
+    width = F.ceil(F.col("_n") / block)
+    own = F.pmod(F.xxhash64("_set"), width)
+    # Block x of n meets every block: the pairs (x, y) in which it lies, named by the smaller and the larger.
+    pair = F.transform(F.sequence(F.lit(0).cast("long"), width - 1), lambda y: F.least(own, y) * width + F.greatest(own, y))
+    return bands.join(chosen, "_key").select("_key", F.explode(pair).alias("_part"), "_set")
+
+
+def links(docs: DataFrame, prints: DataFrame, *, text: str, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) that join the shingle sets (_set) of ``prints`` into their groups.
+
+    A set goes to one bucket a band; only sets that meet another there are made again from the text and
+    compared in full. Buckets of more than ``block`` sets are split by a hash into blocks, and each pair
+    of blocks is searched on its own.
+    """
+    first = materialise(prints.groupBy("_set").agg(F.min("_tag").alias("_tag")), "resemblance-sets")
+    one = prints.join(first.select("_tag"), "_tag", "left_semi")
+    bands = materialise(one.select("_set", F.explode("_keys").alias("_key")), "resemblance-bands")
+    members = materialise(_members(bands, block), "resemblance-members")
+    wanted = members.select("_set").distinct().join(first, "_set")
+    narrow = docs.select("_tag", quoted(text).alias("_text")).join(wanted, "_tag").select("_set", "_text")
+    sets = materialise(narrow.mapInArrow(_sets, "_set long, _hashes binary"), "resemblance-hashes")
+    grouped = members.join(sets, "_set").repartition("_key", "_part").sortWithinPartitions("_key", "_part")
+    return grouped.select("_key", "_part", "_set", "_hashes").mapInArrow(_link, "a long, b long")
+
+
+def keep_one(docs: DataFrame, *, key: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
+    """``docs`` with exactly one row of each group of near copies: the one with the smallest key.
+
+    Texts link when their sets of SHINGLE-word shingles have a Jaccard similarity of SIMILARITY or more; a
+    group is everything reachable. Links are checked on the sets of 64-bit shingle hashes, so none is wrong;
+    a pair is missed only if it shares no band. Texts without words are one group. Null keys come last, and
+    rows that tie on the key are told apart by their position, so repeated rows leave one row as well.
+    """
+    tagged = materialise(docs.withColumn("_tag", F.monotonically_increasing_id()), "resemblance-rows")
+    narrow = tagged.select("_tag", quoted(text).alias("_text"))
+    prints = materialise(narrow.mapInArrow(_sketches, "_tag long, _set long, _keys array<long>"), "resemblance-prints")
+    groups = connected_components(links(tagged, prints, text=text, block=block)).withColumnRenamed("node", "_set")
+    rooted = prints.select("_tag", "_set").join(groups, "_set", "left").select("_tag", F.coalesce("root", "_set").alias("_root"))
+    order = F.struct(quoted(key).isNull().alias("_null"), quoted(key).alias("_k"), F.col("_tag").alias("_tag"))
+    placed = materialise(rooted.join(tagged.select("_tag", order.alias("_at")), "_tag"), "resemblance-groups")
+    kept = placed.groupBy("_root").agg(F.min("_at")["_tag"].alias("_tag"))
+    lost = placed.select("_tag").join(kept.select("_tag"), "_tag", "left_anti")
+    return tagged.join(lost, "_tag", "left_anti").select(*[quoted(c) for c in docs.columns])

@@ -148,8 +148,8 @@ class _Forest:
         return [(x, self.root(x)) for x in self.parent]
 
 
-def _runs(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[list[np.ndarray]]:
-    """Column arrays that each hold whole runs of the first columns but the last; the input is sorted."""
+def _runs(batches: Iterator[pa.RecordBatch], columns: list[str], by: int | None = None) -> Iterator[list[np.ndarray]]:
+    """Column arrays that each hold whole runs of the first ``by`` columns (all but the last); the input is sorted."""
     rest: list[np.ndarray] | None = None
     for batch in batches:
         now = [batch.column(c).to_numpy(zero_copy_only=False) for c in columns]
@@ -158,7 +158,7 @@ def _runs(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[lis
         if rest is not None:
             now = [np.concatenate([x, y]) for x, y in zip(rest, now, strict=True)]
         last = np.ones(len(now[0]), bool)
-        for c in now[:-1]:
+        for c in now[: len(now) - 1 if by is None else by]:
             last &= c == c[-1]
         cut = int(np.flatnonzero(~last)[-1]) + 1 if not last.all() else 0
         if cut:

@@ -1,0 +1,78 @@
+"""Near copies against all pairs in plain Python."""
+
+from __future__ import annotations
+
+import random
+
+import pytest
+
+import corpus_pipeline
+from heddle.llm import resemblance
+
+
+def shingles(text):
+    w = (text or "").lower().split()
+    return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+
+def survivors(rows):
+    """Smallest key of each group, by comparing all pairs."""
+    sets, root = [shingles(t) for _, t in rows], list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            common, either = len(sets[i] & sets[j]), len(sets[i] | sets[j])
+            if sets[i] == sets[j] or 5 * common >= 4 * either:
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    groups = {}
+    for i, (k, _) in enumerate(rows):
+        groups.setdefault(find(i), []).append(k)
+    return sorted(min(g) for g in groups.values())
+
+
+def edited(r, words, n):
+    out = list(words)
+    for at in r.sample(range(len(out)), n):
+        out[at] = f"new{r.random()}"
+    return out
+
+
+@pytest.fixture(scope="module")
+def rows():
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(4))
+    texts = [None, "", " \n", "one", "One", "a b c d", "a b c d e"]
+    for _ in range(25):
+        words = [word() for _ in range(r.randint(20, 400))]
+        texts += [" ".join(edited(r, words, min(len(words), k))) for k in (0, 0, 1, 2, 4, 8)]
+    chain = [word() for _ in range(200)]
+    for _ in range(30):
+        texts.append(" ".join(chain))
+        chain = chain[9:] + [word() for _ in range(9)]
+    r.shuffle(texts)
+    return list(enumerate(texts))
+
+
+@pytest.mark.parametrize("block", [resemblance.BLOCK, 3])
+def test_near_copies(spark, rows, block):
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = resemblance.keep_one(docs, block=block)
+    assert got.columns == docs.columns
+    assert sorted(r["doc_id"] for r in got.collect()) == survivors(rows)
+    assert resemblance.keep_one(docs.limit(0)).isEmpty()
+
+
+def test_pipeline_stage_drops_a_near_copy_and_keeps_one_of_repeated_rows(spark):
+    r = random.Random(8)
+    words = [f"w{r.randrange(10**6)}" for _ in range(300)]
+    near, other, third = " ".join(edited(r, words, 5)), " ".join(f"o{k}" for k in range(90)), " ".join(f"t{k}" for k in range(90))
+    rows = [(1, " ".join(words)), (2, near), (3, other), (3, other), (None, third), (None, third)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = corpus_pipeline.near_dedup(spark, docs, "")
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([rows[0], rows[2], rows[4]], key=str)
