@@ -13,7 +13,7 @@ from heddle.llm.scratch import materialise
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 #: Share of a group that the minimum-covariance-determinant estimate rests on, and concentration steps.
 SUPPORT, STEPS = 0.75, 4
-#: Documents that a group needs for an estimate of its own; smaller groups reject nobody.
+#: Documents that a group needs for an estimate of its own; smaller ones are judged by their language, or by the whole table.
 MIN_GROUP = 50
 #: Chance that a document of a normal group lies beyond the cut.
 TAIL = 1e-6
@@ -28,6 +28,8 @@ LOOKUPS = 32
 
 _SPACE = r"[\x20\x09-\x0D]+"
 _NAMES = tuple(FLOORS)
+#: Names of an estimate: 0 for a language and source, 1 for a language, 2 for the whole table.
+_GROUP = ["level", "g1", "g2"]
 _PAIRS = [(i, j) for i in range(len(_NAMES)) for j in range(i + 1)]
 
 
@@ -164,29 +166,50 @@ def _distance() -> Column:
 
 def _with_estimates(rows: DataFrame, estimates: DataFrame, groups: int) -> DataFrame:
     small = F.broadcast(estimates) if groups <= BROADCAST_GROUPS else estimates
-    return rows.join(small, ["g1", "g2"], "left")
+    return rows.join(small, _GROUP, "left")
+
+
+def _levels(rows: DataFrame) -> DataFrame:
+    """(g1, g2, own, feeds): the estimate that judges each group, and all estimates that its rows go into."""
+    sizes = materialise(rows.groupBy("g1", "g2").agg(F.count("*").alias("n")), "quality-sizes")
+    langs = sizes.groupBy("g1").agg(F.sum("n").alias("all"), F.min("n").alias("least"))
+    alone, tongue = F.col("n") >= MIN_GROUP, F.col("all") >= MIN_GROUP
+    name = lambda level, *by: F.struct(F.lit(level).alias("level"), *[x.alias(n) for n, x in zip(_GROUP[1:], by, strict=True)])
+    own, lang, table = name(0, F.col("g1"), F.col("g2")), name(1, F.col("g1"), F.lit("")), name(2, F.lit(""), F.lit(""))
+    lost = langs.agg(F.coalesce(F.min("all") < MIN_GROUP, F.lit(False)).alias("lost"))  # one row
+    feeds = F.array(F.when(alone, own), F.when(tongue & (F.col("least") < MIN_GROUP), lang), F.when(F.col("lost"), table))
+    return sizes.join(langs, "g1").join(F.broadcast(lost)).select(
+        "g1", "g2", F.when(alone, own).when(tongue, lang).otherwise(table).alias("own"), F.filter(feeds, lambda x: x.isNotNull()).alias("feeds")
+    )
+
+
+def _placed(rows: DataFrame, levels: DataFrame, groups: int, which: Column) -> DataFrame:
+    """``rows`` under the names of the estimates that ``which`` of :func:`_levels` gives."""
+    small = levels.select("g1", "g2", which.alias("_at"))
+    joined = rows.join(F.broadcast(small) if groups <= BROADCAST_GROUPS else small, ["g1", "g2"], "left").drop("g1", "g2")
+    return joined.select("*", *[F.col("_at")[n].alias(n) for n in _GROUP]).drop("_at")
 
 
 def _start(rows: DataFrame) -> DataFrame:
     """First estimates: medians and quartile ranges from histograms of 64 steps a unit; no correlation."""
     step = UNIT // 64
-    tall = rows.select("g1", "g2", F.posexplode(F.array(*[F.col(f"x{k}") for k in range(len(_NAMES))])).alias("k", "x"))
-    bins = tall.groupBy("g1", "g2", "k", F.expr(f"x div {step}").alias("bin")).agg(F.count("*").alias("n"))
-    w = Window.partitionBy("g1", "g2", "k")
+    tall = rows.select(*_GROUP, F.posexplode(F.array(*[F.col(f"x{k}") for k in range(len(_NAMES))])).alias("k", "x"))
+    bins = tall.groupBy(*_GROUP, "k", F.expr(f"x div {step}").alias("bin")).agg(F.count("*").alias("n"))
+    w = Window.partitionBy(*_GROUP, "k")
     ranked = bins.withColumn("cum", F.sum("n").over(w.orderBy("bin"))).withColumn("all", F.sum("n").over(w))
     at = lambda q: F.min(F.when(F.col("cum") >= F.col("all") * q, F.col("bin"))) * step + step / 2
-    spread = ranked.groupBy("g1", "g2", "k").agg(
+    spread = ranked.groupBy(*_GROUP, "k").agg(
         at(0.5).alias("m"), ((at(0.75) - at(0.25)) / 1.349).alias("s"), F.max("all").alias("n")
     )
     pick = lambda k, c: F.max(F.when(F.col("k") == k, F.col(c)))
     floors = [FLOORS[n] * UNIT for n in _NAMES]
-    wide = spread.groupBy("g1", "g2").agg(
+    wide = spread.groupBy(*_GROUP).agg(
         F.max("n").alias("n"),
         *[pick(k, "m").alias(f"m{k}") for k in range(len(_NAMES))],
         *[F.greatest(pick(k, "s"), F.lit(floors[k])).alias(f"l{k}{k}") for k in range(len(_NAMES))],
     )
     zero = {f"l{i}{j}": F.lit(0.0) for i, j in _PAIRS if i != j}
-    return wide.where(F.col("n") >= MIN_GROUP).withColumns(zero)
+    return wide.withColumns(zero)
 
 
 def _concentrate(rows: DataFrame, estimates: DataFrame, groups: int) -> DataFrame:
@@ -198,18 +221,18 @@ def _concentrate(rows: DataFrame, estimates: DataFrame, groups: int) -> DataFram
     p = range(len(_NAMES))
     big = lambda c: F.sum(c.cast("decimal(20,0)"))
     placed = _with_estimates(rows, estimates.drop("n"), groups).where(F.col("m0").isNotNull())
-    bins = placed.groupBy("g1", "g2", F.floor(F.log2(_distance() + 1) * 32).alias("bin")).agg(
+    bins = placed.groupBy(*_GROUP, F.floor(F.log2(_distance() + 1) * 32).alias("bin")).agg(
         F.count("*").alias("c"),
         *[big(F.col(f"x{i}")).alias(f"s{i}") for i in p],
         *[big(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"q{i}{j}") for i, j in _PAIRS],
     )
-    w = Window.partitionBy("g1", "g2")
+    w = Window.partitionBy(*_GROUP)
     near = (
         bins.withColumn("n", F.sum("c").over(w))
         .withColumn("before", F.sum("c").over(w.orderBy("bin")) - F.col("c"))
         .where(F.col("before") < F.ceil(F.col("n") * SUPPORT))
     )
-    sums = near.groupBy("g1", "g2").agg(
+    sums = near.groupBy(*_GROUP).agg(
         F.max("n").alias("n"),
         F.sum("c").cast("double").alias("c"),
         *[F.sum(f"s{i}").cast("double").alias(f"s{i}") for i in p],
@@ -222,7 +245,7 @@ def _concentrate(rows: DataFrame, estimates: DataFrame, groups: int) -> DataFram
         + ((FLOORS[_NAMES[i]] * UNIT) ** 2 if i == j else 0.0)
         for i, j in _PAIRS
     }
-    return means.select("g1", "g2", "n", *[f"m{i}" for i in p], *[c.alias(n) for n, c in _factor(cov).items()])
+    return means.select(*_GROUP, "n", *[f"m{i}" for i in p], *[c.alias(n) for n, c in _factor(cov).items()])
 
 
 def judge(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", keep=None) -> DataFrame:
@@ -234,8 +257,8 @@ def judge(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str
     scatter, so a group whose statistics hardly vary does not reject its neighbours. A document beyond
     the chi-square quantile of 1 - TAIL of its group's squared distances is rejected.
 
-    Null languages and sources count as empty ones. Groups of fewer than MIN_GROUP documents reject
-    nobody. A group of any size is only ever summed partially; rows that tie are treated alike. Null and
+    Null languages and sources count as empty ones. Groups of fewer than MIN_GROUP documents are judged by
+    the estimate of their language, and by that of the whole table if the language is as small. A group of any size is only ever summed partially; rows that tie are treated alike. Null and
     empty texts fail the limits. Repeated rows each get a result, an empty table an empty one. Other
     columns are read only if ``keep`` names them.
 
@@ -245,14 +268,16 @@ def judge(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str
     groups = {"g1": F.coalesce(F.col(lang), F.lit("")), "g2": F.coalesce(F.col(source), F.lit(""))}
     counted = statistics(docs, text=text, keep=own | groups)
     table = materialise(counted.select("*", *_vector()), "quality-statistics")
-    rows = table.where("not base_failed").select("g1", "g2", *[f"x{k}" for k in range(len(_NAMES))])
+    passed = table.where("not base_failed").select("g1", "g2", *[f"x{k}" for k in range(len(_NAMES))])
+    levels = materialise(_levels(passed), "quality-levels")
+    n_groups = levels.count()
+    rows = _placed(passed, levels, n_groups, F.explode("feeds"))
     estimates = materialise(_start(rows), "quality-estimates")
-    n_groups = estimates.count()
     for _ in range(STEPS):
         estimates = materialise(_concentrate(rows, estimates, n_groups), "quality-estimates")
     cut = chi2_quantile(1 - TAIL, len(_NAMES))
     outlier = F.coalesce(_distance() > cut, F.lit(False))
-    judged = _with_estimates(table, estimates.drop("n"), n_groups)
+    judged = _with_estimates(_placed(table, levels, n_groups, F.col("own")), estimates.drop("n"), n_groups)
     return judged.select(
         F.col("_k").alias(key),
         *(keep or {}),
