@@ -30,3 +30,13 @@ def test_small_groups_are_judged_by_their_language_or_the_table(spark):
     rows += [(junk(r), "en", "large"), (junk(r), "en", "small"), (junk(r), "fr", None), (junk(r), None, "new")]
     got = kept(spark, rows)
     assert all(got[k] for k in range(100)) and not any(got[k] for k in range(100, 104))
+
+
+def test_lines_or_repeats_alone_reject(spark):
+    r = random.Random(6)
+    rows = [(t, "en", "s") for t in clean(r, 120)]
+    lines = "\n".join(["ab"] * 41 + [f"x{k}" for k in range(8)] + [clean(r, 1)[0]])  # 80 % of the lines repeat one
+    words = clean(r, 1)[0].split()[:60]
+    repeats = " ".join(words[:20] + words[:20] + [w[::-1] + "k" for w in words] + clean(r, 1)[0].split()[:10])  # 36 % of the words
+    got = kept(spark, [*rows, (lines, "en", "s"), (repeats, "en", "s")])
+    assert all(got[k] for k in range(120)) and not got[120] and not got[121]
