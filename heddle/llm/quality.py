@@ -11,8 +11,9 @@ from heddle.llm.scratch import materialise
 
 #: Fixed limits: fewest words, and most words in repeated 3-word windows, in percent.
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
-#: Share of a group that the minimum-covariance-determinant estimate rests on, and concentration steps.
-SUPPORT, STEPS = 0.75, 4
+#: Share of a group that the minimum-covariance-determinant estimate rests on (half: copies of up to nearly half of a group
+#: stay outside), and concentration steps.
+SUPPORT, STEPS = 0.5, 4
 #: Documents that a group needs for an estimate of its own; smaller ones are judged by their language, or by the whole table.
 MIN_GROUP = 50
 #: Chance that a document of a normal group lies beyond the cut.
@@ -192,15 +193,18 @@ def _placed(rows: DataFrame, levels: DataFrame, groups: int, which: Column) -> D
 
 
 def _start(rows: DataFrame) -> DataFrame:
-    """First estimates: medians and quartile ranges from histograms of 64 steps a unit; no correlation."""
+    """First estimates: medians and median deviations from histograms of 64 steps a unit; no correlation."""
     step = UNIT // 64
     tall = rows.select(*_GROUP, F.posexplode(F.array(*[F.col(f"x{k}") for k in range(len(_NAMES))])).alias("k", "x"))
     bins = tall.groupBy(*_GROUP, "k", F.expr(f"x div {step}").alias("bin")).agg(F.count("*").alias("n"))
     w = Window.partitionBy(*_GROUP, "k")
+    half = lambda c: F.min(F.when(F.col("cum") * 2 >= F.col("all"), F.col(c)))
     ranked = bins.withColumn("cum", F.sum("n").over(w.orderBy("bin"))).withColumn("all", F.sum("n").over(w))
-    at = lambda q: F.min(F.when(F.col("cum") >= F.col("all") * q, F.col("bin"))) * step + step / 2
-    spread = ranked.groupBy(*_GROUP, "k").agg(
-        at(0.5).alias("m"), ((at(0.75) - at(0.25)) / 1.349).alias("s"), F.max("all").alias("n")
+    middle = ranked.withColumn("mid", half("bin").over(w)).withColumn("off", F.abs(F.col("bin") - F.col("mid")))
+    spread = (
+        middle.withColumn("cum", F.sum("n").over(w.orderBy("off")))
+        .groupBy(*_GROUP, "k")
+        .agg((F.max("mid") * step + step / 2).alias("m"), (half("off") * step * 1.4826).alias("s"), F.max("all").alias("n"))
     )
     pick = lambda k, c: F.max(F.when(F.col("k") == k, F.col(c)))
     floors = [FLOORS[n] * UNIT for n in _NAMES]
@@ -253,8 +257,8 @@ def judge(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str
     """Per document the base statistics, whether the fixed limits fail it, and whether it is kept.
 
     Among the documents that pass the limits, the minimum-covariance-determinant location and scatter of
-    the transformed statistics are estimated per language and source from all rows: medians and quartile
-    ranges to start, then STEPS concentration steps on the nearest SUPPORT. FLOORS is added to the
+    the transformed statistics are estimated per language and source from all rows: medians and median
+    deviations to start, then STEPS concentration steps on the nearest SUPPORT. FLOORS is added to the
     scatter, so a group whose statistics hardly vary does not reject its neighbours. A document beyond
     the chi-square quantile of 1 - TAIL of its group's squared distances is rejected.
 

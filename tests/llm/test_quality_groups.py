@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import random
 
-import pytest
-
 from heddle.llm import quality
 
 SCHEMA = "doc_id long, text string, lang string, source string"
@@ -40,3 +38,11 @@ def test_lines_or_repeats_alone_reject(spark):
     repeats = " ".join(words[:20] + words[:20] + [w[::-1] + "k" for w in words] + clean(r, 1)[0].split()[:10])  # 36 % of the words
     got = kept(spark, [*rows, (lines, "en", "s"), (repeats, "en", "s")])
     assert all(got[k] for k in range(120)) and not got[120] and not got[121]
+
+
+def test_copies_of_a_third_of_a_group_are_rejected(spark):
+    r = random.Random(7)
+    rows = [(t, "en", "s") for t in clean(r, 200)]
+    copy = " ".join(w + "$%" for w in clean(r, 1)[0].split())
+    got = kept(spark, rows + [(copy, "en", "s")] * 100)
+    assert all(got[k] for k in range(200)) and not any(got[k] for k in range(200, 300))
