@@ -7,32 +7,46 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from heddle.llm.columns import quoted
 from heddle.llm.scratch import materialise
 
 #: Fixed limits: fewest words, and most words in repeated 3-word windows, in percent.
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
-#: Share of a group that the minimum-covariance-determinant estimate rests on (half: copies of up to nearly half of a group
-#: stay outside), and concentration steps.
-SUPPORT, STEPS = 0.5, 4
-#: Documents that a group needs for an estimate of its own; smaller ones are judged by their language, or by the whole table.
-MIN_GROUP = 50
+#: Share of a group that the minimum-covariance-determinant estimate rests on: half, so that copies of up to nearly half
+#: of a group stay outside.
+SUPPORT = 0.5
+#: Concentration steps that every start takes before the smallest determinant is chosen, the most steps that the chosen one
+#: takes after that, and the change of the logarithm of the determinant that ends them.
+START_STEPS, STEPS, TOLERANCE = 2, 12, 1e-4
+#: Share of normal data that the reweighted estimate takes in.
+INSIDE = 0.975
+#: Documents that the estimate of a language counts for in that of a source, and that of the table in that of a language.
+PRIOR = 50
 #: Chance that a document of a normal group lies beyond the cut.
 TAIL = 1e-6
-#: Smallest spread (standard deviation) of each statistic, so that small differences are never held against a document. TAIL
-#: lies 5.8 floors out: from none, at 48 % of lines and 21 % of words, so each statistic can reject on its own.
+#: Smallest spread (standard deviation) of each statistic, the target of the regularised estimate, so that small differences
+#: are never held against a document. TAIL lies 5.8 floors out: from none, at 48 % of lines and 21 % of words, so each
+#: statistic can reject on its own.
 FLOORS = {"word_length": 0.10, "symbols": 0.05, "dup_lines": 0.12, "repeats": 0.08}
 #: Statistics are kept as integers in units of 1 / UNIT, so that sums do not depend on their order.
-UNIT = 4096
-#: Groups up to which their estimates are broadcast (about 200 bytes each); more are joined by exchange.
-BROADCAST_GROUPS = 50_000
+UNIT = 1024
+#: Bins of the squared distance a doubling; rows of one bin tie.
+BINS = 16
+#: Groups up to which their estimates are broadcast (about 2 KB each); more are joined by exchange.
+BROADCAST_GROUPS = 10_000
+#: Files of the small tables.
+FEW = 4
 #: Repeated windows up to which they are looked up one by one; more are found by sorting. Results are the same.
 LOOKUPS = 32
 
 _SPACE = r"[\x20\x09-\x0D]+"
 _NAMES = tuple(FLOORS)
-#: Names of an estimate: 0 for a language and source, 1 for a language, 2 for the whole table.
-_GROUP = ["level", "g1", "g2"]
-_PAIRS = [(i, j) for i in range(len(_NAMES)) for j in range(i + 1)]
+_DIM = range(len(_NAMES))
+_PAIRS = [(i, j) for i in _DIM for j in range(i + 1)]
+_X = [f"x{k}" for k in _DIM]
+_M = [f"m{k}" for k in _DIM]
+_C = [f"c{i}{j}" for i, j in _PAIRS]
+_L = [f"l{i}{j}" for i, j in _PAIRS]
 
 
 def _let(value: Column, body) -> Column:
@@ -82,7 +96,7 @@ def statistics(docs: DataFrame, *, text: str = "text", keep: dict[str, Column])
 
     A null text has no words. Windows are told apart by 64-bit hashes of their three words.
     """
-    t = F.coalesce(F.col(text), F.lit(""))
+    t = F.coalesce(quoted(text), F.lit(""))
     words = F.array_remove(F.split(t, _SPACE, -1), "")
     from_words = _let(
         words,
@@ -137,28 +151,31 @@ def chi2_cdf(x: float, dof: int) -> float:
     return 1 - math.exp(-x / 2) * sum((x / 2) ** k / math.factorial(k) for k in range(dof // 2))
 
 
-def consistency() -> float:
-    """Factor that makes the covariance of the SUPPORT nearest of normal data that of all of them."""
+def consistency(share: float) -> float:
+    """Factor that makes the covariance of the ``share`` nearest of normal data that of all of them."""
     dof = len(_NAMES)
-    return SUPPORT / chi2_cdf(chi2_quantile(SUPPORT, dof), dof + 2)
+    return share / chi2_cdf(chi2_quantile(share, dof), dof + 2)
 
 
-def _factor(cov: dict[tuple[int, int], Column]) -> dict[str, Column]:
-    """Cholesky factor of a positive definite matrix, entry by entry."""
-    lower: dict[tuple[int, int], Column] = {}
-    for i, j in _PAIRS:
-        rest = cov[i, j]
-        for k in range(j):
-            rest = rest - lower[i, k] * lower[j, k]
-        floor = (FLOORS[_NAMES[i]] * UNIT) ** 2
-        lower[i, j] = F.sqrt(F.greatest(rest, F.lit(floor * 1e-3))) if i == j else rest / lower[j, j]
-    return {f"l{i}{j}": v for (i, j), v in lower.items()}
+def _factored(moments: DataFrame) -> DataFrame:
+    """``moments`` with the Cholesky factor (l00 to l33) of the covariance and the logarithm of its determinant (ld)."""
+    out = moments
+    for j in _DIM:
+        left = F.col(f"c{j}{j}") - sum((F.col(f"l{j}{k}") * F.col(f"l{j}{k}") for k in range(j)), F.lit(0.0))
+        least = (FLOORS[_NAMES[j]] * UNIT) ** 2 * 1e-3
+        out = out.withColumn(f"l{j}{j}", F.sqrt(F.greatest(left, F.lit(least))))
+        below = {
+            f"l{i}{j}": (F.col(f"c{i}{j}") - sum((F.col(f"l{i}{k}") * F.col(f"l{j}{k}") for k in range(j)), F.lit(0.0))) / F.col(f"l{j}{j}")
+            for i in range(j + 1, len(_NAMES))
+        }
+        out = out.withColumns(below) if below else out
+    return out.withColumn("ld", sum((F.log(f"l{k}{k}") for k in _DIM), F.lit(0.0)) * 2)
 
 
 def _distance() -> Column:
     """Squared Mahalanobis distance: forward substitution with the group's factor."""
     parts: list[Column] = []
-    for i in range(len(_NAMES)):
+    for i in _DIM:
         rest = F.col(f"x{i}") - F.col(f"m{i}")
         for j in range(i):
             rest = rest - F.col(f"l{i}{j}") * parts[j]
@@ -166,123 +183,202 @@ def _distance() -> Column:
     return sum((p * p for p in parts[1:]), parts[0] * parts[0])
 
 
-def _with_estimates(rows: DataFrame, estimates: DataFrame, groups: int) -> DataFrame:
-    small = F.broadcast(estimates) if groups <= BROADCAST_GROUPS else estimates
-    return rows.join(small, _GROUP, "left")
+def _groups(passed: DataFrame) -> DataFrame:
+    """(g1, g2, feeds): the estimates that a language and source feeds: its own, its language's, the whole table's."""
+    named = passed.select("g1", "g2").distinct().coalesce(FEW).withColumn("id", F.monotonically_increasing_id())
+    first = F.min("id").over(Window.partitionBy("g1"))
+    own = materialise(named, "quality-groups")
+    return own.select("g1", "g2", F.array(F.col("id") * 2, first * 2 + 1, F.lit(-1).cast("long")).alias("feeds"))
 
 
-def _levels(rows: DataFrame) -> DataFrame:
-    """(g1, g2, own, feeds): the estimate that judges each group, and all estimates that its rows go into."""
-    sizes = materialise(rows.groupBy("g1", "g2").agg(F.count("*").alias("n")), "quality-sizes")
-    langs = sizes.groupBy("g1").agg(F.sum("n").alias("all"), F.min("n").alias("least"))
-    alone, tongue = F.col("n") >= MIN_GROUP, F.col("all") >= MIN_GROUP
-    name = lambda level, *by: F.struct(F.lit(level).alias("level"), *[x.alias(n) for n, x in zip(_GROUP[1:], by, strict=True)])
-    own, lang, table = name(0, F.col("g1"), F.col("g2")), name(1, F.col("g1"), F.lit("")), name(2, F.lit(""), F.lit(""))
-    lost = langs.agg(F.coalesce(F.min("all") < MIN_GROUP, F.lit(False)).alias("lost"))  # one row
-    feeds = F.array(F.when(alone, own), F.when(tongue & (F.col("least") < MIN_GROUP), lang), F.when(F.col("lost"), table))
-    return sizes.join(langs, "g1").join(F.broadcast(lost)).select(
-        "g1", "g2", F.when(alone, own).when(tongue, lang).otherwise(table).alias("own"), F.filter(feeds, lambda x: x.isNotNull()).alias("feeds")
-    )
+def _with(rows: DataFrame, per_group: DataFrame, n_groups: int, how: str = "inner") -> DataFrame:
+    """``rows`` with the columns of a table of one row a group, broadcast while its size is bounded."""
+    return rows.join(F.broadcast(per_group) if n_groups <= BROADCAST_GROUPS else per_group, ["g1", "g2"], how)
 
 
-def _placed(rows: DataFrame, levels: DataFrame, groups: int, which: Column) -> DataFrame:
-    """``rows`` under the names of the estimates that ``which`` of :func:`_levels` gives."""
-    small = levels.select("g1", "g2", which.alias("_at"))
-    joined = rows.join(F.broadcast(small) if groups <= BROADCAST_GROUPS else small, ["g1", "g2"], "left").drop("g1", "g2")
-    return joined.select("*", *[F.col("_at")[n].alias(n) for n in _GROUP]).drop("_at")
+def _under(rows: DataFrame, groups: DataFrame, estimates: DataFrame, n_groups: int) -> DataFrame:
+    """Each row once under each estimate that it feeds, with the columns of ``estimates`` (a gid and more)."""
+    each = groups.select("g1", "g2", F.explode("feeds").alias("gid")).join(estimates, "gid")
+    lists = each.groupBy("g1", "g2").agg(F.collect_list(F.struct(*estimates.columns)).alias("_es"))  # nine at most
+    return _with(rows, lists, n_groups).select(*_X, F.explode("_es").alias("_e")).select(*_X, "_e.*")
 
 
-def _start(rows: DataFrame) -> DataFrame:
-    """First estimates: medians and median deviations from histograms of 64 steps a unit; no correlation."""
+def _medians(rows: DataFrame, groups: DataFrame, n_groups: int) -> DataFrame:
+    """(gid, m, s): medians and scaled median deviations, from histograms of 64 steps a unit; floors bound the latter."""
     step = UNIT // 64
-    tall = rows.select(*_GROUP, F.posexplode(F.array(*[F.col(f"x{k}") for k in range(len(_NAMES))])).alias("k", "x"))
-    bins = tall.groupBy(*_GROUP, "k", F.expr(f"x div {step}").alias("bin")).agg(F.count("*").alias("n"))
-    w = Window.partitionBy(*_GROUP, "k")
+    fed = _with(rows, groups, n_groups).select(F.explode("feeds").alias("gid"), *_X)
+    tall = fed.select("gid", F.posexplode(F.array(*_X)).alias("k", "x"))
+    bins = tall.groupBy("gid", "k", F.expr(f"x div {step}").alias("bin")).agg(F.count("*").alias("n"))
+    w = Window.partitionBy("gid", "k")
     half = lambda c: F.min(F.when(F.col("cum") * 2 >= F.col("all"), F.col(c)))
     ranked = bins.withColumn("cum", F.sum("n").over(w.orderBy("bin"))).withColumn("all", F.sum("n").over(w))
     middle = ranked.withColumn("mid", half("bin").over(w)).withColumn("off", F.abs(F.col("bin") - F.col("mid")))
     spread = (
         middle.withColumn("cum", F.sum("n").over(w.orderBy("off")))
-        .groupBy(*_GROUP, "k")
-        .agg((F.max("mid") * step + step / 2).alias("m"), (half("off") * step * 1.4826).alias("s"), F.max("all").alias("n"))
+        .groupBy("gid", "k")
+        .agg((F.max("mid") * step + step / 2).alias("m"), (half("off") * step * 1.4826).alias("s"))
     )
     pick = lambda k, c: F.max(F.when(F.col("k") == k, F.col(c)))
-    floors = [FLOORS[n] * UNIT for n in _NAMES]
-    wide = spread.groupBy(*_GROUP).agg(
-        F.max("n").alias("n"),
-        *[pick(k, "m").alias(f"m{k}") for k in range(len(_NAMES))],
-        *[F.greatest(pick(k, "s"), F.lit(floors[k])).alias(f"l{k}{k}") for k in range(len(_NAMES))],
+    return spread.groupBy("gid").agg(
+        *[pick(k, "m").alias(f"m{k}") for k in _DIM],
+        *[F.greatest(pick(k, "s"), F.lit(FLOORS[n] * UNIT)).alias(f"s{k}") for k, n in enumerate(_NAMES)],
     )
-    zero = {f"l{i}{j}": F.lit(0.0) for i, j in _PAIRS if i != j}
-    return wide.withColumns(zero)
 
 
-def _concentrate(rows: DataFrame, estimates: DataFrame, groups: int) -> DataFrame:
-    """One step: mean and covariance of the SUPPORT of each group that lies nearest under the last estimate.
+def _starts(rows: DataFrame, groups: DataFrame, n_groups: int) -> DataFrame:
+    """Three deterministic first estimates of each group, all at its medians, scaled by its median deviations.
 
-    Moments are summed by group and by bin of the logarithmic distance (32 bins a doubling), so one pass
-    with partial sums finds both the nearest rows and their moments; ties in a bin stay together.
+    Start 0 has no correlation, start 1 that of the spatial signs, start 2 that of the hyperbolic tangents; each bounds
+    what a far row can do. Products are summed as integers, so sums do not depend on their order.
     """
-    p = range(len(_NAMES))
-    big = lambda c: F.sum(c.cast("decimal(20,0)"))
-    placed = _with_estimates(rows, estimates.drop("n"), groups).where(F.col("m0").isNotNull())
-    bins = placed.groupBy(*_GROUP, F.floor(F.log2(_distance() + 1) * 32).alias("bin")).agg(
+    medians = materialise(_medians(rows, groups, n_groups).coalesce(FEW), "quality-medians")
+    z = [(F.col(f"x{k}") - F.col(f"m{k}")) / F.col(f"s{k}") for k in _DIM]
+    scaled = _under(rows, groups, medians, n_groups).select("gid", *[c.alias(f"z{k}") for k, c in enumerate(z)])
+    norm = F.sqrt(F.greatest(sum((F.col(f"z{k}") * F.col(f"z{k}") for k in _DIM), F.lit(0.0)), F.lit(1e-12)))
+    bent = scaled.select("gid", *[(F.col(f"z{k}") / norm).alias(f"u{k}") for k in _DIM], *[F.tanh(f"z{k}").alias(f"t{k}") for k in _DIM])
+    whole = lambda a, i, j: F.sum(F.round(F.col(f"{a}{i}") * F.col(f"{a}{j}") * 2**20).cast("long")).cast("double")
+    sums = bent.groupBy("gid").agg(*[whole(a, i, j).alias(f"{a}{i}{j}") for a in "ut" for i, j in _PAIRS])
+
+    def scatter(number: int, a: str | None) -> Column:
+        def entry(i: int, j: int) -> Column:
+            if i == j:
+                return F.col(f"s{i}") * F.col(f"s{i}")
+            if a is None:
+                return F.lit(0.0)
+            size = F.sqrt(F.col(f"{a}{i}{i}") * F.col(f"{a}{j}{j}"))
+            return F.when(size > 0, F.col(f"s{i}") * F.col(f"s{j}") * 0.95 * F.col(f"{a}{i}{j}") / size).otherwise(0.0)
+
+        return F.struct(F.lit(number).alias("start"), *[entry(i, j).alias(f"c{i}{j}") for i, j in _PAIRS])
+
+    kinds = F.explode(F.array(scatter(0, None), scatter(1, "u"), scatter(2, "t"))).alias("_s")
+    return _factored(sums.join(medians, "gid").select("gid", *_M, kinds).select("gid", *_M, "_s.*"))
+
+
+def _sums() -> list[Column]:
+    """Partial sums of a set of rows: count, sums and products."""
+    return [
         F.count("*").alias("c"),
-        *[big(F.col(f"x{i}")).alias(f"s{i}") for i in p],
-        *[big(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"q{i}{j}") for i, j in _PAIRS],
+        *[F.sum(f"x{i}").alias(f"p{i}") for i in _DIM],
+        *[F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"q{i}{j}") for i, j in _PAIRS],
+    ]
+
+
+def _moments(sums: DataFrame, keys: list[str], scale: float) -> DataFrame:
+    """Means and covariances of some partial sums: scaled for consistency, with the floors on the diagonal."""
+    names = ["c", *[f"p{i}" for i in _DIM], *[f"q{i}{j}" for i, j in _PAIRS]]
+    total = sums.groupBy(*keys).agg(
+        F.max("n").alias("n"), *[F.sum(F.col(c).cast("decimal(38,0)")).cast("double").alias(c) for c in names]
     )
-    w = Window.partitionBy(*_GROUP)
+    means = total.withColumns({f"m{i}": F.col(f"p{i}") / F.col("c") for i in _DIM})
+    cov = {
+        f"c{i}{j}": (F.col(f"q{i}{j}") / F.col("c") - F.col(f"m{i}") * F.col(f"m{j}")) * scale
+        + ((FLOORS[_NAMES[i]] * UNIT) ** 2 if i == j else 0.0)
+        for i, j in _PAIRS
+    }
+    return means.select(*keys, "n", *_M, *[c.alias(n) for n, c in cov.items()])
+
+
+def _concentrate(rows: DataFrame, groups: DataFrame, estimates: DataFrame, n_groups: int) -> DataFrame:
+    """One step: mean and covariance of the SUPPORT of each group that lies nearest under each of its estimates.
+
+    Moments are summed by estimate and by bin of the logarithmic distance, so one pass with partial sums finds both
+    the nearest rows and their moments; ties in a bin stay together.
+    """
+    placed = _under(rows, groups, estimates.select("gid", "start", *_M, *_L), n_groups)
+    bins = placed.groupBy("gid", "start", F.floor(F.log2(_distance() + 1) * BINS).alias("bin")).agg(*_sums())
+    w = Window.partitionBy("gid", "start")
     near = (
         bins.withColumn("n", F.sum("c").over(w))
         .withColumn("before", F.sum("c").over(w.orderBy("bin")) - F.col("c"))
         .where(F.col("before") < F.ceil(F.col("n") * SUPPORT))
     )
-    sums = near.groupBy(*_GROUP).agg(
-        F.max("n").alias("n"),
-        F.sum("c").cast("double").alias("c"),
-        *[F.sum(f"s{i}").cast("double").alias(f"s{i}") for i in p],
-        *[F.sum(f"q{i}{j}").cast("double").alias(f"q{i}{j}") for i, j in _PAIRS],
-    )
-    means = sums.withColumns({f"m{i}": F.col(f"s{i}") / F.col("c") for i in p})
-    scale = consistency()
-    cov = {
-        (i, j): (F.col(f"q{i}{j}") / F.col("c") - F.col(f"m{i}") * F.col(f"m{j}")) * scale
-        + ((FLOORS[_NAMES[i]] * UNIT) ** 2 if i == j else 0.0)
-        for i, j in _PAIRS
-    }
-    return means.select(*_GROUP, "n", *[f"m{i}" for i in p], *[c.alias(n) for n, c in _factor(cov).items()])
+    return _factored(_moments(near, ["gid", "start"], consistency(SUPPORT))).coalesce(FEW)
+
+
+def _reweighted(rows: DataFrame, groups: DataFrame, estimates: DataFrame, n_groups: int) -> DataFrame:
+    """Mean and covariance of all rows that the concentrated estimate holds to be inside; n counts all rows."""
+    placed = _under(rows, groups, estimates.select("gid", *_M, *_L), n_groups).withColumn("_d", _distance())
+    inside = F.col("_d") <= chi2_quantile(INSIDE, len(_NAMES))
+    sums = placed.groupBy("gid", inside.alias("_in")).agg(*_sums())
+    all_rows = sums.withColumn("n", F.sum("c").over(Window.partitionBy("gid"))).where("_in")
+    return _moments(all_rows, ["gid"], consistency(INSIDE)).coalesce(FEW)
+
+
+def mcd(rows: DataFrame, groups: DataFrame, n_groups: int) -> DataFrame:
+    """(gid, start, n, m, c, l, ld): the concentrated minimum-covariance-determinant estimate of each group.
+
+    Of the three starts the one with the smallest determinant after START_STEPS steps goes on until no determinant
+    changes by more than TOLERANCE (of its logarithm); steps never enlarge it, so STEPS bounds a slow end only.
+    """
+    estimates = _starts(rows, groups, n_groups)
+    for _ in range(START_STEPS):
+        estimates = materialise(_concentrate(rows, groups, estimates, n_groups), "quality-estimates")
+    columns = estimates.columns
+    least = F.min_by(F.struct(*columns), F.struct("ld", "start")).alias("_b")
+    best = materialise(estimates.groupBy("gid").agg(least).select("_b.*").coalesce(FEW), "quality-estimates")
+    for _ in range(STEPS):
+        further = materialise(_concentrate(rows, groups, best, n_groups), "quality-estimates")
+        change = further.select("gid", "ld").join(best.select("gid", F.col("ld").alias("_was")), "gid")
+        moved = change.agg(F.max(F.abs(F.col("ld") - F.col("_was")))).first()[0]  # one number
+        best = further
+        if moved is None or moved <= TOLERANCE:
+            break
+    return best
+
+
+def _own(groups: DataFrame, estimates: DataFrame) -> DataFrame:
+    """(g1, g2, m, l): the estimate that judges each language and source.
+
+    The source's estimate and its language's are averaged by documents, the latter counting for PRIOR, and the
+    language's with the table's in the same way: one rule at every size, under which a source of a few documents is
+    judged by its language and a large one by itself.
+    """
+    names = [*_M, *_C]
+    out = groups
+    for level in range(3):
+        side = estimates.select(F.col("gid").alias(f"_g{level}"), F.struct("n", *names).alias(f"_e{level}"))
+        out = out.join(side, F.col("feeds")[level] == F.col(f"_g{level}"), "left")
+
+    def shrunk(level: int, name: str) -> Column:
+        own = F.col(f"_e{level}")
+        if level == 2:
+            return own[name]
+        return (own[name] * own["n"] + shrunk(level + 1, name) * PRIOR) / (own["n"] + PRIOR)
+
+    return _factored(out.select("g1", "g2", *[shrunk(0, n).alias(n) for n in names])).select("g1", "g2", *_M, *_L)
 
 
 def judge(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", keep=None) -> DataFrame:
     """Per document the base statistics, whether the fixed limits fail it, and whether it is kept.
 
-    Among the documents that pass the limits, the minimum-covariance-determinant location and scatter of
-    the transformed statistics are estimated per language and source from all rows: medians and median
-    deviations to start, then STEPS concentration steps on the nearest SUPPORT. FLOORS is added to the
-    scatter, so a group whose statistics hardly vary does not reject its neighbours. A document beyond
-    the chi-square quantile of 1 - TAIL of its group's squared distances is rejected.
+    Among the documents that pass the limits, the minimum-covariance-determinant location and scatter of the
+    transformed statistics are estimated from all rows, per language and source, per language, and for the table:
+    three deterministic starts, concentration on the nearest SUPPORT, the smallest determinant, reweighting. FLOORS is
+    added to the scatter, so a group whose statistics hardly vary does not reject its neighbours, and each group's
+    estimate is averaged with its language's and the table's (PRIOR), so that every document is judged. A document
+    beyond the chi-square quantile of 1 - TAIL of its group's squared distances is rejected.
 
-    Null languages and sources count as empty ones. Groups of fewer than MIN_GROUP documents are judged by
-    the estimate of their language, and by that of the whole table if the language is as small. A group of any size is only ever summed partially; rows that tie are treated alike. Null and
-    empty texts fail the limits. Repeated rows each get a result, an empty table an empty one. Other
-    columns are read only if ``keep`` names them.
+    Null languages and sources count as empty ones. A group of any size is only ever summed partially; rows that tie are
+    treated alike. Null and empty texts fail the limits. Repeated rows each get a result, an empty table an empty one.
+    Other columns are read only if ``keep`` names them. Windows of three words are told apart by 64-bit hashes: in a text
+    of a million words two different ones agree with a chance of 3e-8.
 
-    Returns: key, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept.
+    Returns: key, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept; with ``keep`` those
+    columns follow the key.
     """
-    own = {"_k": F.col(key)} | (keep or {})
-    groups = {"g1": F.coalesce(F.col(lang), F.lit("")), "g2": F.coalesce(F.col(source), F.lit(""))}
-    counted = statistics(docs, text=text, keep=own | groups)
+    own = {"_k": quoted(key)} | (keep or {})
+    named = {"g1": F.coalesce(quoted(lang), F.lit("")), "g2": F.coalesce(quoted(source), F.lit(""))}
+    counted = statistics(docs, text=text, keep=own | named)
     table = materialise(counted.select("*", *_vector()), "quality-statistics")
-    passed = table.where("not base_failed").select("g1", "g2", *[f"x{k}" for k in range(len(_NAMES))])
-    levels = materialise(_levels(passed), "quality-levels")
-    n_groups = levels.count()
-    rows = _placed(passed, levels, n_groups, F.explode("feeds"))
-    estimates = materialise(_start(rows), "quality-estimates")
-    for _ in range(STEPS):
-        estimates = materialise(_concentrate(rows, estimates, n_groups), "quality-estimates")
+    passed = table.where("not base_failed").select("g1", "g2", *_X)
+    groups = _groups(passed)
+    n_groups = groups.count()
+    found = mcd(passed, groups, n_groups)
+    final = materialise(_reweighted(passed, groups, found, n_groups), "quality-estimates")
+    judges = materialise(_own(groups, final).coalesce(FEW), "quality-judges")
     cut = chi2_quantile(1 - TAIL, len(_NAMES))
     outlier = F.coalesce(_distance() > cut, F.lit(False))
-    judged = _with_estimates(_placed(table, levels, n_groups, F.col("own")), estimates.drop("n"), n_groups)
+    judged = _with(table, judges, n_groups, "left")
     return judged.select(
         F.col("_k").alias(key),
         *(keep or {}),
@@ -297,8 +393,11 @@ def judge(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str
 
 
 def keep_good(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
-    """``docs`` without the rows that :func:`judge` rejects. Rows are told apart by a hash of key and text."""
-    row = F.xxhash64(F.col(key), F.col(text))
-    judged = judge(docs, key=key, text=text, lang=lang, source=source, keep={"_row": row})
-    lost = judged.where("not kept").select(F.col("_row").alias("_lost")).distinct()
-    return docs.join(lost, row == lost["_lost"], "left_anti")
+    """``docs`` without the rows that :func:`judge` rejects.
+
+    All columns are written beside the statistics, so each row meets its own verdict without a join and repeated
+    rows, null keys and clashing names make no difference.
+    """
+    names = {f"_c{k}": c for k, c in enumerate(docs.columns)}
+    judged = judge(docs, key=key, text=text, lang=lang, source=source, keep={n: quoted(c) for n, c in names.items()})
+    return judged.where("kept").select(*[F.col(n).alias(c) for n, c in names.items()])

@@ -286,34 +286,55 @@ def test_quality_sorting_and_lookups_agree(docs, monkeypatch):
     assert {i: r["n_repeat_words"] for i, r in result(quality.judge(docs)).items()} == first
 
 
-def robust(x, floors):
-    """Location and scatter of one group by the documented steps, in numpy."""
-    n, unit = len(x), quality.UNIT
-    bins = x // (unit // 64)
-    step = unit // 64
-    ranked = np.sort(bins, 0)
-    at = lambda q: ranked[np.ceil(n * q).astype(int) - 1] * step + step / 2
-    m, s = at(0.5), np.maximum((at(0.75) - at(0.25)) / 1.349, floors)
-    cov = np.diag(s**2)
-    for _ in range(quality.STEPS):
-        d = np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(cov), x - m)
-        b = np.floor(np.log2(d + 1) * 32)
-        kept = b <= np.sort(b)[int(np.ceil(n * quality.SUPPORT)) - 1]
-        m = x[kept].mean(0)
-        cov = np.cov(x[kept].T, bias=True) * quality.consistency() + np.diag(floors**2)
-    return np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(cov), x - m)
-
-
-def test_quality_outliers(spark):
+def plain_mcd(x, floors, seed=1, starts=150):
+    """Regularised MCD in numpy, by random subsets and exact halves: (log determinant, squared distances of the reweighted estimate)."""
+    r, n = np.random.default_rng(seed), len(x)
+    half, target = -(-n // 2), np.diag(floors**2)
+
+    def distances(m, cov):
+        return np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(cov), x - m)
+
+    def moments(rows, share):
+        return rows.mean(0), np.cov(rows.T, bias=True) * quality.consistency(share) + target
+
+    best = None
+    for _ in range(starts):
+        m, cov = moments(x[r.choice(n, 6, False)], 0.5)
+        for _ in range(60):
+            m, cov = moments(x[np.argsort(distances(m, cov), kind="stable")[:half]], 0.5)
+        found = np.linalg.slogdet(cov)[1], m, cov
+        best = found if best is None or found[0] < best[0] else best
+    inside = distances(*best[1:]) <= quality.chi2_quantile(quality.INSIDE, 4)
+    return best[0], distances(*moments(x[inside], quality.INSIDE))
+
+
+def test_quality_outliers_against_an_independent_mcd(spark):
     r = random.Random(31)
     clean = [" ".join("".join(r.choice("abcdefghij") for _ in range(r.randint(2, 9))) for _ in range(r.randint(60, 200))) for _ in range(300)]
-    junk = [" ".join("".join(r.choice("abcdefghij") for _ in range(5)) + "$$%%" for _ in range(80)) for _ in range(30)]
+    junk = [" ".join("".join(r.choice("abcdefghij") for _ in range(5)) + "$$%%" for _ in range(80)) for _ in range(130)]
     df = spark.createDataFrame([(k, t, "en", "s") for k, t in enumerate(clean + junk)], "doc_id long, text string, lang string, source string")
     got = result(quality.judge(df))
-    assert all(got[k]["kept"] for k in range(300)) and not any(got[k]["kept"] for k in range(300, 330))
+    assert all(got[k]["kept"] for k in range(300)) and not any(got[k]["kept"] for k in range(300, 430))
     stats = quality.statistics(df, keep={"_k": F.col("doc_id")}).select("_k", *quality._vector()).toPandas().sort_values("_k")
-    d = robust(stats[["x0", "x1", "x2", "x3"]].to_numpy(float), np.array(list(quality.FLOORS.values())) * quality.UNIT)
-    assert (d <= quality.chi2_quantile(1 - quality.TAIL, 4)).tolist() == [got[k]["kept"] for k in range(330)]
+    x = stats[["x0", "x1", "x2", "x3"]].to_numpy(float)
+    ld, d = plain_mcd(x, np.array(list(quality.FLOORS.values())) * quality.UNIT)
+    assert (d <= quality.chi2_quantile(1 - quality.TAIL, 4)).tolist() == [got[k]["kept"] for k in range(430)]
+    rows = spark.createDataFrame([("en", "s", *map(int, v)) for v in x], "g1 string, g2 string, x0 long, x1 long, x2 long, x3 long")
+    found = quality.mcd(rows, quality._groups(rows), 1).collect()
+    assert len(found) == 3 and all(row["ld"] <= ld + 0.1 and row["n"] == 430 for row in found)  # ties of a bin stay together
+
+
+def test_quality_of_nulls_repeats_and_clashing_columns(spark):
+    r = random.Random(32)
+    clean = [" ".join("".join(r.choice("abcdefghij") for _ in range(r.randint(2, 9))) for _ in range(r.randint(60, 200))) for _ in range(60)]
+    junk = " ".join("ab$$%%" for _ in range(20)) + " " + clean[0]
+    rows = [(k % 50, t, None if k % 2 else "en", None, k, "c") for k, t in enumerate(clean)]
+    rows += [(7, junk, None, None, 1, "c")] * 3 + [(None, clean[1], "en", "x", 2, "c"), (None, None, None, None, 3, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_words long, `x0.m` string")
+    kept = quality.keep_good(df)
+    assert kept.columns == df.columns
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted(rows[:60] + rows[63:64], key=str)
+    assert quality.keep_good(df.limit(0)).isEmpty()
 
 
 def test_chi_square():

@@ -22,7 +22,7 @@ def kept(spark, rows):
     return {r["doc_id"]: r["kept"] for r in quality.judge(docs).collect()}
 
 
-def test_small_groups_are_judged_by_their_language_or_the_table(spark):
+def test_small_groups_are_judged_with_their_language_and_the_table(spark):
     r = random.Random(5)
     rows = [(t, "en", "large") for t in clean(r, 80)] + [(t, "en", "small") for t in clean(r, 10)] + [(t, "fr", None) for t in clean(r, 10)]
     rows += [(junk(r), "en", "large"), (junk(r), "en", "small"), (junk(r), "fr", None), (junk(r), None, "new")]
