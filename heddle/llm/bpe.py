@@ -255,7 +255,7 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
-def _slices(batches: Iterator[pa.RecordBatch], rows: int = 512, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Batches cut to a bounded number of rows and, but for single long texts, of text bytes."""
     for batch in batches:
         low, held = 0, 0
@@ -271,7 +271,7 @@ def _slices(batches: Iterator[pa.RecordBatch], rows: int = 512, size: int = 4 <<
 
 def _digest(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     own = codec(path)
-    for batch in _slices(batches):
+    for batch in slices(batches):
         encoded = own.encode_batch([t or "" for t in batch.column("_text").to_pylist()])
         decoded = [own.decode(ids) for ids in encoded]
         yield pa.RecordBatch.from_arrays(
@@ -305,7 +305,7 @@ def token_digests(docs: DataFrame, vocabulary: str, *, key: str = "doc_id", text
 
 def _ids(batches: Iterator[pa.RecordBatch], path: str, check: bool) -> Iterator[pa.RecordBatch]:
     own = codec(path)
-    for batch in _slices(batches):
+    for batch in slices(batches):
         texts = [t or "" for t in batch.column("_text").to_pylist()]
         encoded = own.encode_batch(texts)
         offsets = np.concatenate([[0], np.cumsum([len(ids) // 4 for ids in encoded])]).astype(np.int32)
