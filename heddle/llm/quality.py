@@ -16,8 +16,8 @@ MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 #: of a group stay outside.
 SUPPORT = 0.5
 #: Concentration steps that every start takes before the smallest determinant is chosen, the most steps that the chosen one
-#: takes after that, and the change of the logarithm of the determinant that ends them.
-START_STEPS, STEPS, TOLERANCE = 2, 12, 1e-4
+#: takes after that, and the fall of the logarithm of the determinant that is no longer worth a step.
+START_STEPS, STEPS, TOLERANCE = 2, 12, 1e-3
 #: Share of normal data that the reweighted estimate takes in.
 INSIDE = 0.975
 #: Documents that the estimate of a language counts for in that of a source, and that of the table in that of a language.
@@ -161,26 +161,23 @@ def _factored(moments: DataFrame) -> DataFrame:
     """``moments`` with the Cholesky factor (l00 to l33) of the covariance and the logarithm of its determinant (ld)."""
     out = moments
     for j in _DIM:
-        left = F.col(f"c{j}{j}") - sum((F.col(f"l{j}{k}") * F.col(f"l{j}{k}") for k in range(j)), F.lit(0.0))
+        left = " - ".join([f"c{j}{j}", *[f"l{j}{k} * l{j}{k}" for k in range(j)]])
         least = (FLOORS[_NAMES[j]] * UNIT) ** 2 * 1e-3
-        out = out.withColumn(f"l{j}{j}", F.sqrt(F.greatest(left, F.lit(least))))
-        below = {
-            f"l{i}{j}": (F.col(f"c{i}{j}") - sum((F.col(f"l{i}{k}") * F.col(f"l{j}{k}") for k in range(j)), F.lit(0.0))) / F.col(f"l{j}{j}")
+        below = [
+            "({}) / l{}{} as l{}{}".format(" - ".join([f"c{i}{j}", *[f"l{i}{k} * l{j}{k}" for k in range(j)]]), j, j, i, j)
             for i in range(j + 1, len(_NAMES))
-        }
-        out = out.withColumns(below) if below else out
-    return out.withColumn("ld", sum((F.log(f"l{k}{k}") for k in _DIM), F.lit(0.0)) * 2)
+        ]
+        out = out.selectExpr("*", f"sqrt(greatest({left}, {least}D)) as l{j}{j}").selectExpr("*", *below)
+    return out.selectExpr("*", "2 * ({}) as ld".format(" + ".join(f"ln(l{k}{k})" for k in _DIM)))
 
 
-def _distance() -> Column:
+def _distance() -> str:
     """Squared Mahalanobis distance: forward substitution with the group's factor."""
-    parts: list[Column] = []
+    parts: list[str] = []
     for i in _DIM:
-        rest = F.col(f"x{i}") - F.col(f"m{i}")
-        for j in range(i):
-            rest = rest - F.col(f"l{i}{j}") * parts[j]
-        parts.append(rest / F.col(f"l{i}{i}"))
-    return sum((p * p for p in parts[1:]), parts[0] * parts[0])
+        rest = " - ".join([f"x{i} - m{i}", *[f"l{i}{j} * {parts[j]}" for j in range(i)]])
+        parts.append(f"(({rest}) / l{i}{i})")
+    return " + ".join(f"{p} * {p}" for p in parts)
 
 
 def _groups(passed: DataFrame) -> DataFrame:
@@ -232,50 +229,41 @@ def _starts(rows: DataFrame, groups: DataFrame, n_groups: int) -> DataFrame:
     what a far row can do. Products are summed as integers, so sums do not depend on their order.
     """
     medians = materialise(_medians(rows, groups, n_groups).coalesce(FEW), "quality-medians")
-    z = [(F.col(f"x{k}") - F.col(f"m{k}")) / F.col(f"s{k}") for k in _DIM]
-    scaled = _under(rows, groups, medians, n_groups).select("gid", *[c.alias(f"z{k}") for k, c in enumerate(z)])
-    norm = F.sqrt(F.greatest(sum((F.col(f"z{k}") * F.col(f"z{k}") for k in _DIM), F.lit(0.0)), F.lit(1e-12)))
-    bent = scaled.select("gid", *[(F.col(f"z{k}") / norm).alias(f"u{k}") for k in _DIM], *[F.tanh(f"z{k}").alias(f"t{k}") for k in _DIM])
-    whole = lambda a, i, j: F.sum(F.round(F.col(f"{a}{i}") * F.col(f"{a}{j}") * 2**20).cast("long")).cast("double")
-    sums = bent.groupBy("gid").agg(*[whole(a, i, j).alias(f"{a}{i}{j}") for a in "ut" for i, j in _PAIRS])
-
-    def scatter(number: int, a: str | None) -> Column:
-        def entry(i: int, j: int) -> Column:
+    scaled = _under(rows, groups, medians, n_groups).selectExpr("gid", *[f"(x{k} - m{k}) / s{k} as z{k}" for k in _DIM])
+    norm = "sqrt(greatest({}, 1e-12D)) as r".format(" + ".join(f"z{k} * z{k}" for k in _DIM))
+    bent = scaled.selectExpr("*", norm).selectExpr("gid", *[f"z{k} / r as u{k}" for k in _DIM], *[f"tanh(z{k}) as t{k}" for k in _DIM])
+    whole = [F.expr(f"double(sum(bigint(round({a}{i} * {a}{j} * 1048576)))) as {a}{i}{j}") for a in "ut" for i, j in _PAIRS]
+    sums = bent.groupBy("gid").agg(*whole)
+
+    def scatter(number: int, a: str) -> str:
+        def entry(i: int, j: int) -> str:
             if i == j:
-                return F.col(f"s{i}") * F.col(f"s{i}")
-            if a is None:
-                return F.lit(0.0)
-            size = F.sqrt(F.col(f"{a}{i}{i}") * F.col(f"{a}{j}{j}"))
-            return F.when(size > 0, F.col(f"s{i}") * F.col(f"s{j}") * 0.95 * F.col(f"{a}{i}{j}") / size).otherwise(0.0)
+                return f"s{i} * s{i}"
+            if not a:
+                return "0D"
+            return f"coalesce(0.95D * s{i} * s{j} * try_divide({a}{i}{j}, sqrt({a}{i}{i} * {a}{j}{j})), 0D)"
 
-        return F.struct(F.lit(number).alias("start"), *[entry(i, j).alias(f"c{i}{j}") for i, j in _PAIRS])
+        return "named_struct('start', {}, {})".format(number, ", ".join(f"'c{i}{j}', {entry(i, j)}" for i, j in _PAIRS))
 
-    kinds = F.explode(F.array(scatter(0, None), scatter(1, "u"), scatter(2, "t"))).alias("_s")
-    return _factored(sums.join(medians, "gid").select("gid", *_M, kinds).select("gid", *_M, "_s.*"))
+    kinds = "inline(array({}, {}, {}))".format(scatter(0, ""), scatter(1, "u"), scatter(2, "t"))
+    return _factored(sums.join(medians, "gid").selectExpr("gid", *_M, kinds))
+
+
+#: Partial sums of a set of rows: count, sums and products.
+_SUMS = {"c": "count(1)"} | {f"p{i}": f"sum(x{i})" for i in _DIM} | {f"q{i}{j}": f"sum(x{i} * x{j})" for i, j in _PAIRS}
 
 
 def _sums() -> list[Column]:
-    """Partial sums of a set of rows: count, sums and products."""
-    return [
-        F.count("*").alias("c"),
-        *[F.sum(f"x{i}").alias(f"p{i}") for i in _DIM],
-        *[F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"q{i}{j}") for i, j in _PAIRS],
-    ]
+    return [F.expr(f"{e} as {n}") for n, e in _SUMS.items()]
 
 
 def _moments(sums: DataFrame, keys: list[str], scale: float) -> DataFrame:
     """Means and covariances of some partial sums: scaled for consistency, with the floors on the diagonal."""
-    names = ["c", *[f"p{i}" for i in _DIM], *[f"q{i}{j}" for i, j in _PAIRS]]
-    total = sums.groupBy(*keys).agg(
-        F.max("n").alias("n"), *[F.sum(F.col(c).cast("decimal(38,0)")).cast("double").alias(c) for c in names]
-    )
-    means = total.withColumns({f"m{i}": F.col(f"p{i}") / F.col("c") for i in _DIM})
-    cov = {
-        f"c{i}{j}": (F.col(f"q{i}{j}") / F.col("c") - F.col(f"m{i}") * F.col(f"m{j}")) * scale
-        + ((FLOORS[_NAMES[i]] * UNIT) ** 2 if i == j else 0.0)
-        for i, j in _PAIRS
-    }
-    return means.select(*keys, "n", *_M, *[c.alias(n) for n, c in cov.items()])
+    total = sums.groupBy(*keys).agg(F.max("n").alias("n"), *[F.expr(f"double(sum(cast({c} as decimal(20, 0)))) as {c}") for c in _SUMS])
+    means = total.selectExpr("*", *[f"p{i} / c as m{i}" for i in _DIM])
+    floor = [(FLOORS[n] * UNIT) ** 2 for n in _NAMES]
+    cov = [f"(q{i}{j} / c - m{i} * m{j}) * {scale}D + {floor[i] if i == j else 0.0}D as c{i}{j}" for i, j in _PAIRS]
+    return means.selectExpr(*keys, "n", *_M, *cov)
 
 
 def _concentrate(rows: DataFrame, groups: DataFrame, estimates: DataFrame, n_groups: int) -> DataFrame:
@@ -285,7 +273,7 @@ def _concentrate(rows: DataFrame, groups: DataFrame, estimates: DataFrame, n_gro
     the nearest rows and their moments; ties in a bin stay together.
     """
     placed = _under(rows, groups, estimates.select("gid", "start", *_M, *_L), n_groups)
-    bins = placed.groupBy("gid", "start", F.floor(F.log2(_distance() + 1) * BINS).alias("bin")).agg(*_sums())
+    bins = placed.groupBy("gid", "start", F.expr(f"floor(log2({_distance()} + 1) * {BINS}) as bin")).agg(*_sums())
     w = Window.partitionBy("gid", "start")
     near = (
         bins.withColumn("n", F.sum("c").over(w))
@@ -297,32 +285,37 @@ def _concentrate(rows: DataFrame, groups: DataFrame, estimates: DataFrame, n_gro
 
 def _reweighted(rows: DataFrame, groups: DataFrame, estimates: DataFrame, n_groups: int) -> DataFrame:
     """Mean and covariance of all rows that the concentrated estimate holds to be inside; n counts all rows."""
-    placed = _under(rows, groups, estimates.select("gid", *_M, *_L), n_groups).withColumn("_d", _distance())
-    inside = F.col("_d") <= chi2_quantile(INSIDE, len(_NAMES))
-    sums = placed.groupBy("gid", inside.alias("_in")).agg(*_sums())
+    placed = _under(rows, groups, estimates.select("gid", *_M, *_L), n_groups)
+    inside = f"{_distance()} <= {chi2_quantile(INSIDE, len(_NAMES))}D as _in"
+    sums = placed.groupBy("gid", F.expr(inside)).agg(*_sums())
     all_rows = sums.withColumn("n", F.sum("c").over(Window.partitionBy("gid"))).where("_in")
     return _moments(all_rows, ["gid"], consistency(INSIDE)).coalesce(FEW)
 
 
+def _smallest(estimates: DataFrame) -> DataFrame:
+    """Of each group's estimates that with the smallest determinant."""
+    least = F.min_by(F.struct(*estimates.columns), F.struct("ld", "start")).alias("_b")
+    return estimates.groupBy("gid").agg(least).select("_b.*").coalesce(FEW)
+
+
 def mcd(rows: DataFrame, groups: DataFrame, n_groups: int) -> DataFrame:
     """(gid, start, n, m, c, l, ld): the concentrated minimum-covariance-determinant estimate of each group.
 
-    Of the three starts the one with the smallest determinant after START_STEPS steps goes on until no determinant
-    changes by more than TOLERANCE (of its logarithm); steps never enlarge it, so STEPS bounds a slow end only.
+    Of the three starts the one with the smallest determinant after START_STEPS steps goes on until no group's determinant
+    falls by more than TOLERANCE (of its logarithm); steps never enlarge it but by the ties of a bin, so STEPS bounds a
+    slow end only.
     """
     estimates = _starts(rows, groups, n_groups)
     for _ in range(START_STEPS):
         estimates = materialise(_concentrate(rows, groups, estimates, n_groups), "quality-estimates")
-    columns = estimates.columns
-    least = F.min_by(F.struct(*columns), F.struct("ld", "start")).alias("_b")
-    best = materialise(estimates.groupBy("gid").agg(least).select("_b.*").coalesce(FEW), "quality-estimates")
+    best = materialise(_smallest(estimates), "quality-estimates")
     for _ in range(STEPS):
         further = materialise(_concentrate(rows, groups, best, n_groups), "quality-estimates")
-        change = further.select("gid", "ld").join(best.select("gid", F.col("ld").alias("_was")), "gid")
-        moved = change.agg(F.max(F.abs(F.col("ld") - F.col("_was")))).first()[0]  # one number
-        best = further
-        if moved is None or moved <= TOLERANCE:
+        gain = further.select("gid", "ld").join(best.select("gid", F.col("ld").alias("_was")), "gid")
+        gained = gain.agg(F.max(F.col("_was") - F.col("ld"))).first()[0]  # one number
+        if gained is None or gained <= TOLERANCE:
             break
+        best = materialise(_smallest(best.unionByName(further)), "quality-estimates")
     return best
 
 
@@ -333,19 +326,17 @@ def _own(groups: DataFrame, estimates: DataFrame) -> DataFrame:
     language's with the table's in the same way: one rule at every size, under which a source of a few documents is
     judged by its language and a large one by itself.
     """
-    names = [*_M, *_C]
     out = groups
     for level in range(3):
-        side = estimates.select(F.col("gid").alias(f"_g{level}"), F.struct("n", *names).alias(f"_e{level}"))
-        out = out.join(side, F.col("feeds")[level] == F.col(f"_g{level}"), "left")
+        own = [F.col(c).alias(f"{c}_{level}") for c in ("gid", "n", *_M, *_C)]
+        out = out.join(estimates.select(*own), F.expr(f"feeds[{level}] = gid_{level}"), "left")
 
-    def shrunk(level: int, name: str) -> Column:
-        own = F.col(f"_e{level}")
+    def shrunk(level: int, name: str) -> str:
         if level == 2:
-            return own[name]
-        return (own[name] * own["n"] + shrunk(level + 1, name) * PRIOR) / (own["n"] + PRIOR)
+            return f"{name}_2"
+        return f"(({name}_{level} * n_{level} + {shrunk(level + 1, name)} * {PRIOR}) / (n_{level} + {PRIOR}))"
 
-    return _factored(out.select("g1", "g2", *[shrunk(0, n).alias(n) for n in names])).select("g1", "g2", *_M, *_L)
+    return _factored(out.selectExpr("g1", "g2", *[f"{shrunk(0, n)} as {n}" for n in (*_M, *_C)])).select("g1", "g2", *_M, *_L)
 
 
 def judge(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", keep=None) -> DataFrame:
@@ -377,7 +368,7 @@ def judge(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str
     final = materialise(_reweighted(passed, groups, found, n_groups), "quality-estimates")
     judges = materialise(_own(groups, final).coalesce(FEW), "quality-judges")
     cut = chi2_quantile(1 - TAIL, len(_NAMES))
-    outlier = F.coalesce(_distance() > cut, F.lit(False))
+    outlier = F.expr(f"coalesce({_distance()} > {cut}D, false)")
     judged = _with(table, judges, n_groups, "left")
     return judged.select(
         F.col("_k").alias(key),
