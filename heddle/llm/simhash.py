@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heddle.llm.graph import connected_components
+from heddle.llm.graph import Forest, connected_components, runs
 from heddle.llm.scratch import materialise
 
 #: Words in a shingle, seed of its hash, differing bits that link.
@@ -82,25 +82,26 @@ def _explode_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), batch.column("_fp")], ["_key", "_fp"])
 
 
-def chain_fits(differences: np.ndarray, radius: int = RADIUS) -> np.ndarray:
-    """Whether some chain of consecutive segments stays within its share of ``radius`` at every length."""
-    count = len(SEGMENTS)
-    parts = np.stack(
-        [
-            np.bitwise_count((differences >> np.uint64(_OFFSETS[i])) & np.uint64((1 << SEGMENTS[i]) - 1))
-            for i in range(count)
-        ]
-    ).astype(np.int16)
-    fits = np.zeros(differences.shape, bool)
+def chains(parts: np.ndarray, radius: int) -> np.ndarray:
+    """Whether, by the differences in each segment of a ring (a row each), some chain of consecutive segments stays within its
+    share of ``radius`` at every length. At full length the share is the radius itself."""
+    count = len(parts)
+    fits = np.zeros(parts.shape[1:], bool)
     for start in range(count):
-        total, holds = np.zeros(differences.shape, np.int16), np.ones(differences.shape, bool)
+        total, holds = np.zeros(parts.shape[1:], np.int16), np.ones(parts.shape[1:], bool)
         for length in range(1, count + 1):
-            total += parts[(start + length - 1) % count]
+            total = total + parts[(start + length - 1) % count]
             holds &= total * count <= length * radius
         fits |= holds
     return fits
 
 
+def chain_fits(differences: np.ndarray, radius: int = RADIUS) -> np.ndarray:
+    """:func:`chains` of 64-bit differences over the segments of the bucket keys."""
+    cut = [(differences >> np.uint64(at)) & np.uint64((1 << width) - 1) for at, width in zip(_OFFSETS, SEGMENTS, strict=True)]
+    return chains(np.bitwise_count(np.stack(cut)).astype(np.int16), radius)
+
+
 def _near(one: np.uint64, others: np.ndarray, radius: int) -> np.ndarray:
     """Positions of ``others`` that link with ``one``: the chains prune, the full distance decides."""
     differences = others ^ one
@@ -126,51 +127,9 @@ def link_stars(fps: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
     return out
 
 
-class _Forest:
-    """Joins links as they come and gives one link for each fingerprint that is not its group's root."""
-
-    def __init__(self):
-        self.parent: dict[int, int] = {}
-
-    def root(self, x: int) -> int:
-        parent = self.parent
-        while (up := parent.get(x, x)) != x:
-            parent[x] = parent.get(up, up)
-            x = up
-        return x
-
-    def add(self, a: int, b: int) -> None:
-        a, b = self.root(a), self.root(b)
-        if a != b:
-            self.parent[max(a, b)] = min(a, b)
-
-    def links(self) -> list[tuple[int, int]]:
-        return [(x, self.root(x)) for x in self.parent]
-
-
-def _runs(batches: Iterator[pa.RecordBatch], columns: list[str], by: int | None = None) -> Iterator[list[np.ndarray]]:
-    """Column arrays that each hold whole runs of the first ``by`` columns (all but the last); the input is sorted."""
-    rest: list[np.ndarray] | None = None
-    for batch in batches:
-        now = [batch.column(c).to_numpy(zero_copy_only=False) for c in columns]
-        if not len(now[0]):
-            continue
-        if rest is not None:
-            now = [np.concatenate([x, y]) for x, y in zip(rest, now, strict=True)]
-        last = np.ones(len(now[0]), bool)
-        for c in now[: len(now) - 1 if by is None else by]:
-            last &= c == c[-1]
-        cut = int(np.flatnonzero(~last)[-1]) + 1 if not last.all() else 0
-        if cut:
-            yield [c[:cut] for c in now]
-        rest = [c[cut:] for c in now]
-    if rest is not None and len(rest[0]):
-        yield rest
-
-
 def _link(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
-    forest = _Forest()
-    for keys, parts, fps in _runs(batches, ["_key", "_part", "_fp"]):
+    forest = Forest()
+    for keys, parts, fps in runs(batches, ["_key", "_part", "_fp"]):
         fps = fps.astype(np.int64).view(np.uint64)
         edge = np.flatnonzero((np.diff(keys) != 0) | (np.diff(parts) != 0)) + 1
         bounds = np.concatenate([[0], edge, [len(keys)]])
@@ -240,13 +199,3 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text")
         F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"),
         "component_id",
     )
-
-
-def keep_one(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one document of each group: the one with the smallest key.
-
-    Rows that share the smallest key all stay; documents with a null key stay.
-    """
-    groups = near_duplicates(docs, key=key, text=text)
-    lost = groups.where(F.col(key) != F.col("component_id")).select(F.col(key).alias("_lost")).distinct()
-    return docs.join(lost, docs[key] == lost["_lost"], "left_anti")

@@ -127,3 +127,29 @@ def judge(url, rules):
         if (host == own or host.endswith("." + own)) and path.startswith("/" + tail) and (best is None or len(rule) > len(best[1])):
             best = (verdict, rule)
     return (host, path, best[1] if best else None, best[0] if best else "allow")
+
+
+def word_shingles(text):
+    w = (text or "").lower().split()
+    return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+
+def near_survivors(rows):
+    """Smallest key of each group that a similarity of 0.8 between sets of 5-word shingles links, by comparing all pairs."""
+    sets, root = [word_shingles(t) for _, t in rows], list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            common, either = len(sets[i] & sets[j]), len(sets[i] | sets[j])
+            if sets[i] == sets[j] or 5 * common >= 4 * either:
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    groups = {}
+    for i, (k, _) in enumerate(rows):
+        groups.setdefault(find(i), []).append(k)
+    return sorted(min(g) for g in groups.values())

@@ -4,36 +4,12 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
-from heddle.llm import resemblance
-
-
-def shingles(text):
-    w = (text or "").lower().split()
-    return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
-
-
-def survivors(rows):
-    """Smallest key of each group, by comparing all pairs."""
-    sets, root = [shingles(t) for _, t in rows], list(range(len(rows)))
-
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    for i in range(len(rows)):
-        for j in range(i):
-            common, either = len(sets[i] & sets[j]), len(sets[i] | sets[j])
-            if sets[i] == sets[j] or 5 * common >= 4 * either:
-                a, b = find(i), find(j)
-                root[max(a, b)] = min(a, b)
-    groups = {}
-    for i, (k, _) in enumerate(rows):
-        groups.setdefault(find(i), []).append(k)
-    return sorted(min(g) for g in groups.values())
+from heddle.llm import nearcopies
+from tests.llm import brute
 
 
 def edited(r, words, n):
@@ -59,13 +35,13 @@ def rows():
     return list(enumerate(texts))
 
 
-@pytest.mark.parametrize("block", [resemblance.BLOCK, 3])
+@pytest.mark.parametrize("block", [nearcopies.BLOCK, 3])
 def test_near_copies(spark, rows, block):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    got = resemblance.keep_one(docs, block=block)
+    got = nearcopies.keep_one(docs, block=block)
     assert got.columns == docs.columns
-    assert sorted(r["doc_id"] for r in got.collect()) == survivors(rows)
-    assert resemblance.keep_one(docs.limit(0)).isEmpty()
+    assert sorted(r["doc_id"] for r in got.collect()) == brute.near_survivors(rows)
+    assert nearcopies.keep_one(docs.limit(0)).isEmpty()
 
 
 def test_pipeline_stage_drops_a_near_copy_and_keeps_one_of_repeated_rows(spark):
@@ -76,3 +52,24 @@ def test_pipeline_stage_drops_a_near_copy_and_keeps_one_of_repeated_rows(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = corpus_pipeline.near_dedup(spark, docs, "")
     assert sorted(map(tuple, got.collect()), key=str) == sorted([rows[0], rows[2], rows[4]], key=str)
+
+
+def test_chains_admit_all_pairs_within_the_radius():
+    r = np.random.default_rng(4)
+    one = r.integers(0, 1 << 64, nearcopies.WORDS, np.uint64)
+    others = np.repeat(one[None, :], 400, 0)
+    for row in others:
+        for bit in r.choice(256, r.integers(0, 65), False):
+            row[bit // 64] ^= np.uint64(1 << int(bit % 64))
+    assert nearcopies.near(one, others, nearcopies.RADIUS).all()
+    assert not nearcopies.near(one, r.integers(0, 1 << 64, (400, nearcopies.WORDS), np.uint64), nearcopies.RADIUS).any()
+
+
+def test_similar_sets_lie_within_the_radius():
+    r = np.random.default_rng(5)
+    for size in (60, 300, 2000):
+        for _ in range(60):
+            base = r.integers(0, 1 << 64, size, np.uint64)
+            other = base.copy()
+            other[: size // 9] = r.integers(0, 1 << 64, size // 9, np.uint64)  # similarity 0.8
+            assert nearcopies.near(nearcopies.wide_print(base), nearcopies.wide_print(other)[None], nearcopies.RADIUS)[0]
