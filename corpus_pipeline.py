@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heddle.llm import bpe, decontaminate, quality, resemblance, substrings
+from heddle.llm import bpe, decontaminate, nearcopies, quality, substrings
 from heddle.llm.queries import table, vocabulary
 from heddle.llm.scratch import materialise
 
@@ -19,7 +19,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document, that with the smallest id, of each group that 5-word similarity of 0.8 or more links."""
-    return resemblance.keep_one(docs)
+    return nearcopies.keep_one(docs)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
