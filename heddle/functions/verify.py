@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ast
 import json
+import re
 
 import pandas as pd
 from pyspark.sql import Column
@@ -23,32 +24,28 @@ CHECK = T.StructType([T.StructField("valid", T.BooleanType()), T.StructField("er
 #: Language tags and their verifiers.
 LANGUAGE_TAGS = {"typescript": "ts", "ts": "ts", "javascript": "js", "js": "js", "python": "py", "py": "py"}
 
-_CLOSERS = {")": "(", "}": "{", "]": "["}
+# String literals (closed, or open to the end of the code) and single brackets; all else is passed over.
+_TOKEN = re.compile(r"""(?s)(?P<quote>["'`])(?:\\.|(?!(?P=quote)).)*+(?P<end>(?P=quote))?|[(){}\[\]]""")
+_PARTNER = {a: b for pair in ("()", "{}", "[]") for a, b in (pair, pair[::-1])}
 
 
 def bracket_error(code: str) -> str | None:
-    """First thing wrong with the brackets and strings of JavaScript-like code; comments and regexes are not known."""
-    stack: list[str] = []
-    quote, skip = "", False
-    for at, c in enumerate(code):
-        if skip:
-            skip = False
-        elif quote:
-            if c == "\\" and at + 1 < len(code):
-                skip = True
-            elif c == quote:
-                quote = ""
-        elif c in "\"'`":
-            quote = c
-        elif c in "({[":
-            stack.append(c)
-        elif c in _CLOSERS:
-            if stack[-1:] != [_CLOSERS[c]]:
-                return f"Unbalanced bracket '{c}' at position {at}"
-            stack.pop()
-    if stack:
-        return f"Unclosed brackets: {stack}"
-    return f"Unterminated string: {quote}" if quote else None
+    """First thing wrong with the brackets and strings of JavaScript-like code; comments and regexes are not known.
+
+    One scan finds literals and brackets; each bracket that opens puts its partner on the list of those still due.
+    """
+    due, unended = [], None
+    for token in _TOKEN.finditer(code):
+        mark = token[0]
+        if token["quote"]:
+            unended = None if token["end"] else token["quote"]
+        elif mark in "({[":
+            due.append(_PARTNER[mark])
+        elif not due or due.pop() != mark:
+            return f"Unbalanced bracket '{mark}' at position {token.start()}"
+    if due:
+        return f"Unclosed brackets: {[_PARTNER[mark] for mark in due]}"
+    return f"Unterminated string: {unended}" if unended else None
 
 
 def python_error(code: str) -> str | None:

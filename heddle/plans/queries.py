@@ -606,7 +606,7 @@ def grid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def random_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.random_search(spark, lambda p: p["x"] * p["n"], {"x": (0.0, 1.0), "n": (2, 8, int), "c": ["u", "v"]}, 20)
+    return search.random_search(spark, lambda p: p["x"] * p["n"], {"x": (0.0, 1.0, float), "n": (2, 8, int), "c": ["u", "v"]}, 20)
 
 
 # --- learned probes, streaming extension ----------------------------------------------------------------------------

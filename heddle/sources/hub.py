@@ -10,8 +10,8 @@ from heddle.operators.filtering import limit_per_group
 
 # Fixed value: folder names of languages in such corpora.
 FOLDERS = {
-    "javascript": "JavaScript", "typescript": "TypeScript", "python": "Python", "vue": "Vue", "css": "CSS", "scss": "SCSS",
-    "html": "HTML", "markdown": "Markdown", "json": "JSON",
+    "javascript": "JavaScript", "typescript": "TypeScript", "python": "Python", "vue": "Vue", "css": "CSS",
+    "html": "HTML", "markdown": "Markdown", "json": "JSON", "yaml": "YAML",
 }
 
 

@@ -132,8 +132,8 @@ def test_search(spark):
     found = search.grid_search(spark, f, {"x": [0, 1, 2, 3, 4]}, "maximize").collect()
     assert found and [r["params"] for r in found if r["rank"] == 1] == ['{"x": 3}']
     assert [(r["trial_no"], r["rank"]) for r in found if r["error"]] == [(2, 5)]
-    a, b = search.random_points({"x": (0.0, 1.0), "n": (2, 8, int), "c": ["u"], "f": lambda: 7, "k": 5}, 15), None
-    b = search.random_points({"x": (0.0, 1.0), "n": (2, 8, int), "c": ["u"], "f": lambda: 7, "k": 5}, 15)
+    a, b = search.random_points({"x": (0.0, 1.0, float), "n": (2, 8, int), "c": ["u"], "f": lambda: 7, "k": 5, "pair": (1, 2)}, 15), None
+    b = search.random_points({"x": (0.0, 1.0, float), "n": (2, 8, int), "c": ["u"], "f": lambda: 7, "k": 5, "pair": (1, 2)}, 15)
     assert a == b and all(2 <= p["n"] <= 8 and p["f"] == 7 and p["k"] == 5 for p in a)
     assert search.grid({"a": [1, 2], "b": [3, 4]}) == [{"a": 1, "b": 3}, {"a": 1, "b": 4}, {"a": 2, "b": 3}, {"a": 2, "b": 4}]
 
