@@ -94,20 +94,36 @@ def sum_stats(stats: DataFrame) -> DataFrame:
 
 
 def exact_dedup(df: DataFrame, content: str, order: list[str]) -> DataFrame:
-    """The first row of each content in ``order``; rows with null content stay."""
+    """The first row of each content in ``order``; rows with null content stay.
+
+    The rank is limited to one alone, which Spark applies before the exchange as well, so of a mass of copies each task
+    sends one row. Null rows are told apart by their position, so each is the first of its own.
+    """
     ranked = df.withColumn("_hash", q.content_hash(content))
-    w = Window.partitionBy("_hash", F.when(F.col("_hash").isNull(), F.xxhash64(*order))).orderBy(*order)
-    return ranked.withColumn("_n", F.row_number().over(w)).where(F.col("_hash").isNull() | (F.col("_n") == 1)).drop("_hash", "_n")
+    ranked = ranked.withColumn("_own", F.when(F.col("_hash").isNull(), F.monotonically_increasing_id()))
+    w = Window.partitionBy("_hash", "_own").orderBy(*order)
+    return ranked.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_hash", "_own", "_n")
 
 
 def non_blank(df: DataFrame, content: str) -> DataFrame:
     return df.where(~is_blank(content))
 
 
+#: Shares that a group is dealt into before its first rows are chosen.
+SHARES = 64
+
+
 def limit_per_group(df: DataFrame, group: str, n: int, order: list[str]) -> DataFrame:
-    """The first ``n`` rows of each group in ``order``."""
+    """The first ``n`` rows of each group in ``order``.
+
+    Each of SHARES shares of a group, dealt by a hash of the order, passes on its own first ``n`` rows, so a group that
+    holds most of the table is sorted by many tasks and the last one sees the rows that can still win.
+    """
+    share = F.pmod(F.xxhash64(*order), F.lit(SHARES))
+    first = Window.partitionBy(group, "_share").orderBy(*order)
+    few = df.withColumn("_share", share).withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= n).drop("_share", "_n")
     w = Window.partitionBy(group).orderBy(*order)
-    return df.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n).drop("_n")
+    return few.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n).drop("_n")
 
 
 def limit_per_file(df: DataFrame, file: str, order: list[str], max_records: int | None) -> DataFrame:

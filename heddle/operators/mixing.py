@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from heddle.operators.blocks import running_before
+
 
 def seeded_key(ids: Column | str, seed: int) -> Column:
     """A portable pseudo-random key of an id: MD5 of id, colon, seed, in hex."""
@@ -73,13 +75,9 @@ def label_union(predefined: Column | str, extra: Column | str) -> Column:
 def curriculum_rank(df: DataFrame, score: str, order: list[str], reverse: bool = False) -> DataFrame:
     """``df`` with ``curriculum_rank`` from 1; ties keep the input order in either direction.
 
-    Scores have two decimals and a bound, so a count per score is a small table: its prefix sums place each
-    score's rows, which are ranked among themselves. No task sorts the whole table.
+    Ranks are counts before a row, summed over blocks of the order: however many rows share a score, no task sorts them all.
+    Null scores come first, in reverse last.
     """
-    key = F.col(score).desc() if reverse else F.col(score).asc()
-    sizes = df.groupBy(F.col(score).alias("_s")).agg(F.count("*").alias("_n"))
-    earlier = Window.orderBy(F.col("_s").desc() if reverse else F.col("_s").asc()).rowsBetween(Window.unboundedPreceding, -1)
-    bases = sizes.select("_s", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_base"))
-    among = F.row_number().over(Window.partitionBy(score).orderBy(key, *order))
-    placed = df.withColumn("_at", among).join(bases, F.col(score).eqNullSafe(F.col("_s")))
-    return placed.withColumn("curriculum_rank", F.col("_base") + F.col("_at")).drop("_s", "_at", "_base")
+    own = F.col(score)
+    key = [own.isNull(), -own] if reverse else [own]
+    return running_before(df, F.lit(1), [*key, *map(F.col, order)], "_before").withColumn("curriculum_rank", F.col("_before") + 1).drop("_before")

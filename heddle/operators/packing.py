@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from heddle.operators.blocks import running_before
+
 
 def with_specials(ids: Column | str, bos: int = 1, eos: int = 2) -> Column:
     """Begin and end ids around a token list."""
@@ -28,21 +30,13 @@ def pack(docs: DataFrame, ids: str, order: list[str], length: int, pad: int = 0,
     last chunk is kept if it has over one token: it is padded, and its labels equal to the pad id are
     ``ignore`` (a genuine pad id in it too). With ``by`` each group is a stream of its own.
 
-    Offsets are a running sum over document sizes only; each document is then cut at chunk borders into
+    Offsets are a running sum over blocks of the order, whatever its types; each document is then cut at chunk borders into
     slices, so a chunk gathers at most ``length`` + 1 slices and no stream is collected. Null and empty
     lists add nothing.
     """
     keys, width = by or [], length + 1
     sized = docs.where(F.size(ids) > 0).withColumn("_n", F.size(ids))
-    # Two levels: totals of blocks of rows, then the sum inside a block.
-    block = F.floor(F.col(order[0]).cast("long") / 4096) if dict(docs.dtypes)[order[0]] in ("int", "bigint") else F.lit(0)
-    sized = sized.withColumn("_block", block)
-    totals = sized.groupBy(*keys, "_block").agg(F.sum("_n").alias("_sum"))
-    before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    bases = totals.select(*keys, "_block", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base"))
-    inside = Window.partitionBy(*keys, "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    placed = sized.withColumn("_in", F.coalesce(F.sum("_n").over(inside), F.lit(0))).join(bases, [*keys, "_block"])
-    placed = placed.withColumn("_at", (F.col("_base") + F.col("_in")).cast("long"))
+    placed = running_before(sized, F.col("_n"), [F.col(c) for c in order], "_at", keys)
     first, last = F.floor(F.col("_at") / width), F.floor((F.col("_at") + F.col("_n") - 1) / width)
     cut = placed.select(*keys, "_at", "_n", F.col(ids).alias("_ids"), F.explode(F.sequence(first, last)).alias("chunk"))
     low = F.greatest(F.col("chunk") * width - F.col("_at"), F.lit(0))

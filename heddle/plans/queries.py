@@ -475,14 +475,13 @@ def _embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "embeddings")
 
 
-@query("""WITH q AS (SELECT CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id = 0)
-  SELECT vec_id AS "index", round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), q.v), 6) AS similarity FROM embeddings, q
-  WHERE list_cosine_similarity(CAST(embedding AS DOUBLE[]), q.v) >= 0 ORDER BY 2 DESC, 1 LIMIT 10""")
+@query("""WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+  s AS (SELECT q.vec_id AS query, e.vec_id AS "index", round(list_cosine_similarity(e.v, q.v), 6) + 0.0 AS similarity FROM e, e AS q WHERE q.vec_id % 20 = 0)
+  SELECT *, row_number() OVER (PARTITION BY query ORDER BY similarity DESC, "index") AS rank FROM s WHERE similarity >= 0
+  QUALIFY row_number() OVER (PARTITION BY query ORDER BY similarity DESC, "index") <= 10""")
 def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _embeddings(spark, sf_dir)
-    target = rows.where("vec_id = 0").first()["embedding"]
-    found = memory.retrieve(rows.withColumn("t", F.lit("")), target, 10, key="embedding", text="t", idx="vec_id")
-    return found.select("index", F.round("similarity", 6).alias("similarity"))
+    return memory.retrieve_each(rows, rows.where("vec_id % 20 = 0"), 10, key="embedding", idx="vec_id", decimals=6).withColumn("rank", F.col("rank").cast("long"))
 
 
 _CENTERS = """WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
@@ -494,8 +493,8 @@ c AS (SELECT label, list_transform(v, lambda x: x / (sqrt(list_dot_product(v, v)
 
 
 def _centers(spark: SparkSession, sf_dir: str) -> list[list[float]]:
-    """The mean vector of each of the ten labels."""
-    means = cluster.centroid_means(_embeddings(spark, sf_dir), "embedding", "label").orderBy("cluster").limit(10)
+    """The mean vector of each label."""
+    means = cluster.centroid_means(_embeddings(spark, sf_dir), "embedding", "label").orderBy("cluster")
     return [r["centroid"] for r in means.collect()]
 
 
