@@ -16,7 +16,9 @@ from heddle.llm.bpe import slices
 from heddle.llm.scratch import new_path
 
 #: Words that a worker's cache may hold (about 200 bytes each), and the longest of them in bytes.
-CACHE_WORDS, CACHE_BYTES = 600_000, 48
+CACHE_WORDS, CACHE_BYTES = 240_000, 48
+#: Rows and text bytes that are encoded together; a longer text is encoded alone.
+BATCH_ROWS, BATCH_BYTES = 1024, 4 << 20
 
 #: Writer settings. Ids are unordered and nearly uniform in width, so they are delta-binary packed instead of
 #: dictionary coded; the small metadata columns come first and have pages of their own, so both can be read alone.
@@ -74,8 +76,11 @@ class WordEncoder:
             self.plain = self.library
 
     def _each(self, words: list[bytes]) -> list[bytes]:
-        texts = [w.decode("utf-8", "surrogatepass") for w in words]
-        return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        out: list[bytes] = []
+        for low in range(0, len(words), 1024):
+            texts = [w.decode("utf-8", "surrogatepass") for w in words[low : low + 1024]]
+            out += [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        return out
 
     def _together(self, library, words: list[bytes], known: dict[bytes, bytes]) -> None:
         """Ids of distinct words of letters: they are one piece each, so many go through the library as one text."""
@@ -99,16 +104,18 @@ class WordEncoder:
         known.update(zip(rest, self._each(rest), strict=True))
         return known
 
-    def _of(self, words: list[bytes]) -> list[bytes]:
-        """Ids of distinct words, by way of the caches."""
+    def _of(self, words: list[bytes], often: np.ndarray) -> list[bytes]:
+        """Ids of distinct words, by way of the caches; words that are not ``often`` met are not worth a place in them."""
         young, old = self.young, self.old
         found = list(map(young.get, words))
         missing = [k for k, ids in enumerate(found) if ids is None]
         known = {w: old[w] for k in missing if (w := words[k]) in old}
         known |= self._alone([w for k in missing if (w := words[k]) not in known])
         for k in missing:
-            found[k] = known[words[k]]
-        young.update((w, ids) for w, ids in known.items() if len(w) <= CACHE_BYTES)
+            word = words[k]
+            ids = found[k] = known[word]
+            if often[k] and len(word) <= CACHE_BYTES:
+                young[word] = ids
         if len(young) > CACHE_WORDS // 2:
             self.young, self.old = {}, young
         return found
@@ -153,9 +160,10 @@ class WordEncoder:
         words = pa.Array.from_buffers(pa.large_binary(), len(first), [None, pa.py_buffer(ends), kept]).dictionary_encode()
         places = np.frombuffer(words.dictionary.buffers()[1], np.int64, len(words.dictionary) + 1).tolist()
         data = (words.dictionary.buffers()[2] or pa.py_buffer(b"")).to_pybytes()
-        found = self._of([data[i:j] for i, j in zip(places, places[1:], strict=False)])
+        at = words.indices.to_numpy()
+        found = self._of([data[i:j] for i, j in zip(places, places[1:], strict=False)], np.bincount(at) > 1)
         lengths = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        table, at = np.frombuffer(b"".join(found), "<u4"), words.indices.to_numpy()
+        table = np.frombuffer(b"".join(found), "<u4")
         counts = lengths[at]
         before = np.concatenate([[0], np.cumsum(counts)])
         place = np.repeat((np.cumsum(lengths) - lengths)[at] - before[:-1], counts) + np.arange(before[-1])
@@ -182,7 +190,7 @@ def word_encoder(path: str) -> WordEncoder:
 def _encode(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[pa.RecordBatch]:
     """One partition in order: ids with the end id, and how many ids of the partition come before them."""
     own, before = word_encoder(path), 0
-    for part in slices(batches, 4096, 12 << 20):
+    for part in slices(batches, BATCH_ROWS, BATCH_BYTES):
         ids, counts = own.encode(part.column("_text"))
         ids = np.insert(ids, np.cumsum(counts), end_id)
         counts = counts + 1
