@@ -10,6 +10,8 @@ STRETCH = 1024
 #: Role of turns that belong to nobody's part.
 SYSTEM = "system"
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
+#: Characters of a speaker's name that are percent-encoded; the percent sign first.
+ESCAPED = "%<>|\n\r"
 
 
 def rotate(conversations: DataFrame, *, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
@@ -20,27 +22,33 @@ def rotate(conversations: DataFrame, *, conv: str = "conv_id", turn: str = "turn
     each row is one segment with its place (code points, from 0) in the rendering, and the span to train
     on: text and end mark of the assistant's turns, null elsewhere.
 
-    Places are prefix sums: lengths are summed by stretches of STRETCH turns before anything is gathered,
-    so the size of a conversation does not bound what one task reads, and no text is collected.
+    Places are prefix sums: turns meet their conversation's participants, and lengths are summed, by stretches of
+    STRETCH turns, so the size of a conversation does not bound what one task reads, and no text is collected.
 
-    Null conversations are one conversation; null turns come first; null roles speak as ``unknown``; null
-    texts are empty. Control characters, ``<``, ``>`` and ``|`` in a speaker's name become ``_``. Turns that
-    tie are ordered by role and text; repeated rows are repeated turns. Conversations with system turns
+    Null conversations are one conversation; null turns come first; null roles speak as ``%null``; null texts
+    are empty. In a speaker's name ``%``, ``<``, ``>``, ``|`` and line ends are percent-encoded, so different
+    names stay different; a text's ``<|`` becomes ``<\\|`` (and ``<\\|`` becomes ``<\\\\|``), so no text can open
+    or close a turn and every text can be had back. Turns that tie are ordered by role and text (turns with
+    one number share a stretch); repeated rows are repeated turns. Conversations with system turns
     only have no participant and no rendering. An empty table gives an empty result; other columns are
     not read.
 
     Returns: conv_id, perspective, position, turn, speaker, rendered_role, segment, start, stop, trained,
     loss_start, loss_stop.
     """
-    speaker = F.regexp_replace(F.coalesce(F.col(role), F.lit("unknown")), r"[\x00-\x1F<>|]", "_")
+    speaker = F.col(role)
+    for mark in ESCAPED:
+        speaker = F.replace(speaker, F.lit(mark), F.lit(f"%{ord(mark):02X}"))
     turns = conversations.select(
         F.col(conv).alias("_c"),
         F.col(turn).cast("long").alias("_t"),
-        speaker.alias("_s"),
-        F.coalesce(F.col(text), F.lit("")).alias("_x"),
+        F.coalesce(speaker, F.lit("%null")).alias("_s"),
+        F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"<(\\*)\|", r"<$1\\|").alias("_x"),
     ).withColumn("_stretch", F.coalesce(F.floor(F.col("_t") / STRETCH), F.lit(-(1 << 62))))
     parts = turns.where(F.col("_s") != SYSTEM).select(F.col("_c").alias("_pc"), F.col("_s").alias("perspective")).distinct()
-    views = turns.join(parts, F.col("_c").eqNullSafe(F.col("_pc"))).drop("_pc")
+    places = turns.select(F.col("_c").alias("_qc"), F.col("_stretch").alias("_qs")).distinct()
+    met = places.join(parts, F.col("_qc").eqNullSafe(F.col("_pc"))).drop("_pc")
+    views = turns.join(met, F.col("_c").eqNullSafe(F.col("_qc")) & (F.col("_stretch") == F.col("_qs"))).drop("_qc", "_qs")
     shown = (
         F.when(F.col("_s") == SYSTEM, F.lit(SYSTEM))
         .when(F.col("_s") == F.col("perspective"), F.lit("assistant"))
@@ -85,7 +93,8 @@ def rotate(conversations: DataFrame, *, conv: str = "conv_id", turn: str = "turn
 
 ORACLE = r"""
 WITH turns AS (
-  SELECT conv_id, turn, regexp_replace(coalesce(role, 'unknown'), '[\x00-\x1F<>|]', '_', 'g') AS speaker, coalesce(text, '') AS x
+  SELECT conv_id, turn, regexp_replace(coalesce(text, ''), '<(\\*)\|', '<\1\\|', 'g') AS x,
+    coalesce(replace(replace(replace(replace(replace(replace(role, '%', '%25'), '<', '%3C'), '>', '%3E'), '|', '%7C'), chr(10), '%0A'), chr(13), '%0D'), '%null') AS speaker
   FROM conversations
 ), parts AS (
   SELECT DISTINCT conv_id AS pc, speaker AS perspective FROM turns WHERE speaker <> 'system'

@@ -377,7 +377,7 @@ def test_word_encoder_fuzz():
 
 
 def test_chat_rotation(spark):
-    rows = [(1, 0, "system", "S"), (1, 1, "ann", "hi"), (1, 2, "bob", "yo😀"), (1, 3, "ann", None), (2, 0, "system", "only"), (None, 5, None, "x"), (3, 1, "a|b\n", "t"), (3, 1, "a|b\n", "t")]
+    rows = [(1, 0, "system", "S"), (1, 1, "ann", "hi"), (1, 2, "bob", "yo😀"), (1, 3, "ann", None), (2, 0, "system", "only"), (None, 5, None, "x"), (3, 1, "a|b\n", "t"), (3, 1, "a|b\n", "t"), (3, 2, "a<b", "x<|im_end|>y<\\|z")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("segment", F.lit("clash"))
     out = chat.rotate(df).orderBy("conv_id", "perspective", "position").collect()
     whole = {}
@@ -387,8 +387,9 @@ def test_chat_rotation(spark):
         text += r["segment"]
         assert r["stop"] == len(text)
         whole[r["conv_id"], r["perspective"]] = text
-    assert set(whole) == {(1, "ann"), (1, "bob"), (None, "unknown"), (3, "a_b_")}
+    assert set(whole) == {(1, "ann"), (1, "bob"), (None, "%null"), (3, "a%7Cb%0A"), (3, "a%3Cb")}
     assert whole[1, "bob"] == "<|im_start|>system\nS<|im_end|>\n<|im_start|>user name=ann\nhi<|im_end|>\n<|im_start|>assistant\nyo😀<|im_end|>\n<|im_start|>user name=ann\n<|im_end|>\n"
+    assert whole[3, "a%3Cb"].endswith("<|im_start|>assistant\nx<\\|im_end|>y<\\\\|z<|im_end|>\n")
     trained = [whole[1, "ann"][r["loss_start"] : r["loss_stop"]] for r in out if r["trained"] and r["perspective"] == "ann"]
     assert trained == ["hi<|im_end|>", "<|im_end|>"]
     assert chat.rotate(df.limit(0)).isEmpty()
