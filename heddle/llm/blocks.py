@@ -10,15 +10,16 @@ from dataclasses import dataclass
 # Elements that never break a block, hold no content, or hold text that is not for readers.
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q ruby rp rt s samp small span strike "
-    "strong sub sup time tt u var wbr picture source".split()
+    "strong sub sup time tt u var wbr picture source math mi mn mo ms mtext mrow msup msub mfrac msqrt svg g path text tspan "
+    "object".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-UNREAD = frozenset("script style noscript template title iframe svg textarea object canvas math audio video".split())
+UNREAD = frozenset("script style noscript template title iframe textarea canvas audio video".split())
 #: An opening tag on the left closes an open element on the right, if no element of the third kind lies between.
 CLOSES = {"li": "li", "dt": "dd dt", "dd": "dd dt", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option"}
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]{0,4000}\"|'[^']{0,4000}')*+)>"
+    r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<(/?)([A-Za-z][^\s/>]*)([^>]*)(?:>|\Z)|<[!?][^>]*>",
     re.S,
 )

@@ -255,11 +255,11 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 512, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterable[pa.RecordBatch], rows: int = 512, size: int = 4 << 20, text: str = "_text") -> Iterator[pa.RecordBatch]:
     """Batches cut to a bounded number of rows and, but for single long texts, of text bytes."""
     for batch in batches:
         low, held = 0, 0
-        sizes = [len(t.as_buffer()) if t.is_valid else 0 for t in batch.column("_text")]
+        sizes = [len(t.as_buffer()) if t.is_valid else 0 for t in batch.column(text)]
         for k, n in enumerate(sizes):
             if k > low and (held + n > size or k - low >= rows):
                 yield batch.slice(low, k - low)

@@ -12,13 +12,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from heddle.llm.blocks import MAIN, REST, Block, Pages, blocks_of
+from heddle.llm.bpe import slices
 
 #: Widths of the hashed tag path, the hashed words, and the recurrent state of one direction.
 PATH, WORDS, STATE = 192, 32, 24
 #: Training: synthetic pages, pages in a batch, passes, step size, seed.
 PAGES, BATCH, PASSES, RATE, SEED = 1500, 24, 6, 0.015, 7
-#: Pages that run through the labeller together.
-TOGETHER = 128
+#: Pages that run through the labeller together, the cells (pages by blocks of the longest) that they may fill, and blocks
+#: of a page that would fill more by itself and so runs in stretches that hand on the state.
+TOGETHER, CELLS, STRETCH = 128, 1 << 15, 1 << 12
 
 _NUMBERS = 7
 
@@ -38,10 +40,11 @@ def _path_vector(path: tuple[str, ...]) -> np.ndarray:
     return np.clip(out, -2, 2)
 
 
-def features(blocks: list[Block]) -> np.ndarray:
-    """One row a block: tag path, hashed words, sizes and shares."""
-    out = np.zeros((len(blocks), PATH + WORDS + _NUMBERS), np.float32)
-    for k, block in enumerate(blocks):
+def features(blocks: list[Block], low: int = 0, high: int | None = None) -> np.ndarray:
+    """One row for each block from ``low`` to ``high`` of a page: tag path, hashed words, sizes and shares."""
+    some = blocks[low:high]
+    out = np.zeros((len(some), PATH + WORDS + _NUMBERS), np.float32)
+    for k, block in enumerate(some):
         words = block.text.lower().encode().split()
         hashed = np.fromiter(map(zlib.crc32, words), np.uint32, len(words)) % WORDS
         out[k, :PATH] = _path_vector(block.path)
@@ -51,7 +54,7 @@ def features(blocks: list[Block]) -> np.ndarray:
             np.log1p(len(block.text)) / 5,
             block.linked,
             block.text[-1] in ".!?",
-            k / len(blocks),
+            (low + k) / len(blocks),
             len(block.path) / 8,
             1.0,
         )
@@ -62,12 +65,15 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (np.tanh(0.5 * x) + 1)
 
 
-def _run(x: np.ndarray, mask: np.ndarray, weights: tuple[np.ndarray, np.ndarray], keep: bool = False):
-    """States (steps, pages, STATE) of one direction; with ``keep`` also what its gradient needs."""
+def _run(x: np.ndarray, mask: np.ndarray, weights: tuple[np.ndarray, np.ndarray], keep: bool = False, carry: list | None = None):
+    """States (steps, pages, STATE) of one direction; with ``keep`` also what its gradient needs.
+
+    ``carry`` holds the state that a stretch begins with (empty at first) and takes the one that it ends with.
+    """
     wx, wh = weights
     steps, pages, _ = x.shape
     driven = x @ wx
-    h, c = np.zeros((pages, STATE), np.float32), np.zeros((pages, STATE), np.float32)
+    h, c = carry or (np.zeros((pages, STATE), np.float32), np.zeros((pages, STATE), np.float32))
     out, kept = np.zeros((steps, pages, STATE), np.float32), []
     for t in range(steps):
         z = driven[t] + h @ wh
@@ -80,6 +86,8 @@ def _run(x: np.ndarray, mask: np.ndarray, weights: tuple[np.ndarray, np.ndarray]
             kept.append((h, c, i, f, o, fresh, curved, m))
         h, c = m * o * curved + (1 - m) * h, m * new_c + (1 - m) * c
         out[t] = h
+    if carry is not None:
+        carry[:] = h, c
     return (out, kept) if keep else out
 
 
@@ -126,6 +134,20 @@ class Labeller:
         z = (np.concatenate([ahead, back], 2) @ self.p[4])[..., 0] + self.p[5]
         return [z[: len(row), k] for k, row in enumerate(rows)]
 
+    def long_scores(self, blocks: list[Block]) -> np.ndarray:
+        """The log odds of one long page: what it needs at a time is a stretch's features and every block's states."""
+        lows = range(0, len(blocks), STRETCH)
+        states = np.zeros((len(blocks), 2 * STATE), np.float32)
+        ahead: list = []
+        for low in lows:
+            x = features(blocks, low, low + STRETCH)[:, None]
+            states[low : low + STRETCH, :STATE] = _run(x, np.ones(x.shape[:2], np.float32), (self.p[0], self.p[1]), carry=ahead)[:, 0]
+        back: list = []
+        for low in reversed(lows):
+            x = features(blocks, low, low + STRETCH)[::-1, None]
+            states[low : low + STRETCH, STATE:] = _run(x, np.ones(x.shape[:2], np.float32), (self.p[2], self.p[3]), carry=back)[::-1, 0]
+        return (states @ self.p[4])[:, 0] + self.p[5]
+
     def gradients(self, rows: list[np.ndarray], labels: list[np.ndarray]) -> list[np.ndarray]:
         x, mask = self.pack(rows)
         y = np.zeros(mask.shape, np.float32)
@@ -175,22 +197,29 @@ def train(pages: int = PAGES, seed: int = SEED) -> Labeller:
 
 def main_texts(pages: list[str | None], model: Labeller) -> list[str]:
     """Main text of each page: its blocks labelled as such, in page order, an empty line between them."""
-    parsed = [blocks_of(p) if p else [] for p in pages]
-    rows = [features(b) if b else None for b in parsed]
     out = [""] * len(pages)
+    parsed = [blocks_of(p) if p else [] for p in pages]
     order = sorted((k for k, b in enumerate(parsed) if b), key=lambda k: len(parsed[k]))
-    for low in range(0, len(order), TOGETHER):
-        some = order[low : low + TOGETHER]
-        for k, z in zip(some, model.scores([rows[k] for k in some]), strict=True):
-            out[k] = "\n\n".join(b.text for b, main in zip(parsed[k], z > 0, strict=True) if main)
+
+    def show(k: int, scores: np.ndarray) -> None:
+        out[k] = "\n\n".join(b.text for b, main in zip(parsed[k], scores > 0, strict=True) if main)
+
+    while order:
+        longest = len(parsed[order[-1]])
+        if longest > CELLS:
+            show(k := order.pop(), model.long_scores(parsed[k]))
+            continue
+        some = order[-min(TOGETHER, CELLS // longest) :]
+        del order[-len(some) :]
+        for k, z in zip(some, model.scores([features(parsed[k]) for k in some]), strict=True):
+            show(k, z)
     return out
 
 
 def _extract(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
     model = shared.value
     for batch in batches:
-        for low in range(0, batch.num_rows, 4 * TOGETHER):
-            part = batch.slice(low, 4 * TOGETHER)
+        for part in slices([batch], 4 * TOGETHER, 8 << 20, "_html"):
             texts = main_texts(part.column("_html").to_pylist(), model)
             yield pa.RecordBatch.from_arrays(
                 [part.column("_k"), part.column("url"), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())],
@@ -202,7 +231,7 @@ def extract(pages: DataFrame, *, key: str = "page_id", url: str = "url", html: s
     """Main text of every page.
 
     The labeller is trained once a driver process on PAGES synthetic pages (a fixed, documented sample of
-    our own making) and broadcast: some 100 kB, whatever the data. Null and empty pages, and pages without
+    our own making) and broadcast: some 100 kB, whatever the data. Pages run together by their blocks, and a very long page in stretches. Null and empty pages, and pages without
     main blocks, give an empty text. Broken markup is read as far as it goes. Repeated rows each get a
     result; an empty table gives an empty result; other columns are not read.
 

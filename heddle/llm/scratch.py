@@ -18,9 +18,11 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder named by the session; set here only where it is unset."""
+    """The shared folder named by the session; set here only where it is unset and all executors are on this machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="heddle-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")

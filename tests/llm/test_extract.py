@@ -70,3 +70,30 @@ def test_extract(spark, model):
     rows = sorted(tuple(r) for r in extract.extract(df).select("page_id", "n_chars").collect())
     assert rows[2] == (2, 0) and rows[0] == rows[1] and rows[0][1] > 50
     assert extract.extract(df.limit(0)).isEmpty()
+
+
+def test_long_attributes_and_foreign_elements():
+    long = "<p data-x='" + "y>" * 3000 + "'>One <math><mi>e</mi></math> two <svg><text>three</text></svg></p><p title=\"open>four</p>"
+    assert [b.text for b in blocks_of(long)] == ["One e two three", "four"]
+
+
+def test_long_pages_in_stretches(model, monkeypatch):
+    blocks = blocks_of(PAGE) * 7
+    whole = model.scores([extract.features(blocks)])[0]
+    monkeypatch.setattr(extract, "STRETCH", 5)
+    assert np.abs(model.long_scores(blocks) - whole).max() < 1e-4
+    want = extract.main_texts([PAGE, PAGE * 3, None], model)
+    monkeypatch.setattr(extract, "CELLS", 8)
+    assert extract.main_texts([PAGE, PAGE * 3, None], model) == want
+
+
+def test_a_page_of_many_blocks_needs_little_memory(model):
+    import tracemalloc
+
+    tracemalloc.start()
+    blocks = blocks_of("<p>a b</p>" * 50_000)
+    before = tracemalloc.get_traced_memory()[0]
+    tracemalloc.reset_peak()
+    assert len(model.long_scores(blocks)) == 50_000
+    assert tracemalloc.get_traced_memory()[1] - before < 60 << 20
+    tracemalloc.stop()
