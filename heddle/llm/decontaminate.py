@@ -4,19 +4,24 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from heddle.llm.columns import quoted
+from heddle.llm.scratch import materialise
 
 #: Words in a window.
 NGRAM = 10
-#: UTF-8 bytes of benchmark text that one broadcast set may hold; more text is scanned in further passes.
-BLOCK_BYTES = 16 << 20
+#: UTF-8 bytes of benchmark text that one broadcast set may hold (some 15 times that in memory); more is scanned in further passes.
+BLOCK_BYTES = 4 << 20
 
+# What a scan adds to a row: a bit a word, the names of the items hit, the number of words.
+_FOUND = [T.StructField("_hits", T.BinaryType()), T.StructField("_items", T.ArrayType(T.StringType())), T.StructField("_n_words", T.LongType())]
 # Words are runs of 0-9, a-z and bytes of non-ASCII characters, after A-Z are lower-cased; the rest separates.
 _FOLD = bytes(
     b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256)
@@ -42,30 +47,59 @@ def _rolling(ids: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+class _Windows:
+    """The distinct windows of one length as arrays sorted by hash: about 60 bytes a window, and the items that have each."""
+
+    def __init__(self, rows: np.ndarray, items: np.ndarray):
+        distinct, of = np.unique(rows, axis=0, return_inverse=True)
+        hashes = np.array([], np.uint64) if not len(rows) else _rolling_rows(distinct)
+        order = np.argsort(hashes, kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        pairs = np.unique(np.stack([place[of.ravel()], items], 1), axis=0)
+        self.hashes, self.rows = hashes[order], distinct[order]
+        self.bounds, self.items = np.searchsorted(pairs[:, 0], np.arange(len(order) + 1)), pairs[:, 1].astype(np.int32)
+
+    def find(self, rolled: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """The number of the window that equals each row, by way of its hash; -1: none."""
+        out = np.full(len(rolled), -1)
+        low, high = np.searchsorted(self.hashes, rolled), np.searchsorted(self.hashes, rolled, "right")
+        step = 0
+        while (open_ := np.flatnonzero((out < 0) & (low + step < high))).size:  # more than one step only where hashes collide
+            equal = (self.rows[low[open_] + step] == rows[open_]).all(1)
+            out[open_[equal]] = (low + step)[open_[equal]]
+            step += 1
+        return out
+
+
+def _rolling_rows(rows: np.ndarray) -> np.ndarray:
+    """:func:`_rolling` of windows that are rows."""
+    out = np.zeros(len(rows), np.uint64)
+    for column in rows.T:
+        out *= _BASE
+        out += column.astype(np.uint64)
+    return out
+
+
 class GramSet:
     """The distinct windows of some benchmark items, by window length."""
 
     def __init__(self, items: list[tuple[str, str | None]], ngram: int = NGRAM):
         self.ids: dict[bytes, int] = {}
         self.names: list[str] = []
-        grams: dict[int, dict[tuple[int, ...], list[int]]] = {}
+        rows: dict[int, list[np.ndarray]] = {}
+        owners: dict[int, list[np.ndarray]] = {}
         for name, text in items:
             words = split_words(text)
             if not words:
                 continue
-            at = len(self.names)
-            self.names.append(name)
-            own = [self.ids.setdefault(w, len(self.ids) + 1) for w in words]  # 0: a word of no item
+            own = np.array([self.ids.setdefault(w, len(self.ids) + 1) for w in words], np.uint32)  # 0: a word of no item
             n = min(ngram, len(own))
-            for k in range(len(own) - n + 1):
-                found = grams.setdefault(n, {}).setdefault(tuple(own[k : k + n]), [])
-                if not found or found[-1] != at:
-                    found.append(at)
-        self.grams = grams
-        self.hashes = {
-            n: np.unique(np.array([_rolling(np.array(g, np.uint64), n)[0] for g in sorted(grams[n])], np.uint64))
-            for n in sorted(grams)
-        }
+            found = np.lib.stride_tricks.sliding_window_view(own, n)
+            rows.setdefault(n, []).append(found)
+            owners.setdefault(n, []).append(np.full(len(found), len(self.names)))
+            self.names.append(name)
+        self.windows = {n: _Windows(np.concatenate(rows[n]), np.concatenate(owners[n])) for n in sorted(rows)}
 
     def scan(self, words: list[bytes]) -> tuple[np.ndarray, set[str]]:
         """Which words lie in an occurrence of a window, and the names of the items hit."""
@@ -75,54 +109,64 @@ class GramSet:
             return covered, set()
         get = self.ids.get
         ids = np.fromiter((get(w, 0) for w in words), np.uint64, len(words))
-        for n, hashes in self.hashes.items():
+        unknown = np.concatenate([[0], np.cumsum(ids == 0)])
+        for n, windows in self.windows.items():
             if len(ids) < n:
                 continue
-            unknown = np.concatenate([[0], np.cumsum(ids == 0)])
             starts = np.flatnonzero(unknown[n:] == unknown[:-n])
             if not len(starts):
                 continue
             rolled = _rolling(ids, n)[starts]
-            at = np.searchsorted(hashes, rolled)
-            starts = starts[hashes[np.minimum(at, len(hashes) - 1)] == rolled]
-            exact = self.grams[n]
-            for k in starts.tolist():
-                items = exact.get(tuple(ids[k : k + n].tolist()))  # verifies the hash hit
-                if items is not None:
-                    covered[k : k + n] = True
-                    found.update(items)
+            at = np.searchsorted(windows.hashes, rolled)
+            hit = windows.hashes[np.minimum(at, len(windows.hashes) - 1)] == rolled
+            starts, rolled = starts[hit], rolled[hit]
+            if not len(starts):
+                continue
+            which = windows.find(rolled, np.lib.stride_tricks.sliding_window_view(ids, n)[starts])  # word for word
+            for k in starts[which >= 0].tolist():
+                covered[k : k + n] = True
+            for w in np.unique(which[which >= 0]).tolist():
+                found.update(windows.items[windows.bounds[w] : windows.bounds[w + 1]].tolist())
         return covered, {self.names[i] for i in found}
 
 
 def _scan(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
-    """Add what one block of items hits to what earlier blocks have hit."""
+    """Add the words and the items that one block of items hits."""
     grams: GramSet = shared.value
     for batch in batches:
-        columns = {n: batch.column(n) for n in batch.schema.names}
         hits, items, counts = [], [], []
-        for text, old_hits, old_items in zip(
-            columns["_text"].to_pylist(), columns["_hits"].to_pylist(), columns["_items"].to_pylist(), strict=True
-        ):
+        for text in batch.column("_text").to_pylist():
             words = split_words(text)
             covered, names = grams.scan(words)
-            if old_hits:
-                covered |= np.unpackbits(np.frombuffer(old_hits, np.uint8), count=len(words)).astype(bool)
-            hits.append(np.packbits(covered).tobytes() if covered.any() else b"")
-            items.append(sorted(names.union(old_items or ())))
+            hits.append(np.packbits(covered).tobytes() if names else b"")
+            items.append(sorted(names))
             counts.append(len(words))
-        columns["_hits"] = pa.array(hits, pa.binary())
-        columns["_items"] = pa.array(items, pa.list_(pa.string()))
-        columns["_n_words"] = pa.array(counts, pa.int64())
-        yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+        made = [pa.array(hits, pa.binary()), pa.array(items, pa.list_(pa.string())), pa.array(counts, pa.int64())]
+        yield pa.RecordBatch.from_arrays([*batch.columns, *made], [*batch.schema.names, "_hits", "_items", "_n_words"])
+
+
+def _either(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row a document from those of several blocks: all words and all items that any of them hits."""
+    for batch in batches:
+        hits, items = [], []
+        for parts, names in zip(batch.column("_parts").to_pylist(), batch.column("_names").to_pylist(), strict=True):
+            parts = [np.frombuffer(p, np.uint8) for p in parts or [] if p]
+            hits.append(np.bitwise_or.reduce(parts).tobytes() if parts else b"")
+            items.append(sorted(set().union(*(names or []))))
+        kept = [n for n in batch.schema.names if n not in ("_parts", "_names")]
+        yield pa.RecordBatch.from_arrays(
+            [*(batch.column(n) for n in kept), pa.array(hits, pa.binary()), pa.array(items, pa.list_(pa.string()))], [*kept, "_hits", "_items"]
+        )
 
 
 def scan_documents(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", keep: list[str], item_key: str = "item_id",
                    item_text: str = "text", ngram: int = NGRAM, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Columns ``keep`` of ``docs``, named k0, k1 and so on, with _text, _hits (bit per word), _items (sorted names) and _n_words.
 
-    The benchmark's text is measured first. Up to ``block_bytes`` it is broadcast as one set; beyond that
-    it is split by a hash of the item's key into as many blocks as its size asks for, each broadcast in
-    turn while the documents pass through all of them in one stage. No size is assumed, none is cut off.
+    The benchmark's text is measured first. Up to ``block_bytes`` it is broadcast as one set; beyond that it is split by a
+    hash of the item's key into as many blocks as its size asks for, and the documents are scanned once a block, in tasks
+    of their own, so a worker holds one block's set at a time. What the blocks hit is joined by row. No size is assumed,
+    none is cut off.
     """
     spark = docs.sparkSession
     items = benchmark.select(F.col(item_key).cast("string").alias("name"), F.col(item_text).alias("text")).where(
@@ -130,21 +174,29 @@ def scan_documents(docs: DataFrame, benchmark: DataFrame, *, text: str = "text",
     )
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-size // block_bytes))
-    kinds = ", ".join(f"{f'k{i}'} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep))
-    out = docs.select(
-        *[quoted(c).alias(f"k{i}") for i, c in enumerate(keep)],
-        quoted(text).alias("_text"),
-        F.lit(b"").alias("_hits"),
-        F.array().cast("array<string>").alias("_items"),
-        F.lit(0).cast("long").alias("_n_words"),
-    )
-    schema = f"{kinds}, _text string, _hits binary, _items array<string>, _n_words long"
-    for block in range(blocks):
+    named = docs.select(*[quoted(c).alias(f"k{i}") for i, c in enumerate(keep)], quoted(text).alias("_text"))
+
+    def scanned(rows: DataFrame, block: int) -> DataFrame:
         part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("name"), F.lit(blocks)) == block)
-        rows = [(r["name"], r["text"]) for r in part.collect()]  # about block_bytes, measured above
-        shared = spark.sparkContext.broadcast(GramSet(rows, ngram))
-        out = out.mapInArrow(lambda it, shared=shared: _scan(it, shared), schema)
-    return out
+        found = [(r["name"], r["text"]) for r in part.collect()]  # about block_bytes, measured above
+        shared = spark.sparkContext.broadcast(GramSet(found, ngram))
+        schema = T.StructType([*rows.schema, *_FOUND])
+        return rows.mapInArrow(lambda it: _scan(it, shared), schema)
+
+    if blocks == 1:
+        return scanned(named, 0)
+    rows = materialise(named.withColumn("_row", F.monotonically_increasing_id()), "decontaminate-rows")
+    hit = [scanned(rows.select("_row", "_text"), k).where(F.size("_items") > 0).select("_row", "_hits", "_items") for k in range(blocks)]
+    lists = reduce(DataFrame.unionByName, hit).groupBy("_row").agg(F.collect_list("_hits").alias("_parts"), F.collect_list("_items").alias("_names"))
+    both = materialise(rows.join(lists, "_row", "left").drop("_row"), "decontaminate-hits")  # at most a list entry a block
+    schema = T.StructType([*named.schema, *_FOUND[:2]])
+    merged = both.mapInArrow(_either, schema)
+    # Words are counted by a scan of no items, so there is one definition of a word.
+    empty = spark.sparkContext.broadcast(GramSet([], ngram))
+    counted = merged.select(*named.columns, F.col("_hits").alias("_h"), F.col("_items").alias("_i"))
+    schema = T.StructType([*counted.schema, *_FOUND])
+    out = counted.mapInArrow(lambda it: _scan(it, empty), schema)
+    return out.select(*named.columns, F.col("_h").alias("_hits"), F.col("_i").alias("_items"), "_n_words")
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
