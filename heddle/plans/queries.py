@@ -11,7 +11,9 @@ from heddle.functions import curriculum, parsers, prompts, vectors, verify
 from heddle.functions import quality as q
 from heddle.functions.text import WHITE_SPACE
 from heddle.operators import cluster, estimates, filtering, memory, mixing, packing, probes, search, synth
+from heddle.operators.blocks import running_before
 from heddle.plans.snippets import CALLS, CODE, EDITS, TAGGED
+from heddle.sources import files, shared
 from heddle.streaming.incremental import windowed_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -636,3 +638,70 @@ def probe_regress(spark: SparkSession, sf_dir: str) -> DataFrame:
 def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windowed_counts(_table(spark, sf_dir, "events"), "ts", "event_type")
 
+
+
+# --- sources and sinks, written and read again ------------------------------------------------------------------------
+
+
+@query("SELECT sha256(text) AS hash, lang, source AS path, false AS malformed FROM documents")
+def jsonl_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents through the JSON-lines sink and the tolerant reader."""
+    path = shared.new_path(spark, "jsonl")
+    docs = _table(spark, sf_dir, "documents").select(F.col("text").alias("content"), "lang", F.col("source").alias("path"))
+    files.write_jsonl(docs, path)
+    return files.read_jsonl(spark, path, glob="*.json").select(F.sha2("content", 256).alias("hash"), "lang", "path", "malformed")
+
+
+@query(f"""SELECT line, count(*) AS n FROM (SELECT trim(x, {_WS}) AS line FROM (SELECT unnest(string_split(text, chr(10))) AS x FROM documents)) WHERE line <> '' GROUP BY line""")
+def raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All lines of all documents as plain text; the counts are for the comparison."""
+    path = shared.new_path(spark, "lines")
+    _table(spark, sf_dir, "documents").select("text").write.text(path)
+    return files.read_raw_lines(spark, [path, path + "-missing"]).groupBy("line").agg(F.count("*").alias("n"))
+
+
+_LENGTHS = "list_transform(string_split(text, ' '), lambda x: length(x))"
+
+
+def _word_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").select("doc_id", F.transform(F.split("text", " ", -1), F.length).alias("ids"))
+
+
+@query(f"SELECT '1,' || array_to_string({_LENGTHS}, ',') || ',2' AS input_ids FROM documents")
+def ids_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Id lists through JSON lines; the reader adds the begin and end ids."""
+    path = shared.new_path(spark, "ids") + ".jsonl"
+    _word_lengths(spark, sf_dir).select(F.col("ids").alias("input_ids")).write.json(path)
+    return files.read_ids_jsonl(spark, path).select(_joined("input_ids").alias("input_ids"))
+
+
+@query(f"""SELECT doc_id, len(ids) AS n, CAST(list_sum(ids) AS BIGINT) AS total, CAST(sum(len(ids)) OVER (ORDER BY doc_id ROWS UNBOUNDED PRECEDING) - len(ids) AS BIGINT) AS start
+  FROM (SELECT doc_id, {_LENGTHS} AS ids FROM documents)""")
+def token_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each document's ids begin in the stream of all of them in order."""
+    rows = running_before(_word_lengths(spark, sf_dir), F.size("ids"), [F.col("doc_id")], "start")
+    total = F.aggregate("ids", F.lit(0).cast("long"), lambda a, x: a + x)
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n"), total.alias("total"), "start")
+
+
+@query("""WITH k AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id DESC) AS r, max(vec_id) OVER () AS last, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)
+  SELECT vec_id AS "text", round(list_sum(list_transform(v, lambda x: x / sqrt(list_dot_product(v, v)))), 6) + 0.0 AS total FROM k WHERE r <= 200""")
+def memory_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors appended to an empty memory of 200 entries, saved and loaded: the newest stay, as unit vectors."""
+    path = shared.new_path(spark, "memory")
+    rows = _embeddings(spark, sf_dir).withColumn("text", F.col("vec_id").cast("string"))
+    memory.save(memory.append(memory.empty(spark), rows, 64, 200, order=["vec_id"]), path)
+    total = F.aggregate("key", F.lit(0.0), lambda a, x: a + x)
+    return memory.load_or_create(spark, path).select(F.col("text").cast("long").alias("text"), (F.round(total, 6) + 0.0).alias("total"))
+
+
+@query("""WITH f AS (SELECT text, min(doc_id) AS doc_id FROM documents GROUP BY text), seen AS (SELECT DISTINCT text FROM documents WHERE source = 'src0')
+  SELECT d.doc_id, CASE WHEN EXISTS (SELECT 1 FROM seen s WHERE s.text = d.text) OR d.doc_id > f.doc_id THEN true ELSE false END AS repeated
+  FROM documents d JOIN f ON d.text = f.text""")
+def dedup_across_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document against the hashes that an earlier run over one source has kept, and against this run's earlier ones."""
+    docs = _table(spark, sf_dir, "documents")
+    earlier = docs.where("source = 'src0'").select(q.content_hash("text").alias("hash"))
+    flagged = filtering.seen_before(docs.select("doc_id", q.content_hash("text").alias("_hash")), earlier)
+    firsts = flagged.groupBy("_hash").agg(F.min("doc_id").alias("first"))
+    return flagged.join(firsts, "_hash").select("doc_id", (F.col("_seen") | (F.col("doc_id") > F.col("first"))).alias("repeated"))
