@@ -1,57 +1,7 @@
-"""Written tables in the folder that all executors share.
-
-Lineage is cut with tables written to ``spark.checkpoint.dir``; only where that setting is absent
-(tests, a laptop) does a folder under the system's temporary directory take its place. Tables are
-removed when the driver exits, or earlier by :func:`clear`, because a lazily returned result may still
-read them.
-"""
+"""Written tables in the folder that all executors share; see :mod:`heddle.sources.shared`."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-_written: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder named by the session; set here only where it is unset and all executors are on this machine."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="heddle-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def new_path(spark: SparkSession, label: str) -> str:
-    path = f"{shared_dir(spark)}/heddle-{label}-{uuid.uuid4().hex}"
-    _written.append((spark, path))
-    return path
-
-
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once and return the written table."""
-    spark = df.sparkSession
-    path = new_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def clear() -> None:
-    """Delete every table written so far."""
-    while _written:
-        spark, path = _written.pop()
-        try:
-            jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(conf).delete(target, True)
-        except Exception:  # the session is gone: nothing is left that could delete the folder
-            return
-
+from heddle.sources.shared import clear, materialise, new_path, shared_dir
 
-atexit.register(clear)
+__all__ = ["clear", "materialise", "new_path", "shared_dir"]
