@@ -77,3 +77,15 @@ def count_parameters(layers: int, dim: int, vocab: int, hidden: int, heads: int,
 def feed_forward_width(dim: int) -> int:
     """Two thirds of four times ``dim``, rounded up to 256."""
     return -(-(8 * dim // 3) // 256) * 256
+
+
+#: Tokens a parameter beyond which a run trains for longer than the compute-optimal ratio asks for.
+OVERTRAINING = 30.0
+
+
+def token_budget(parameters: int, ratio: float, batch: int, accumulate: int, length: int, steps: int | None = None) -> dict[str, object]:
+    """Tokens that a model of so many parameters should see, tokens a step, and the steps that takes (unless given)."""
+    per_step, budget = batch * accumulate * length, int(parameters * ratio)
+    needed = max(1, -(-budget // max(1, per_step)))
+    regime = "overtraining" if ratio > OVERTRAINING else "chinchilla-optimal"
+    return {"tokens_per_step": per_step, "target_tokens": budget, "steps": needed if steps is None else steps, "regime": regime}

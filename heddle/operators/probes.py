@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import LinearRegression
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.regression import LinearRegression, LinearRegressionModel
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Default label sets and targets.
@@ -62,7 +62,19 @@ class ClassificationProbe:
         return out.select(*df.columns, "predicted", "probabilities")
 
     def save(self, path: str) -> None:
+        """The fitted pipeline, and the labels beside it."""
         self.model.write().overwrite().save(path)
+        spark = SparkSession.active()
+        rows = [(k, label) for k, label in enumerate(self.labels)]
+        spark.createDataFrame(rows, "code int, label string").coalesce(1).write.mode("overwrite").parquet(f"{path}-labels")
+
+    @classmethod
+    def load(cls, path: str) -> ClassificationProbe:
+        """A saved probe, ready to predict."""
+        rows = SparkSession.active().read.parquet(f"{path}-labels").orderBy("code").collect()
+        probe = cls([r["label"] for r in rows])
+        probe.model = PipelineModel.load(path)
+        return probe
 
 
 class RegressionProbe:
@@ -90,6 +102,13 @@ class RegressionProbe:
     def save(self, path: str) -> None:
         self.model.write().overwrite().save(path)
 
+    @classmethod
+    def load(cls, path: str, target: str = "custom") -> RegressionProbe:
+        """A saved probe, ready to predict."""
+        probe = cls(target)
+        probe.model = LinearRegressionModel.load(path)
+        return probe
+
 
 def regression_suite() -> dict[str, RegressionProbe]:
     """Quality by squared, complexity by Huber loss."""
