@@ -38,6 +38,15 @@ def byte_letters() -> list[str]:
     return [letters[b] for b in range(256)]
 
 
+def _check_splitter(spec: dict) -> None:
+    """Raise unless texts are split as :data:`_PIECES` splits them, with nothing done to them before."""
+    before = spec.get("pre_tokenizer") or {}
+    if spec.get("normalizer") or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True):
+        raise ValueError("a vocabulary without a normaliser, with the byte-level splitter, is needed")
+    if any(t.get(p) for t in spec.get("added_tokens", []) for p in ("single_word", "lstrip", "rstrip")):
+        raise ValueError("added tokens that take in their surroundings are not supported")
+
+
 class Codec:
     """A byte-level BPE vocabulary as tables."""
 
@@ -47,6 +56,7 @@ class Codec:
         model = spec["model"]
         if model["type"] != "BPE" or model.get("end_of_word_suffix") or model.get("continuing_subword_prefix"):
             raise ValueError("a byte-level BPE vocabulary without affixes is needed")
+        _check_splitter(spec)
         letters = byte_letters()
         byte_of = {c: b for b, c in enumerate(letters)}
         vocab = model["vocab"]
@@ -69,6 +79,7 @@ class Codec:
         self._index()
         marks = [re.escape(t) for t in self.specials]
         self.mark = re.compile("(" + "|".join(marks) + ")") if marks else None
+        self.heads = {t[0] for t in self.specials}  # a text without any of these letters holds no added token
         self.opening: dict[str, bytes] = {}
         self.spaced: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
@@ -216,7 +227,7 @@ class Codec:
         whole: list[tuple[int, int, list[str]]] = []  # (text, place, pre-tokens)
         chunked: list[tuple[int, int, list[str]]] = []  # (text, place, chunks)
         for k, text in enumerate(texts):
-            for part in self.mark.split(text) if self.mark and "<" in text else (text,):
+            for part in self.mark.split(text) if any(h in text for h in self.heads) else (text,):
                 if part in self.specials:
                     out[k].append(np.array([self.specials[part]], "<u4").tobytes())
                 elif part:

@@ -145,6 +145,17 @@ def test_bpe_fuzz():
         assert library.encode(text, add_special_tokens=False).ids == np.frombuffer(ids, "<u4").tolist(), text
 
 
+def test_a_vocabulary_that_splits_otherwise_is_refused(tmp_path):
+    import json
+
+    with open(vocabulary("byte_bpe_50k.json"), encoding="utf-8") as f:
+        spec = json.load(f)
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"pre_tokenizer": spec["pre_tokenizer"] | {"add_prefix_space": True}}):
+        (tmp_path / "v.json").write_text(json.dumps(spec | change))
+        with pytest.raises(ValueError):
+            bpe.Codec(str(tmp_path / "v.json"))
+
+
 def test_forced_boundaries_lie_in_no_token():
     own = bpe.codec(vocabulary("byte_bpe_50k.json"))
     piece = "Straße中文zzqxé".encode()
