@@ -55,3 +55,23 @@ def test_run_and_registration(spark, stages):
     assert {r["doc_id"] for r in p.run(spark, SF).select("doc_id").collect()} == {r["doc_id"] for r in stages[-1][2].collect()}
     names = entry.queries()
     assert "pipeline" in names and sum(n.startswith("op") and n[2].isdigit() for n in names) == 10
+
+
+def test_stages_on_nulls_repeats_and_nothing(spark):
+    words = [f"w{k}x" for k in range(90)]
+    whole, other = " ".join(words), " ".join(f"o{k % 61}y{k}" for k in range(120))
+    rows = [(1, whole, "en", "s", 1), (1, whole, "en", "s", 1), (None, whole, None, None, None), (None, None, None, None, None), (2, "", "en", None, 0)]
+    rows += [(None, other, "de", "t", 5), (None, other, "de", "t", 5), (3, "é" * 30_000, "fr", "s", 2), (4, "one two", "en", "s", 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    good = p.quality_rules(spark, docs, SF)
+    assert sorted(map(tuple, good.collect()), key=str) == sorted([*rows[:3], *rows[5:7]], key=str)
+    near = p.near_dedup(spark, docs, SF).collect()
+    assert sorted(str(r["text"])[:20] for r in near) == sorted([whole[:20], other[:20], "é" * 20, "one two", str(next(r["text"] for r in near if not r["text"]))])
+    cut = {r["doc_id"]: r["text"] for r in p.suffix_dedup(spark, docs.where("doc_id is not null"), SF).collect()}
+    assert cut == {1: "", 2: "", 3: "", 4: "one two"}
+    clean = p.benchmark_decontamination(spark, docs, SF)
+    assert sorted(map(str, texts(clean))) == sorted(map(str, texts(docs))) and clean.count() == len(rows)
+    tokens = p.bpe_encoding(spark, docs, SF).collect()
+    assert len(tokens) == len(rows) and sum(r["n_tokens"] == 0 for r in tokens) == 2
+    for _, stage in p.STAGES:
+        assert stage(spark, docs.limit(0), SF).isEmpty()
