@@ -19,6 +19,8 @@ SHINGLE, SEED, RADIUS = 4, 42, 4
 SEGMENTS = (13, 13, 13, 13, 12)
 #: Fingerprints of one bucket that are compared in one go; larger buckets are split into pairs of blocks.
 BLOCK = 8192
+#: Shares in which a group's fingerprints meet its smallest key.
+SHARES = 32
 
 _OFFSETS = np.concatenate([[0], np.cumsum(SEGMENTS)])[:-1]
 
@@ -189,11 +191,14 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text")
     prints = materialise(fingerprints(docs, key=key, text=text), "simhash-prints")
     distinct = materialise(prints.groupBy("_fp").agg(F.min("_k").alias("_low")), "simhash-distinct")
     groups = connected_components(link_fingerprints(distinct))
-    labelled = distinct.join(groups.withColumnRenamed("node", "_fp"), "_fp", "left").select(
-        "_fp", "_low", F.coalesce("root", "_fp").alias("_root")
-    )
-    lowest = labelled.groupBy("_root").agg(F.min("_low").alias("component_id"))
-    named = labelled.join(lowest, "_root").select("_fp", "component_id")
+    linked = groups.join(distinct, groups["node"] == F.col("_fp")).select("_fp", F.col("root").alias("_root"), "_low")
+    linked = materialise(linked, "simhash-linked")
+    # A group may hold most fingerprints, so its smallest key meets them in SHARES tasks.
+    shares = F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))).alias("_share")
+    lowest = linked.groupBy("_root").agg(F.min("_low").alias("component_id")).select("*", shares)
+    share = F.pmod(F.xxhash64("_fp"), F.lit(SHARES)).cast("int").alias("_share")
+    met = linked.select("_fp", "_root", share).join(lowest, ["_root", "_share"]).select("_fp", "component_id")
+    named = distinct.join(met, "_fp", "left").select("_fp", F.coalesce("component_id", "_low").alias("component_id"))
     return prints.join(named, "_fp").select(
         F.col("_k").alias(key),
         F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"),
