@@ -269,13 +269,17 @@ def _compare(batches: Iterator[pa.RecordBatch], want: bool) -> Iterator[pa.Recor
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Keys with the names of their texts and the texts, compressed for the exchange."""
-    press = zstandard.ZstdCompressor(level=1)
+    """Keys with the names of their texts and the texts, compressed for the exchange.
+
+    Texts shorter than a window, null and empty ones too, have no ranges; numbers instead of names deal them out evenly.
+    """
+    press, seen = zstandard.ZstdCompressor(level=1), 0
     for batch in batches:
         for low in range(0, batch.num_rows, 1024):
             part = batch.slice(low, 1024)
             raws = [t.as_buffer().to_pybytes() if t.is_valid else b"" for t in part.column("_text")]
-            names = np.array([name_of(r) for r in raws], np.int64).reshape(-1, 2)
+            names = np.array([name_of(r) if len(r) >= WIDTH else (seen + k, -1) for k, r in enumerate(raws)], np.int64).reshape(-1, 2)
+            seen += len(raws)
             packed = pa.array([press.compress(r) for r in raws], pa.binary())
             columns = [c for n, c in zip(part.schema.names, part.columns, strict=True) if n != "_text"]
             yield pa.RecordBatch.from_arrays(
@@ -424,7 +428,8 @@ def _with_ranges(docs: DataFrame, text: str) -> DataFrame:
 
     wanted = runs.where(F.col("kind") == WANTED).select("d1", "d2", "low", "high", "bucket").distinct()
     lists = wanted.groupBy("d1", "d2").agg(F.collect_list(F.struct("low", "high", "bucket")).alias("_wanted"))  # a text's own
-    blocks = packed.select("d1", "d2", "_packed").join(lists, ["d1", "d2"]).mapInArrow(_sort_blocks, _SCHEMA)
+    once = packed.select("d1", "d2", "_packed").dropDuplicates(["d1", "d2"])  # copies are dropped before the exchange too
+    blocks = once.join(lists, ["d1", "d2"]).mapInArrow(_sort_blocks, _SCHEMA)
     blocks = materialise(_exchange(blocks, True), "repeat-blocks")
     windows = _exchange(blocks.where(F.col("kind") == WANTED).mapInArrow(_sort_windows, _SLIM), False)
     known = [x.where(F.col("kind") == KNOWN).select("d1", "d2", "low", "high") for x in (runs, blocks, windows)]
