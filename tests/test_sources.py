@@ -96,7 +96,11 @@ def test_streams(spark, tmp_path):
     run = incremental.remember(spark.readStream.schema(vectors.schema).parquet(str(tmp_path / "v")), out, 2, 3, order=["n"]).start()
     run.processAllAvailable()
     run.stop()
-    assert sorted(r["text"] for r in spark.read.parquet(out).collect()) == ["t1", "t2", "t3"]
+    assert sorted(r["text"] for r in incremental.recall(spark, out).collect()) == ["t1", "t2", "t3"]
+    again = incremental.remember(spark.readStream.schema(vectors.schema).parquet(str(tmp_path / "v")), out, 2, 3, order=["n"]).start()
+    again.processAllAvailable()  # the same epoch once more
+    again.stop()
+    assert sorted(r["text"] for r in incremental.recall(spark, out).collect()) == ["t1", "t2", "t3"]
 
 
 def test_entry(spark):
