@@ -417,17 +417,34 @@ def _tag_sql(name: str) -> str:
     return f"CASE WHEN {o} <> {c} THEN 'Unbalanced tag: ' || {o} || 'x <{name}> vs ' || {c} || 'x </{name}>' END"
 
 
-@query(f"""WITH t AS (SELECT id, text, list_filter([{', '.join(map(_tag_sql, parsers.TAGS))}], lambda x: x IS NOT NULL) AS issues FROM {_values(TAGGED, 'id, text')})
+# All documents, dressed as generated text in four ways, and the inline rows under negative ids.
+_DRESSED = f"""(SELECT doc_id AS id, CASE doc_id % 4 WHEN 0 THEN '<think>' || text || '</think>' WHEN 1 THEN '<think><code>' || text || '</code>'
+  WHEN 2 THEN 'see ```python' || chr(10) || text || '``` end' ELSE text END AS text FROM documents UNION ALL SELECT -1 - id, text FROM {_values(TAGGED, 'id, text')})"""
+
+
+def _dressed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind, text = F.col("doc_id") % 4, F.col("text")
+    shown = (
+        F.when(kind == 0, F.concat(F.lit("<think>"), text, F.lit("</think>")))
+        .when(kind == 1, F.concat(F.lit("<think><code>"), text, F.lit("</code>")))
+        .when(kind == 2, F.concat(F.lit("see ```python\n"), text, F.lit("``` end")))
+        .otherwise(text)
+    )
+    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), shown.alias("text"))
+    return docs.union(spark.createDataFrame([(-1 - k, t) for k, t in TAGGED], "id long, text string"))
+
+
+@query(f"""WITH t AS (SELECT id, text, list_filter([{', '.join(map(_tag_sql, parsers.TAGS))}], lambda x: x IS NOT NULL) AS issues FROM {_DRESSED})
   SELECT id, len(issues) = 0 AS valid, array_to_string(issues, '; ') AS issues FROM t""")
 def tag_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(TAGGED, "id int, text string").select("id", parsers.check_tags("text").alias("x"))
+    rows = _dressed(spark, sf_dir).select("id", parsers.check_tags("text").alias("x"))
     return rows.select("id", "x.valid", F.array_join("x.issues", "; ").alias("issues"))
 
 
 @query(f"""SELECT id, trim(CASE WHEN regexp_matches(text, '<code>\\n?(.*?)\\n?</code>', 's') THEN regexp_extract(text, '<code>\\n?(.*?)\\n?</code>', 1, 's')
-  WHEN regexp_matches(text, '```(?:ts|typescript|javascript|js|python|py)?\\n(.*?)```', 's') THEN regexp_extract(text, '```(?:ts|typescript|javascript|js|python|py)?\\n(.*?)```', 1, 's') ELSE text END, {_WS}) AS code FROM {_values(TAGGED, 'id, text')}""")
+  WHEN regexp_matches(text, '```(?:ts|typescript|javascript|js|python|py)?\\n(.*?)```', 's') THEN regexp_extract(text, '```(?:ts|typescript|javascript|js|python|py)?\\n(.*?)```', 1, 's') ELSE text END, {_WS}) AS code FROM {_DRESSED}""")
 def extract_code(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(TAGGED, "id int, text string").select("id", parsers.extract_code("text").alias("code"))
+    return _dressed(spark, sf_dir).select("id", parsers.extract_code("text").alias("code"))
 
 
 @query(f"""SELECT conv_id, turn, CASE WHEN {_any("contains(lower(text), {})", prompts.COMPLEX_MARKS)} OR length(trim(text, {_WS})) > 250
@@ -447,9 +464,12 @@ def render_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 _TOKENS = list(enumerate(["hello", " x ", "", "  ", ".", "(", "\\", "ab.", "\t", "é", "`"]))
 
 
-@query(f"""SELECT i, trim(t, {_WS}) <> '' AND NOT (length(trim(t, {_WS})) = 1 AND contains({_text(prompts.PUNCTUATION)}, trim(t, {_WS}))) AS factual FROM {_values(_TOKENS, 'i, t')}""")
+@query(f"""WITH w AS (SELECT DISTINCT unnest(string_split(text, ' ')) AS t FROM documents UNION SELECT t FROM {_values(_TOKENS, 'i, t')})
+  SELECT t, trim(t, {_WS}) <> '' AND NOT (length(trim(t, {_WS})) = 1 AND contains({_text(prompts.PUNCTUATION)}, trim(t, {_WS}))) AS factual FROM w""")
 def factual_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(_TOKENS, "i int, t string").select("i", prompts.is_factual_token("t").alias("factual"))
+    words = _table(spark, sf_dir, "documents").select(F.explode(F.split("text", " ", -1)).alias("t"))
+    both = words.union(spark.createDataFrame(_TOKENS, "i int, t string").select("t")).distinct()
+    return both.select("t", prompts.is_factual_token("t").alias("factual"))
 
 
 @query("""SELECT conv_id, turn, '<|im_start|>system' || chr(10) || 'Be brief.<|im_end|>' || chr(10) || '<|im_start|>user' || chr(10) || text || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10) || '<think>' || chr(10) AS prompt,
