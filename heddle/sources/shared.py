@@ -11,10 +11,13 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _written: list[tuple[SparkSession, str]] = []
+_passing: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,22 +37,40 @@ def new_path(spark: SparkSession, label: str) -> str:
     return path
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once and return the written table."""
+@contextmanager
+def passing() -> Iterator[None]:
+    """Tables that are written inside and are not lasting go when the block ends: nothing outside may read them."""
+    _passing.append([])
+    try:
+        yield
+    finally:
+        gone = set(_passing.pop())
+        for spark, path in [w for w in _written if w[1] in gone]:
+            _delete(spark, path)
+            _written.remove((spark, path))
+
+
+def materialise(df: DataFrame, label: str, lasting: bool = False) -> DataFrame:
+    """Write ``df`` once and return the written table. In a :func:`passing` block a table that is to outlive it is ``lasting``."""
     spark = df.sparkSession
     path = new_path(spark, label)
+    if _passing and not lasting:
+        _passing[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def clear() -> None:
     """Delete every table written so far."""
     while _written:
         spark, path = _written.pop()
         try:
-            jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(conf).delete(target, True)
+            _delete(spark, path)
         except Exception:  # the session is gone: nothing is left that could delete the folder
             return
 
