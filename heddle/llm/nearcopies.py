@@ -20,10 +20,11 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from heddle.llm.columns import quoted
 from heddle.llm.graph import Forest, connected_components, runs
-from heddle.llm.scratch import materialise
+from heddle.llm.scratch import materialise, passing
 from heddle.llm.simhash import chains
 
 #: Words in a shingle, seed of its hash, and the least similarity that links, as a fraction.
@@ -114,7 +115,8 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             wide.append(wide_print(found).view(np.int64))
             keys.append(band_keys(found).view(np.int64))
         columns = [pa.array(np.array(names, np.uint64).view(np.int64)), *(pa.array(c) for c in np.array(wide).reshape(-1, WORDS).T.copy())]
-        yield pa.RecordBatch.from_arrays([batch.column("_tag"), *columns, pa.array(keys, pa.list_(pa.int64()))], ["_tag", "_set", *_WIDE, "_keys"])
+        made = [*columns, pa.array(keys, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays([batch.column("_tag"), batch.column("_k"), *made], ["_tag", "_k", "_set", *_WIDE, "_keys"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,25 +213,26 @@ def _checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(good)) for c in "ab"], ["a", "b"])
 
 
-def _shared(bands: DataFrame, same: str) -> DataFrame:
-    """(_key, _n): buckets in which sets meet that differ in ``same``. Of buckets with the same sets one is enough."""
-    differ = F.min(same) < F.max(same)
-    sizes = bands.groupBy("_key").agg(F.count("*").alias("_n"), F.bit_xor(F.xxhash64("_set")).alias("_same"), differ.alias("_differ"))
-    return sizes.where("_differ").groupBy("_n", "_same").agg(F.min("_key").alias("_key")).select("_key", "_n")
+def _shared(bands: DataFrame, same: str | None = None) -> DataFrame:
+    """(_key, _n): buckets in which sets meet (with ``same``: that differ in it). Of buckets with the same sets one is enough."""
+    meet = F.min(same) < F.max(same) if same else F.count("*") > 1
+    sizes = bands.groupBy("_key").agg(F.count("*").alias("_n"), F.bit_xor(F.xxhash64("_set")).alias("_same"), meet.alias("_meet"))
+    return sizes.where("_meet").groupBy("_n", "_same").agg(F.min("_key").alias("_key")).select("_key", "_n")
 
 
 def links(docs: DataFrame, sketches: DataFrame, *, text: str, block: int) -> DataFrame:
     """(node, root) of the shingle sets (_set) of ``sketches`` (one row each) that are linked to others."""
     bands = sketches.select("_set", F.explode("_keys").alias("_key"))
     wide = sketches.select("_set", *_WIDE)
-    buckets = materialise(_shared(bands, "_set"), "near-buckets")
+    buckets = materialise(_shared(bands), "near-buckets")
     own = F.pmod(F.xxhash64("_set"), F.ceil(F.col("_n") / block)).alias("_part")
     members = materialise(bands.join(buckets, "_key").select("_key", "_n", own, "_set"), "near-members")
     dealt = members.join(wide, "_set").repartition("_key", "_part").sortWithinPartitions("_key", "_part")
     led = materialise(dealt.select("_key", "_part", "_set", *_WIDE).mapInArrow(_follow, "a long, b long").distinct(), "near-led")
 
     def sets_of(names: DataFrame, label: str) -> DataFrame:
-        wanted = names.distinct().join(sketches.select("_set", "_tag"), "_set")
+        # Written first, so that Spark knows its size: a small one is broadcast and no text crosses the network.
+        wanted = materialise(names.distinct().join(sketches.select("_set", "_tag"), "_set").select("_set", "_tag"), label + "-wanted")
         narrow = docs.select("_tag", quoted(text).alias("_text")).join(wanted, "_tag").select("_set", "_text")
         return materialise(narrow.mapInArrow(_sets, "_set long, _hashes binary"), label)
 
@@ -266,14 +269,17 @@ def keep_one(docs: DataFrame, *, key: str = "doc_id", text: str = "text", block:
     table gives an empty result; other columns stay as they are.
     """
     tagged = materialise(docs.withColumn("_tag", F.monotonically_increasing_id()), "near-rows")
-    narrow = tagged.select("_tag", quoted(text).alias("_text"))
-    schema = f"_tag long, _set long, {', '.join(w + ' long' for w in _WIDE)}, _keys array<long>"
-    prints = materialise(narrow.mapInArrow(_sketches, schema), "near-prints")
-    order = F.struct(quoted(key).isNull().alias("_null"), quoted(key).alias("_k"), F.col("_tag").alias("_tag")).alias("_at")
-    # Rows of one set, a mass of copies as well, are only ever summed up partially.
-    firsts = prints.select("_tag", "_set").join(tagged.select("_tag", order), "_tag").groupBy("_set").agg(F.min("_tag").alias("_tag"), F.min("_at").alias("_at"))
-    firsts = materialise(firsts, "near-firsts")
-    sketches = materialise(prints.join(firsts.select("_tag"), "_tag", "left_semi"), "near-sketches")
-    rooted = firsts.join(links(tagged, sketches, text=text, block=block), F.col("_set") == F.col("node"))
-    kept = materialise(rooted.groupBy("root").agg(F.min("_at")["_tag"].alias("_tag")).select("_tag"), "near-kept")
+    with passing():
+        kind = docs.schema[key].dataType
+        narrow = tagged.select("_tag", quoted(key).alias("_k"), quoted(text).alias("_text"))
+        longs = [T.StructField(c, T.LongType()) for c in ("_set", *_WIDE)]
+        schema = T.StructType([T.StructField("_tag", T.LongType()), T.StructField("_k", kind), *longs, T.StructField("_keys", T.ArrayType(T.LongType()))])
+        prints = materialise(narrow.mapInArrow(_sketches, schema), "near-prints")
+        # Rows of one set, a mass of copies as well, are only ever summed up partially.
+        order = F.struct(F.col("_k").isNull().alias("_null"), "_k", "_tag")
+        firsts = materialise(prints.groupBy("_set").agg(F.min(order).alias("_at")), "near-firsts")
+        sketches = materialise(prints.join(firsts.select(F.col("_at._tag").alias("_tag")), "_tag", "left_semi").drop("_k"), "near-sketches")
+        rooted = firsts.join(links(tagged, sketches, text=text, block=block), F.col("_set") == F.col("node"))
+        kept = rooted.groupBy("root").agg(F.min("_at")["_tag"].alias("_tag")).select("_tag")
+        kept = materialise(kept, "near-kept", lasting=True)
     return tagged.join(kept, "_tag", "left_semi").select(*[quoted(c) for c in docs.columns])

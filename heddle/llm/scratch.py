@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from heddle.sources.shared import clear, materialise, new_path, shared_dir
+from heddle.sources.shared import clear, materialise, new_path, passing, shared_dir
 
-__all__ = ["clear", "materialise", "new_path", "shared_dir"]
+__all__ = ["clear", "materialise", "new_path", "passing", "shared_dir"]
