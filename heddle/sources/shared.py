@@ -16,6 +16,9 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of a row group: what a task holds of a table that it writes.
+ROW_GROUP = 32 << 20
+
 _written: list[tuple[SparkSession, str]] = []
 _passing: list[list[str]] = []
 
@@ -56,7 +59,7 @@ def materialise(df: DataFrame, label: str, lasting: bool = False) -> DataFrame:
     path = new_path(spark, label)
     if _passing and not lasting:
         _passing[-1].append(path)
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
