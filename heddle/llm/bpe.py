@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import heapq
 import json
@@ -92,9 +93,11 @@ class Codec:
         return Tokenizer.from_file(self.path)
 
     def forget(self) -> None:
-        """Empty the caches; an idle worker then holds little more than its tables."""
+        """Empty the caches and give their memory back; an idle worker then holds little more than its tables."""
         for cache in (self.opening, self.spaced, self.pieces):
             cache.clear()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # the C library of Linux
+            trim(0)
 
     def _index(self) -> None:
         """Rank of a pair of ids as a few gathers: slots hashed by the pair, what collides goes to the next table."""
