@@ -5,39 +5,65 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Blocks of an order, and keys that their bounds are chosen from.
-BLOCKS, PICKED = 256, 4096
+from heddle.functions.text import let
+from heddle.sources.shared import materialise
 
+#: Blocks of an order: at least and at most, and the rows that one is meant to hold; keys looked at for each bound.
+BLOCKS, MOST_BLOCKS, BLOCK_ROWS, PICKED = 256, 4096, 2_000_000, 16
 
-def block_of(df: DataFrame, order: list[Column], blocks: int = BLOCKS) -> Column:
-    """The number of the block, by ``order`` ascending with nulls first, that a row lies in.
 
-    Bounds are keys at equal places among the PICKED keys of ``df`` with the smallest hashes: the same on every
-    evaluation, whatever the types. They only balance the blocks; no result depends on them.
+def bounds_of(keys: DataFrame, blocks: int) -> list[Column]:
+    """Keys at equal places among the PICKED * ``blocks`` ones with the smallest hashes: the same on every evaluation.
+
+    They only balance the blocks; no result depends on them. Their number is bounded by MOST_BLOCKS.
     """
-    names = [f"_o{k}" for k in range(len(order))]
-    keys = df.select(*[c.alias(n) for n, c in zip(names, order, strict=True)])
-    picked = keys.orderBy(F.xxhash64(*names), *names).limit(PICKED).orderBy(*names).collect()
+    names = keys.columns
+    picked = keys.orderBy(F.xxhash64(*names), *names).limit(PICKED * blocks).orderBy(*names).collect()
     chosen = sorted({k * len(picked) // blocks for k in range(1, blocks)}) if picked else []
     kinds = [f.dataType for f in keys.schema]
-    key = lambda values: F.struct(*[v.alias(n) for n, v in zip(names, values, strict=True)])
-    bounds = [key([F.lit(v).cast(t) for v, t in zip(picked[k], kinds, strict=True)]) for k in chosen]
+    return [F.struct(*[F.lit(v).cast(t).alias(n) for n, v, t in zip(names, picked[k], kinds, strict=True)]) for k in chosen]
+
+
+def block_of(key: Column, bounds: list[Column]) -> Column:
+    """How many of the ascending ``bounds`` are not over ``key``, found in two steps; the key is bound, not repeated."""
     if not bounds:
         return F.lit(0)
-    return F.size(F.filter(F.array(*bounds), lambda b: b <= key(order)))
+    width = max(1, int(len(bounds) ** 0.5))
+    up_to = lambda some, k: F.size(F.filter(some, lambda b: b <= k))
+    steps, every = F.array(*bounds[::width]), F.array(*bounds)
+
+    def inside(k: Column, step: Column) -> Column:
+        first = F.greatest(step - 1, F.lit(0)) * width
+        return F.when(step == 0, 0).otherwise(first + up_to(F.slice(every, first + 1, F.lit(width)), k))
+
+    return let(key, lambda k: let(up_to(steps, k), lambda step: inside(k, step)))
 
 
 def running_before(df: DataFrame, value: Column, order: list[Column], name: str, by: list[str] | None = None) -> DataFrame:
-    """``df`` with the sum of ``value`` over all rows before each one, per group of ``by``.
+    """``df`` with the sum of ``value`` over all rows before each one, per group of ``by``; nulls of the order come first.
 
-    Totals of the blocks first, then the sum inside a block: a task sorts one block of a group.
+    The rows are written once with their keys, so that whatever ``df`` computes is computed once; the bounds and the totals of
+    the blocks read only the keys. Then a task sorts one block of a group.
     """
-    keys = by or []
-    placed = df.withColumn("_block", block_of(df, order)).withColumn("_value", value.cast("long"))
+    keys, names = by or [], [f"_o{k}" for k in range(len(order))]
+    written = materialise(df.withColumns({**dict(zip(names, order, strict=True)), "_value": value.cast("long")}), "blocks")
+    blocks = min(MOST_BLOCKS, max(BLOCKS, written.count() // BLOCK_ROWS))
+    placed = written.withColumn("_block", block_of(F.struct(*names), bounds_of(written.select(*names), blocks)))
     totals = placed.groupBy(*keys, "_block").agg(F.sum("_value").alias("_total"))
     before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     bases = totals.select(*keys, "_block", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_base"))
-    inside = Window.partitionBy(*keys, "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*keys, "_block").orderBy(*names).rowsBetween(Window.unboundedPreceding, -1)
     summed = placed.withColumn("_in", F.coalesce(F.sum("_value").over(inside), F.lit(0)))
+    # Without groups there is one base a block.
     joined = summed.join(F.broadcast(bases), "_block") if not keys else summed.join(bases, [*keys, "_block"])
-    return joined.withColumn(name, (F.col("_base") + F.col("_in")).cast("long")).drop("_block", "_value", "_in", "_base")
+    return joined.withColumn(name, (F.col("_base") + F.col("_in")).cast("long")).drop("_block", "_value", "_in", "_base", *names)
+
+
+def ranked(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """``df`` with each row's place in ``order``, from 1."""
+    return running_before(df, F.lit(1), order, name).withColumn(name, F.col(name) + 1)
+
+
+def first_rows(df: DataFrame, order: list[Column], n: int) -> DataFrame:
+    """The first ``n`` rows of ``order``, however many, without one task that holds them."""
+    return running_before(df, F.lit(1), order, "_before").where(F.col("_before") < n).drop("_before")

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import math
 import random
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from heddle.functions.text import let
 from heddle.functions.vectors import argmax, dot, l2_normalise
+from heddle.sources.shared import materialise
 
 EPSILON = 1e-12
 
@@ -50,43 +54,130 @@ def inertia(df: DataFrame, embedding: str, centroids: list[list[float]]) -> Data
     return df.agg(F.avg(1 - F.array_max(similarities(embedding, centroids))).alias("inertia"))
 
 
-def init_centroids(df: DataFrame, embedding: str, order: str, k: int, seed: int) -> list[list[float]]:
-    """k-means++ with chances proportional to the distance itself; each draw is one pass of an exponential race."""
-    r = random.Random(seed)
-    chosen: list[list[float]] = []
+def _units(column: pa.Array) -> np.ndarray:
+    v = column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1)
+    return v / (np.linalg.norm(v, axis=1, keepdims=True) + EPSILON)
+
+
+def _drawn(batches: Iterator[pa.RecordBatch], chosen: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Of a task's rows the one that wins each run's race: (run, time, order, unit vector)."""
+    best: dict[int, tuple[float, str, list[float]]] = {}
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        v, orders = _units(batch.column("v")), batch.column("o")
+        draws = _rows(batch.column("u"))
+        for run, centroids in enumerate(chosen):
+            weight = np.maximum(1 - (v @ centroids.T).max(1), 0.0) if len(centroids) else np.ones(len(v))
+            race = -np.log(draws[:, run]) / np.maximum(weight, 1e-300)
+            for at in np.flatnonzero(race == race.min()).tolist():
+                found = (float(race[at]), orders[at].as_py(), v[at].tolist())
+                best[run] = min(best.get(run, found), found)
+    rows = [(run, *found) for run, found in best.items()]
+    kinds = [pa.int32(), pa.float64(), pa.string(), pa.list_(pa.float64())]
+    columns = list(zip(*rows, strict=True)) if rows else [()] * 4
+    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["run", "t", "o", "v"])
+
+
+def _rows(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def _draw(rows: DataFrame, chosen: list[np.ndarray], salts: list[int]) -> list[np.ndarray]:
+    """One more unit vector for each run: k-means++ with chances proportional to the distance, as an exponential race.
+
+    Every task passes on its own winner of each run; the smallest time wins.
+    """
+    draw = lambda salt: (F.shiftrightunsigned(F.xxhash64("o", F.lit(salt)), 11).cast("double") + 0.5) / float(1 << 53)
+    raced = rows.select("v", "o", F.array(*map(draw, salts)).alias("u"))
+    found = raced.mapInArrow(lambda it: _drawn(it, chosen), "run int, t double, o string, v array<double>")
+    winners = found.groupBy("run").agg(F.min(F.struct("t", "o", "v")).alias("w")).collect()
+    if not winners:
+        raise ValueError("no rows to cluster")
+    by_run = {r["run"]: np.array(r["w"]["v"]) for r in winners}
+    return [by_run[run] for run in range(len(chosen))]
+
+
+def init_centroids(df: DataFrame, embedding: str, order: str, k: int, seed: int, runs: int = 1) -> list[np.ndarray]:
+    """First centroids of several runs; the runs draw together, so it takes ``k`` passes."""
+    rows = df.select(F.col(embedding).alias("v"), F.col(order).cast("string").alias("o"))
+    chosen = [np.zeros((0, 0)) for _ in range(runs)]
+    dice = [random.Random(seed + run) for run in range(runs)]
     for _ in range(k):
-        salt = r.getrandbits(40)
-        u = (F.conv(F.substring(F.md5(F.concat(F.col(order).cast("string"), F.lit(f":{salt}"))), 1, 13), 16, 10).cast("double") + 1) / float(1 << 52)
-        weight = F.greatest(1 - F.array_max(similarities(embedding, chosen)), F.lit(0.0)) if chosen else F.lit(1.0)
-        race = -F.log(u) / F.greatest(weight, F.lit(1e-300))
-        row = df.select(F.col(embedding).alias("v"), race.alias("t"), F.col(order).alias("o")).orderBy("t", "o").first()
-        if row is None:
-            raise ValueError("no rows to cluster")
-        v = np.array(row["v"], float)
-        chosen.append((v / (np.linalg.norm(v) + EPSILON)).tolist())
+        fresh = _draw(rows, chosen, [r.getrandbits(40) for r in dice])
+        chosen = [np.vstack([c, f[None]]) if len(c) else f[None] for c, f in zip(chosen, fresh, strict=True)]
     return chosen
 
 
+def _moved(batches: Iterator[pa.RecordBatch], centroids: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Of a task's rows and each run: sums of the unit vectors of each cluster, their numbers, and the distances' sum."""
+    total = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        v = _units(batch.column("v"))
+        parts = []
+        for c in centroids:
+            near = v @ c.T
+            own = near.argmax(1)
+            member = np.zeros((len(c), len(v)))
+            member[own, np.arange(len(v))] = 1.0
+            parts += [(member @ v).ravel(), member.sum(1), [(1 - near.max(1)).sum()]]
+        packed = np.concatenate(parts)
+        total = packed if total is None else total + packed
+    if total is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["s"])
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = None
+    for batch in batches:
+        for blob in batch.column("s").to_pylist():
+            total = np.frombuffer(blob) if total is None else total + np.frombuffer(blob)
+    if total is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["s"])
+
+
+def _step(rows: DataFrame, centroids: list[np.ndarray], parts: int) -> list[tuple[np.ndarray, np.ndarray, float]]:
+    """(sums, numbers, summed distance) of each run after one pass; the sums meet in two levels."""
+    sums = rows.mapInArrow(lambda it: _moved(it, centroids), "s binary")
+    if parts > 16:
+        sums = sums.repartition(math.isqrt(parts)).mapInArrow(_added, "s binary")
+    total = np.sum([np.frombuffer(r["s"]) for r in sums.collect()], axis=0)
+    out, at = [], 0
+    for c in centroids:
+        n = c.size
+        out.append((total[at : at + n].reshape(c.shape), total[at + n : at + n + len(c)], float(total[at + n + len(c)])))
+        at += n + len(c) + 1
+    return out
+
+
 def fit(df: DataFrame, embedding: str, order: str, k: int = 8, n_init: int = 5, max_iter: int = 100, tol: float = 1e-4, seed: int = 42) -> tuple[list[list[float]], float]:
     """Centroids and inertia of the best of ``n_init`` runs of full Lloyd steps; a dead cluster draws a new point.
 
-    Each step is one aggregation; only the k centroids come to the driver. The table is read once a step.
+    All runs that are not done step together, so a step is one pass over the table, which is written once as it is needed; the
+    driver gets sums of the size of the centroids.
     """
-    best: tuple[list[list[float]], float] | None = None
-    for run in range(n_init):
-        centroids = init_centroids(df, embedding, order, k, seed + run)
-        for step in range(max_iter):
-            found = {r["cluster"]: r["centroid"] for r in centroid_means(assign(df, embedding, centroids), embedding, "cluster").collect()}
-            dead = [c for c in range(k) if c not in found]
-            if dead:
-                fresh = init_centroids(df, embedding, order, len(dead), seed + 1000 * (run + 1) + step)
-                found |= dict(zip(dead, fresh, strict=True))
-            new = [found[c] for c in range(k)]
-            shift = float(np.abs(np.array(new) - np.array(centroids)).max())
-            centroids = new
-            if shift < tol:
-                break
-        value = inertia(df, embedding, centroids).first()[0]
-        if best is None or value < best[1]:
-            best = (centroids, value)
-    return best
+    rows = materialise(df.where(F.col(embedding).isNotNull()).select(F.transform(embedding, lambda x: x.cast("double")).alias("v"), F.col(order).cast("string").alias("o")), "k-means")
+    centroids = init_centroids(rows, "v", "o", k, seed, n_init)
+    parts, running = rows.rdd.getNumPartitions(), list(range(n_init))
+    for step in range(max_iter):
+        found = _step(rows, [centroids[r] for r in running], parts)
+        still = []
+        for run, (sums, n, _) in zip(running, found, strict=True):
+            size = np.linalg.norm(sums / np.maximum(n, 1)[:, None], axis=1, keepdims=True) + EPSILON
+            new = sums / np.maximum(n, 1)[:, None] / size
+            dead = np.flatnonzero(n == 0)
+            if len(dead):
+                new[dead] = init_centroids(rows, "v", "o", len(dead), seed + 1000 * (run + 1) + step)[0]
+            shift = float(np.abs(new - centroids[run]).max())
+            centroids[run] = new
+            if shift >= tol:
+                still.append(run)
+        running = still
+        if not running:
+            break
+    count = rows.count()
+    values = [total / count for _, _, total in _step(rows, centroids, parts)]
+    best = int(np.argmin(values))
+    return centroids[best].tolist(), values[best]

@@ -22,7 +22,7 @@ def self_correct(
     rounds: int = 2,
     system: str = "",
 ) -> DataFrame:
-    """``tasks`` with code, verified, heuristic, attempts, error and checker.
+    """``tasks`` with code, verified, heuristic, attempts, error, checker and raw_response (the reply that passed).
 
     ``generate`` adds a column of replies to a column of formatted prompts (its second and third argument are their
     names; :func:`heddle.sources.teacher.replies` is one), ``check`` gives the result struct of a code column. Each round
@@ -36,7 +36,7 @@ def self_correct(
     for attempt in range(1, rounds + 1):
         asked = still.withColumn("_full", prompts.agent_prompt(F.lit(system), "_now"))
         answered = generate(asked, "_full", "_reply").withColumn("code", parsers.extract_code("_reply"))
-        judged = materialise(answered.withColumn("_r", verdict("code")).drop("_full", "_reply"), "self-correct")
+        judged = materialise(answered.withColumn("_r", verdict("code")).drop("_full"), "self-correct")
         over = F.col("_r.valid") | F.lit(attempt == rounds)
         passed = F.col("_r.valid")
         done.append(
@@ -48,6 +48,7 @@ def self_correct(
                 F.lit(attempt).alias("attempts"),
                 F.when(~passed, F.coalesce("_r.error", F.lit("Unknown error."))).alias("error"),
                 F.col("_r.checker").alias("checker"),
+                F.when(passed, F.col("_reply")).alias("raw_response"),
             )
         )
         again = prompts.correction_prompt(prompt, F.coalesce("_r.error", F.lit("Unknown error.")), F.lit(language))

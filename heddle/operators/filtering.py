@@ -11,6 +11,9 @@ from heddle.functions.text import is_blank
 #: Reasons in the order of their tests; a row is charged to the first that it fails.
 REASONS = ("malformed", "lang", "license", "quality", "score", "dedup", "accepted")
 
+#: Shares that a group is dealt into before its first rows are chosen.
+SHARES = 64
+
 
 def path_of(df: DataFrame) -> Column:
     """The path, else the repository, else the empty text; absent columns count as null."""
@@ -43,9 +46,9 @@ def with_reasons(
 
     Tests run in the order of REASONS; the score is tested only when ``min_score`` is over 0. Dedup comes
     last: of the rows that pass everything else, the first of each hash in ``order`` is accepted, unless an
-    earlier run (``seen``, a table of hashes) has it. One exchange by hash ranks the copies; columns that the
-    caller does not use, such as the text when only reasons are counted, are pruned below it. A hash with very
-    many rows is ranked by Spark's window, which spills.
+    earlier run (``seen``, a table of hashes) has it. Copies are ranked twice: in SHARES shares of a hash, dealt by the
+    order, and then the first of each share, so a mass of copies of one text is sorted by many tasks. Columns that
+    the caller does not use, such as the text when only reasons are counted, are pruned below these exchanges.
     """
     early = (
         F.when(F.col(malformed) if malformed else F.lit(False), F.lit("malformed"))
@@ -59,13 +62,15 @@ def with_reasons(
     if min_score > 0.0:
         scored = scored.withColumn("_early", F.coalesce("_early", F.when(F.col("quality_score") < min_score, F.lit("score"))))
     hashed = seen_before(scored.withColumn("_hash", F.when(F.col("_early").isNull(), q.content_hash(content))), seen)
-    # Rows that failed earlier have no hash; a salt spreads them, since their rank is not used.
-    salt = F.when(F.col("_hash").isNull(), F.xxhash64(*[F.col(c) for c in order]))
-    w = Window.partitionBy("_hash", salt).orderBy(*order)
-    reason = F.coalesce(
-        F.col("_early"), F.when(F.col("_seen") | (F.row_number().over(w) > 1), F.lit("dedup")), F.lit("accepted")
-    )
-    return hashed.withColumn("reason", reason).withColumnRenamed("_hash", "content_hash").drop("_early", "_seen")
+    # Rows that failed earlier have no hash; a salt spreads them, and those that are not first of a share: their rank is not used.
+    own = F.xxhash64(*[F.col(c) for c in order])
+    share = Window.partitionBy("_hash", F.when(F.col("_hash").isNull(), own).otherwise(F.pmod(own, F.lit(SHARES)))).orderBy(*order)
+    shared = hashed.withColumn("_n", F.row_number().over(share))
+    salt = F.when(F.col("_hash").isNull() | (F.col("_n") > 1), own)
+    first = F.row_number().over(Window.partitionBy("_hash", salt).orderBy(*order))
+    copy = F.col("_seen") | (F.col("_n") > 1) | (first > 1)
+    reason = F.coalesce(F.col("_early"), F.when(copy, F.lit("dedup")), F.lit("accepted"))
+    return shared.withColumn("reason", reason).withColumnRenamed("_hash", "content_hash").drop("_early", "_seen", "_n")
 
 
 def accepted(flagged: DataFrame, *, lang: str = "lang", license: str = "license", content: str = "content") -> DataFrame:
@@ -74,18 +79,16 @@ def accepted(flagged: DataFrame, *, lang: str = "lang", license: str = "license"
     return kept.select(F.col(content).alias("content"), F.col(lang).alias("lang"), F.col(license).alias("license"), "quality_score")
 
 
-def filter_stats(flagged: DataFrame) -> DataFrame:
-    """One row: the total, the rows that each test removed, and the accepted ones."""
+def counters() -> list[Column]:
+    """The total, the rows that each test removed, and the accepted ones, as aggregates."""
     count = lambda r: F.count_if(F.col("reason") == r)
-    return flagged.agg(
-        F.count("*").alias("total"),
-        count("lang").alias("lang_filtered"),
-        count("license").alias("license_filtered"),
-        count("quality").alias("quality_filtered"),
-        count("score").alias("score_filtered"),
-        count("dedup").alias("dedup_filtered"),
-        count("accepted").alias("accepted"),
-    )
+    removed = [count(r).alias(f"{r}_filtered") for r in ("lang", "license", "quality", "score", "dedup")]
+    return [F.count(F.lit(1)).alias("total"), *removed, count("accepted").alias("accepted")]
+
+
+def filter_stats(flagged: DataFrame) -> DataFrame:
+    """One row of :func:`counters`."""
+    return flagged.agg(*counters())
 
 
 def sum_stats(stats: DataFrame) -> DataFrame:
@@ -109,10 +112,6 @@ def non_blank(df: DataFrame, content: str) -> DataFrame:
     return df.where(~is_blank(content))
 
 
-#: Shares that a group is dealt into before its first rows are chosen.
-SHARES = 64
-
-
 def limit_per_group(df: DataFrame, group: str, n: int, order: list[str]) -> DataFrame:
     """The first ``n`` rows of each group in ``order``.
 

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from heddle.functions.vectors import dot, l2_normalise
+from heddle.operators import nearest
+from heddle.operators.blocks import first_rows, ranked
 
 SCHEMA = T.StructType(
     [
@@ -26,28 +26,32 @@ def empty(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], SCHEMA)
 
 
-def append(memory: DataFrame, rows: DataFrame, dim: int, max_entries: int | None = None, *, key: str = "embedding", text: str = "text", order: list[str] | None = None) -> DataFrame:
-    """``memory`` with the rows of another table after it, in ``order``; the oldest go beyond ``max_entries``.
-
-    Keys become unit vectors. A row of another dimension fails the query when it is read.
-    """
+def numbered(rows: DataFrame, dim: int, last: int, *, key: str = "embedding", text: str = "text", order: list[str] | None = None) -> DataFrame:
+    """Rows as entries of a memory whose last index is ``last``, in ``order``; numbers are counts by blocks of that order."""
     right = F.when(F.size(key) == dim, F.col(key)).otherwise(F.raise_error(F.concat(F.lit(f"expected {dim} dimensions, not "), F.size(key))))
-    last = memory.agg(F.coalesce(F.max("idx"), F.lit(-1))).first()[0]
-    # Appends are small next to the memory: one interaction, one session.
-    numbered = rows.withColumn("_n", F.expr(f"row_number() over (order by {', '.join(order or [text])})"))
-    new = numbered.select(
+    placed = ranked(rows, [F.col(c) for c in order or [text]], "_n")
+    return placed.select(
         (F.col("_n") + last).cast("long").alias("idx"),
         l2_normalise(right).alias("key"),
         F.col(text).alias("text"),
         (F.col("ts") if "ts" in rows.columns else F.unix_micros(F.current_timestamp()) / 1e6).cast("double").alias("ts"),
     )
+
+
+def append(memory: DataFrame, rows: DataFrame, dim: int, max_entries: int | None = None, *, key: str = "embedding", text: str = "text", order: list[str] | None = None) -> DataFrame:
+    """``memory`` with the rows of another table after it, in ``order``; the oldest go beyond ``max_entries``.
+
+    Keys become unit vectors. A row of another dimension fails the query when it is read.
+    """
+    last = memory.agg(F.coalesce(F.max("idx"), F.lit(-1))).first()[0]
+    new = numbered(rows, dim, last, key=key, text=text, order=order)
     both = memory.select(*SCHEMA.names).unionByName(new)
     return both if max_entries is None else evict(both, max_entries)
 
 
 def evict(memory: DataFrame, max_entries: int, order: str = "idx") -> DataFrame:
-    """The newest ``max_entries`` rows by insertion order."""
-    return memory.orderBy(F.col(order).desc()).limit(max_entries)
+    """The newest ``max_entries`` rows by insertion order, however many."""
+    return first_rows(memory, [-F.col(order)], max_entries)
 
 
 def evicted_count(memory: DataFrame, max_entries: int) -> int:
@@ -64,52 +68,20 @@ def retrieve(memory: DataFrame, query: list[float], k: int = 3, threshold: float
     return scored.where(F.col("similarity") >= threshold).orderBy(F.col("similarity").desc(), "index").limit(k)
 
 
-#: Rows and queries that one task holds at a time.
-SLICE, QUERIES = 50_000, 2048
-
-
 def retrieve_each(
     memory: DataFrame, queries: DataFrame, k: int = 3, threshold: float = 0.0, *, key: str = "key", idx: str = "idx", decimals: int | None = None
 ) -> DataFrame:
     """The ``k`` most similar rows for each query: query, index, similarity, rank; ties by index.
 
-    ``queries`` has the same columns ``key`` and ``idx``. Rows are dealt into slices of about SLICE rows and queries into
-    blocks of about QUERIES; each slice meets each block in one task as a matrix product, which passes on its own best
-    ``k`` a query. Nothing is collected or broadcast. With ``decimals`` similarities are rounded before they are ordered.
-    Rows whose vector is null or has another length than the query's are left out.
+    ``queries`` has the same columns ``key`` and ``idx``. Exact, by way of :mod:`heddle.operators.nearest`: a query meets only the
+    cells of vectors that can hold one of its best. With ``decimals`` similarities are rounded before they are ordered. Rows
+    whose vector is null or has another length than most are left out.
     """
-    n_slices, n_blocks = (max(1, -(-x.count() // size)) for x, size in ((memory, SLICE), (queries, QUERIES)))
-    unit = lambda: l2_normalise(key).alias("_v")
-    row = F.pmod(F.xxhash64(idx), F.lit(n_slices)).cast("int").alias("_slice")
-    block = F.pmod(F.xxhash64(idx), F.lit(n_blocks)).cast("int").alias("_block")
-    every = lambda n, name: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
-    rows = memory.where(F.col(key).isNotNull()).select(F.col(idx).alias("_id"), unit(), row).select("*", every(n_blocks, "_block"))
-    asked = queries.where(F.col(key).isNotNull()).select(F.col(idx).alias("_id"), unit(), block).select("*", every(n_slices, "_slice"))
-
-    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for size, some in right.groupby(right["_v"].map(len)):
-            fitting = left[left["_v"].map(len) == size]
-            if not len(fitting):
-                continue
-            ids, vectors = fitting["_id"].to_numpy(), np.stack(fitting["_v"].to_list())
-            order = np.argsort(ids, kind="stable")
-            ids, vectors = ids[order], vectors[order]
-            for low in range(0, len(some), 256):
-                part = some.iloc[low : low + 256]
-                found = np.stack(part["_v"].to_list()) @ vectors.T
-                found = found if decimals is None else np.round(found, decimals) + 0.0
-                for query, line in zip(part["_id"], found, strict=True):
-                    at = np.argsort(-line, kind="stable")[:k]
-                    at = at[line[at] >= threshold]
-                    out.append(pd.DataFrame({"query": query, "index": ids[at], "similarity": line[at]}))
-        return pd.concat(out) if out else pd.DataFrame({"query": [], "index": [], "similarity": []})
-
-    kind = memory.schema[idx].dataType.simpleString()
-    pairs = rows.groupBy("_slice", "_block").cogroup(asked.groupBy("_slice", "_block"))
-    found = pairs.applyInPandas(best, f"query {kind}, index {kind}, similarity double")
-    place = F.row_number().over(Window.partitionBy("query").orderBy(F.col("similarity").desc(), "index"))
-    return found.withColumn("rank", place).where(F.col("rank") <= k)
+    index = nearest.build(memory, key=key, idx=idx)
+    if index is None:
+        kind = memory.schema[idx].dataType.simpleString()
+        return memory.sparkSession.createDataFrame([], f"query {kind}, index {kind}, similarity double, rank int")
+    return index.search(queries, k, threshold, key=key, idx=idx, decimals=decimals)
 
 
 def save(memory: DataFrame, path: str) -> None:

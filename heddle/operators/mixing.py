@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from heddle.operators.blocks import running_before
+from heddle.operators.blocks import first_rows, ranked
 
 
 def seeded_key(ids: Column | str, seed: int) -> Column:
@@ -18,9 +18,14 @@ def seeded_shuffle(df: DataFrame, ids: str, seed: int) -> DataFrame:
     return df.orderBy(seeded_key(ids, seed), ids)
 
 
+def shuffled(df: DataFrame, ids: str, seed: int, name: str) -> DataFrame:
+    """``df`` with each row's place, from 1, in the order that :func:`seeded_shuffle` gives."""
+    return ranked(df, [seeded_key(ids, seed), F.col(ids)], name)
+
+
 def sample_exact(df: DataFrame, ids: str, n: int, seed: int) -> DataFrame:
     """``n`` rows without replacement: those with the least seeded keys; all of them if there are fewer."""
-    return df.orderBy(seeded_key(ids, seed), ids).limit(n)
+    return first_rows(df, [seeded_key(ids, seed), F.col(ids)], n)
 
 
 def mix_counts(corpus: int, distilled: int, ratio: float) -> tuple[int, int]:
@@ -80,4 +85,4 @@ def curriculum_rank(df: DataFrame, score: str, order: list[str], reverse: bool =
     """
     own = F.col(score)
     key = [own.isNull(), -own] if reverse else [own]
-    return running_before(df, F.lit(1), [*key, *map(F.col, order)], "_before").withColumn("curriculum_rank", F.col("_before") + 1).drop("_before")
+    return ranked(df, [*key, *map(F.col, order)], "curriculum_rank")

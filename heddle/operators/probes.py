@@ -1,18 +1,23 @@
-"""Probes on embeddings with Spark ML: labels, classifiers, regressors."""
+"""Probes on embeddings: labels, classifiers, regressors."""
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import LinearRegression, LinearRegressionModel
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.regression import LinearRegression
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from heddle.functions.vectors import argmax, softmax
+from heddle.operators import training
+
 # Default label sets and targets.
 INTENTS = ("code_generation", "code_review", "refactor", "explain", "question", "debug", "test_writing", "documentation")
 LANGUAGE_LABELS = ("python", "typescript", "javascript", "sql", "other")
 TARGETS = ("quality_score", "complexity", "custom")
+#: What a label that training has not seen adds to its odds.
+UNSEEN = -1e9
 
 
 def label_set(predefined: tuple[str, ...] | list[str], extra: list[str] | None = None) -> list[str]:
@@ -36,77 +41,93 @@ def _features(df: DataFrame, embedding: str) -> DataFrame:
 
 
 class ClassificationProbe:
-    """A linear or one-hidden-layer classifier; training is distributed by Spark ML."""
+    """A linear classifier (learned by Spark ML), or one with a hidden ReLU layer (AdamW over all partitions)."""
 
-    def __init__(self, labels: list[str], hidden: int | None = None, max_iter: int = 50, seed: int = 42):
-        self.labels, self.hidden, self.max_iter, self.seed, self.model = labels, hidden, max_iter, seed, None
+    def __init__(self, labels: list[str], hidden: int | None = None, max_iter: int = 50, seed: int = 42, *, epochs: int = 20, rate: float = 1e-3, batch: int = 64, dropout: float = 0.1):
+        self.labels, self.hidden, self.max_iter, self.model = labels, hidden, max_iter, None
+        self.settings = training.Settings("cross entropy", epochs, batch, rate, dropout=dropout, seed=seed)
 
     def fit(self, df: DataFrame, embedding: str, label: str) -> ClassificationProbe:
-        data = _features(df.withColumn("_y", encode_label(label, self.labels)), embedding)
+        coded = df.withColumn("_y", encode_label(label, self.labels))
         if self.hidden:
-            dim = len(df.select(embedding).first()[0])
-            learner = MultilayerPerceptronClassifier(
-                layers=[dim, self.hidden, len(self.labels)], labelCol="_y", maxIter=self.max_iter, seed=self.seed
-            )
-        else:
-            learner = LogisticRegression(labelCol="_y", maxIter=self.max_iter, family="multinomial", regParam=1e-4)
-        self.model = Pipeline(stages=[learner]).fit(data)
+            self.model = training.train(coded, embedding, "_y", len(self.labels), self.settings, self.hidden)
+            return self
+        learner = LogisticRegression(labelCol="_y", maxIter=self.max_iter, family="multinomial", regParam=1e-4)
+        found = learner.fit(_features(coded, embedding))
+        weights, bias = found.coefficientMatrix.toArray(), found.interceptVector.toArray()
+        unseen = len(self.labels) - len(bias)  # labels behind the last one that occurs
+        bias = np.concatenate([bias, np.full(unseen, UNSEEN)])
+        weights = np.vstack([weights, np.zeros((unseen, weights.shape[1]))])
+        self.model = training.Net([weights.shape[1], len(bias)], np.concatenate([weights.T.ravel(), bias]), [float(x) for x in found.summary.objectiveHistory])
         return self
 
+    @property
+    def losses(self) -> list[float]:
+        """Mean loss of each epoch, or of each step of the linear classifier."""
+        return self.model.losses
+
     def predict(self, df: DataFrame, embedding: str) -> DataFrame:
         """``df`` with ``predicted`` (a label) and ``probabilities``."""
         if self.model is None:
             raise RuntimeError("fit before predicting")
-        out = self.model.transform(_features(df, embedding))
-        out = out.withColumn("predicted", decode_label("prediction", self.labels)).withColumn("probabilities", vector_to_array("probability"))
-        return out.select(*df.columns, "predicted", "probabilities")
+        out = training.outputs(df, embedding, self.model, "_z").withColumn("probabilities", softmax("_z")).withColumn("_at", argmax("probabilities"))
+        return out.withColumn("predicted", decode_label("_at", self.labels)).select(*df.columns, "predicted", "probabilities")
 
     def save(self, path: str) -> None:
-        """The fitted pipeline, and the labels beside it."""
-        self.model.write().overwrite().save(path)
-        spark = SparkSession.active()
-        rows = [(k, label) for k, label in enumerate(self.labels)]
-        spark.createDataFrame(rows, "code int, label string").coalesce(1).write.mode("overwrite").parquet(f"{path}-labels")
+        """The weights and the labels."""
+        training.save(self.model, path, labels=self.labels)
 
     @classmethod
     def load(cls, path: str) -> ClassificationProbe:
         """A saved probe, ready to predict."""
-        rows = SparkSession.active().read.parquet(f"{path}-labels").orderBy("code").collect()
-        probe = cls([r["label"] for r in rows])
-        probe.model = PipelineModel.load(path)
+        net, more = training.load(path)
+        probe = cls(more["labels"], net.sizes[1] if len(net.sizes) > 2 else None)
+        probe.model = net
         return probe
 
 
 class RegressionProbe:
-    """A linear regressor with squared or Huber loss."""
+    """A linear regressor (Spark ML), or one with a hidden ReLU layer (AdamW); squared or Huber loss.
 
-    def __init__(self, target: str = "custom", loss: str = "mse", max_iter: int = 50):
+    With a hidden layer the target may be an array of numbers; the prediction then is one, too.
+    """
+
+    def __init__(self, target: str = "custom", loss: str = "mse", max_iter: int = 50, hidden: int | None = None, *, epochs: int = 20, rate: float = 1e-3, batch: int = 64, dropout: float = 0.1, seed: int = 42):
         if target not in TARGETS:
             raise ValueError(f"target is one of {TARGETS}")
         if loss not in ("mse", "huber"):
             raise ValueError("loss is 'mse' or 'huber'")
-        self.target, self.loss, self.max_iter, self.model = target, loss, max_iter, None
+        self.target, self.loss, self.max_iter, self.hidden, self.model = target, loss, max_iter, hidden, None
+        self.settings = training.Settings(loss, epochs, batch, rate, dropout=dropout, seed=seed)
 
     def fit(self, df: DataFrame, embedding: str, target: str) -> RegressionProbe:
+        if self.hidden:
+            values = F.size(target) if df.schema[target].dataType.typeName() == "array" else F.lit(1)
+            width = df.where(F.col(target).isNotNull()).select(values.alias("n")).first()
+            self.model = training.train(df, embedding, target, width["n"] if width else 1, self.settings, self.hidden)
+            return self
         data = _features(df.withColumn("_y", F.col(target).cast("double")), embedding)
         loss = "squaredError" if self.loss == "mse" else "huber"
-        learner = LinearRegression(labelCol="_y", loss=loss, maxIter=self.max_iter, regParam=1e-6)
-        self.model = learner.fit(data)
+        found = LinearRegression(labelCol="_y", loss=loss, maxIter=self.max_iter, regParam=1e-6).fit(data)
+        weights = found.coefficients.toArray()
+        self.model = training.Net([len(weights), 1], np.append(weights, found.intercept))
         return self
 
     def predict(self, df: DataFrame, embedding: str) -> DataFrame:
         if self.model is None:
             raise RuntimeError("fit before predicting")
-        return self.model.transform(_features(df, embedding)).select(*df.columns, F.col("prediction").alias("predicted"))
+        out = training.outputs(df, embedding, self.model, "_z")
+        return out.withColumn("predicted", F.col("_z") if self.model.sizes[-1] > 1 else F.col("_z")[0]).select(*df.columns, "predicted")
 
     def save(self, path: str) -> None:
-        self.model.write().overwrite().save(path)
+        training.save(self.model, path, loss=self.loss)
 
     @classmethod
     def load(cls, path: str, target: str = "custom") -> RegressionProbe:
         """A saved probe, ready to predict."""
-        probe = cls(target)
-        probe.model = LinearRegressionModel.load(path)
+        net, more = training.load(path)
+        probe = cls(target, more["loss"], hidden=net.sizes[1] if len(net.sizes) > 2 else None)
+        probe.model = net
         return probe
 
 

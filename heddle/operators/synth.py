@@ -69,8 +69,13 @@ def _from(template: str):
 
 def synthetic_instances(spark: SparkSession, n: int) -> DataFrame:
     """``n`` instances, topics in turn: instance, content, lang, license, quality_score, topic."""
-    topics = spark.createDataFrame([(k, *t) for k, t in enumerate(TOPICS)], "k long, lang string, topic string")
-    rows = spark.range(n).withColumnRenamed("id", "instance").withColumn("k", F.col("instance") % len(TOPICS))
+    return instances_for(spark.range(n), "id")
+
+
+def instances_for(numbers: DataFrame, number: str) -> DataFrame:
+    """An instance for each number of a table, topics in turn; the number is its name."""
+    topics = numbers.sparkSession.createDataFrame([(k, *t) for k, t in enumerate(TOPICS)], "k long, lang string, topic string")
+    rows = numbers.select(F.col(number).alias("instance")).withColumn("k", F.pmod("instance", F.lit(len(TOPICS))))
     code = F.when(F.col("lang") == "python", _from(PYTHON_CODE)).otherwise(_from(OTHER_CODE))
     asked = wrap_chat(F.lit("user"), F.concat(F.lit("Implement a solution for "), F.col("topic"), F.lit(".")))
     answer = wrap_chat(F.lit("assistant"), wrap_thinking(_from(REASONING), code))
@@ -91,12 +96,18 @@ def db_call_json(dialect: str, operation: str, table: str, constraints) -> str:
 
 def db_call_examples(spark: SparkSession, n_copies: int = 10) -> DataFrame:
     """The examples ``n_copies`` times: copy, example, content, lang, license, quality_score, dialect."""
-    rows = []
+    return db_calls_for(spark.range(n_copies), "id")
+
+
+def db_calls_for(copies: DataFrame, copy: str) -> DataFrame:
+    """All examples for each number of a table, which is the copy's."""
+    rows, spark = [], copies.sparkSession
     for k, (dialect, operation, table, constraints, reasoning, sql) in enumerate(DB_EXAMPLES):
         prompt = f"Execute a {operation} operation on the '{table}' table using {dialect.capitalize()}."
         block = db_call_json(dialect, operation, table, constraints)
         rows.append((k, dialect, prompt, reasoning, f"<db_call>\n{block}\n</db_call>\n<code>\n{sql}\n</code>"))
     base = spark.createDataFrame(rows, "example int, dialect string, prompt string, reasoning string, answer string")
     content = F.concat(wrap_chat(F.lit("user"), "prompt"), F.lit("\n"), wrap_chat(F.lit("assistant"), wrap_thinking("reasoning", "answer")))
-    copies = spark.range(n_copies).withColumnRenamed("id", "copy").crossJoin(F.broadcast(base))  # eight literal rows
-    return copies.select("copy", "example", content.alias("content"), F.lit("sql").alias("lang"), F.lit("synthetic").alias("license"), F.lit(1.0).alias("quality_score"), "dialect")
+    every = F.array(*[F.lit(k) for k in range(len(rows))])
+    dealt = copies.select(F.col(copy).alias("copy"), F.explode(every).alias("example")).join(F.broadcast(base), "example")  # eight literal rows
+    return dealt.select("copy", "example", content.alias("content"), F.lit("sql").alias("lang"), F.lit("synthetic").alias("license"), F.lit(1.0).alias("quality_score"), "dialect")

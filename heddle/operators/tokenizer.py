@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from heddle.sources.shared import materialise
+
 # Fixed value: special tokens in the order of their ids.
 SPECIAL_TOKENS = (
     "<pad>", "<bos>", "<eos>", "<unk>", "<think>", "</think>", "<tool_call>", "</tool_call>", "<tool_response>", "</tool_response>",
@@ -63,7 +65,7 @@ def decode(ids: Column | str, path: str, skip_special: bool = True) -> Column:
 
 
 def encode_padded(df: DataFrame, content: str, path: str, longest: int = 32_768, pad: int = 0) -> DataFrame:
-    """``df`` with ``ids`` cut to ``longest`` and padded to the longest of the table."""
-    cut = df.withColumn("ids", F.slice(encode(content, path), 1, longest))
+    """``df`` with ``ids`` cut to ``longest`` and padded to the longest of the table; encoded once, and written in between."""
+    cut = materialise(df.withColumn("ids", F.slice(encode(content, path), 1, longest)), "encoded")
     width = cut.agg(F.coalesce(F.max(F.size("ids")), F.lit(0))).first()[0]
     return cut.withColumn("ids", F.concat("ids", F.array_repeat(F.lit(pad), F.lit(width) - F.size("ids"))))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from heddle.functions import quality as q
@@ -14,16 +14,18 @@ def filter_all(spark: SparkSession, raw: str, out: str, *, min_score: float = 0.
                languages: tuple[str, ...] = q.LANGUAGES, licenses: tuple[str, ...] = q.LICENSES) -> DataFrame:
     """Filter every JSON-lines file under ``raw`` with one dedup over all of them; the files' order is their names'.
 
-    Writes the accepted documents (with their hash) to ``out`` and returns the counters. Hashes of earlier
-    outputs may be given as ``seen``.
+    Writes the accepted documents (with their hash) to ``out`` and returns the counters, which are observed in the
+    write itself: the files are read, scored and deduplicated once. Hashes of earlier outputs may be given as ``seen``.
     """
     docs = filtering.limit_per_file(files.read_jsonl(spark, raw), "file", ["line_no"], max_records)
     flagged = filtering.with_reasons(
         docs, ["file", "line_no"], min_score=min_score, malformed="malformed", seen=seen, languages=languages, licenses=licenses
     )
-    kept = flagged.where("reason = 'accepted'").select("content", "lang", "license", "quality_score", F.col("content_hash").alias("hash"))
+    seen_by = Observation("filter")
+    kept = flagged.observe(seen_by, *filtering.counters()).where("reason = 'accepted'").select("content", "lang", "license", "quality_score", F.col("content_hash").alias("hash"))
     kept.write.mode("overwrite").parquet(out)
-    return filtering.filter_stats(flagged)
+    counts = seen_by.get
+    return spark.createDataFrame([tuple(counts.values())], ", ".join(f"{name} long" for name in counts))
 
 
 def tokenize_all(spark: SparkSession, filtered: str, out: str, vocabulary: str, bos: int = 1, eos: int = 2) -> bool:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,10 +11,10 @@ from pyspark.sql import functions as F
 from heddle.functions import curriculum, parsers, prompts, vectors, verify
 from heddle.functions import quality as q
 from heddle.functions.text import WHITE_SPACE
-from heddle.operators import cluster, estimates, filtering, memory, mixing, packing, probes, search, synth
+from heddle.operators import cluster, embedding, estimates, filtering, memory, mixing, packing, probes, search, seen, segments, synth
 from heddle.operators.blocks import running_before
 from heddle.plans.snippets import CALLS, CODE, EDITS, TAGGED
-from heddle.sources import files, shared
+from heddle.sources import files, shared, tokenbin
 from heddle.streaming.incremental import windowed_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -169,16 +170,15 @@ def quality_heuristics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "documents").select("doc_id", q.passes_quality_heuristics("text").alias("passes"))
 
 
-def _allow_list_rows() -> list[tuple]:
-    names = ["MIT", "apache-2.0", "BSD-3-Clause", "\tISC ", "GPL-3.0", "AGPL-3.0", "", None, "JavaScript", "TypeScript", "python", "vue", "java"]
-    return list(enumerate(names))
+_SPOKEN = "CASE doc_id % 5 WHEN 0 THEN 'JavaScript' WHEN 1 THEN ' python' WHEN 2 THEN 'java' WHEN 3 THEN NULL ELSE lang END"
 
 
-@query(f"""SELECT i, coalesce(trim(lower(v), {_WS}) IN {q.LICENSES}, false) AS permissive, coalesce(trim(lower(v), {_WS}) IN {q.LANGUAGES}, false) AS target
-  FROM {_values(_allow_list_rows(), 'i, v')}""")
+@query(f"""WITH {_LICENSED} SELECT doc_id, coalesce(trim(lower(license), {_WS}) IN {q.LICENSES}, false) AS permissive,
+  coalesce(trim(lower({_SPOKEN}), {_WS}) IN {q.LANGUAGES}, false) AS target FROM licensed""")
 def allow_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(_allow_list_rows(), "i int, v string")
-    return rows.select("i", q.is_permissive_license("v").alias("permissive"), q.is_target_language("v").alias("target"))
+    """Licenses that the texts name, and programming languages dealt to the documents, against the lists."""
+    rows = _licensed(spark, sf_dir)
+    return rows.select("doc_id", q.is_permissive_license("license").alias("permissive"), q.is_target_language(F.expr(_SPOKEN)).alias("target"))
 
 
 _SCORED = f"WITH {_LICENSED}, {_quality_sql('licensed', 'doc_id')} "
@@ -209,16 +209,25 @@ def textbook_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _licensed(spark, sf_dir).select("doc_id", q.textbook_quality("content", "path").alias("score"))
 
 
-_CODE_SQL = f"code AS {_values(CODE, 'id, path, content')}"
+# All documents dressed as code in five ways, and the inline snippets under negative ids; both engines read these expressions.
+_N = "chr(10)"
+_AS_CODE = f"""CASE doc_id % 5 WHEN 0 THEN 'def f(x):' || {_N} || '    # ' || replace(text, '. ', '.' || {_N} || '    # ') || {_N} || '    if x:' || {_N} || '        return 1' || {_N} || '    return 0' || {_N}
+  WHEN 1 THEN '\"\"\"' || {_N} || text || {_N} || '\"\"\"' || {_N} || 'import pytest' || {_N} || {_N} || 'def test_f():' || {_N} || '    assert f(1)' || {_N}
+  WHEN 2 THEN '// @generated by a tool' || {_N} || 'let t = "' || text || '";'
+  WHEN 3 THEN 'export class A {{' || {_N} || '  run(x: number) {{' || {_N} || '    for (;;) {{ call(i); }}' || {_N} || '  }}' || {_N} || '}}' || {_N} || '/* ' || text || {_N} || '*/' || {_N}
+  ELSE text END""".replace('\\"', '"')
+_AS_PATH = "CASE doc_id % 5 WHEN 0 THEN 'src/a.py' WHEN 1 THEN 'tests/test_a.py' WHEN 2 THEN 'lib/gen.js' WHEN 3 THEN 'lib/app.ts' ELSE 'dist/app.min.js' END"
+_CODE_SQL = f"code AS (SELECT doc_id AS id, {_AS_PATH} AS path, {_AS_CODE} AS content FROM documents UNION ALL SELECT -1 - id, path, content FROM {_values(CODE, 'id, path, content')})"
 
 
-def _code(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(CODE, "id int, path string, content string")
+def _code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.expr(_AS_PATH).alias("path"), F.expr(_AS_CODE).alias("content"))
+    return docs.union(spark.createDataFrame([(-1 - k, p, c) for k, p, c in CODE], "id long, path string, content string"))
 
 
 @query(f"WITH {_CODE_SQL}, {_quality_sql('code', 'id')} SELECT k AS id, c, t, a, r, score FROM scored")
 def code_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _code(spark).select(
+    return _code(spark, sf_dir).select(
         "id",
         q.score_comments("content").alias("c"),
         q.score_tests("path", "content").alias("t"),
@@ -246,7 +255,7 @@ def code_complexity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_CODE_SQL}, {_complexity_sql('code', 'id', 'content')} SELECT k AS id, complexity FROM complexity")
 def snippet_complexity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _code(spark).select("id", curriculum.code_complexity("content").alias("complexity"))
+    return _code(spark, sf_dir).select("id", curriculum.code_complexity("content").alias("complexity"))
 
 
 @query(f"""WITH {_complexity_sql('documents', 'doc_id', 'text')}
@@ -333,9 +342,10 @@ _SYNTH_ROWS = [(k, lang, topic, (synth.PYTHON_CODE if lang == "python" else synt
 
 @query(f"""SELECT r.i AS instance, '<|im_start|>user' || chr(10) || 'Implement a solution for ' || topic || '.<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10) || '<think>' || chr(10)
   || replace(replace({_text(synth.REASONING)}, '{{topic}}', topic), '{{lang}}', lang) || chr(10) || '</think>' || chr(10) || replace(code, '{{topic}}', topic) || '<|im_end|>' AS content,
-  lang, 'synthetic' AS license, 1.0::DOUBLE AS quality_score, topic FROM range(100) r(i) JOIN {_values(_SYNTH_ROWS, 'k, lang, topic, code')} t ON r.i % 6 = t.k""")
+  lang, 'synthetic' AS license, 1.0::DOUBLE AS quality_score, topic FROM (SELECT doc_id AS i FROM documents) r JOIN {_values(_SYNTH_ROWS, 'k, lang, topic, code')} t ON r.i % 6 = t.k""")
 def synth_instances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return synth.synthetic_instances(spark, 100)
+    """An instance for every document's number."""
+    return synth.instances_for(_table(spark, sf_dir, "documents"), "doc_id")
 
 
 _DB_ROWS = [
@@ -346,9 +356,10 @@ _DB_ROWS = [
 
 @query(f"""SELECT c.i AS "copy", k AS example, '<|im_start|>user' || chr(10) || prompt || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10) || '<think>' || chr(10) || reasoning || chr(10) || '</think>' || chr(10)
   || '<db_call>' || chr(10) || call || chr(10) || '</db_call>' || chr(10) || '<code>' || chr(10) || stmt || chr(10) || '</code><|im_end|>' AS content, 'sql' AS lang, 'synthetic' AS license, 1.0::DOUBLE AS quality_score, dialect
-  FROM range(10) c(i), {_values(_DB_ROWS, 'k, dialect, prompt, reasoning, call, stmt')} t""")
+  FROM (SELECT item_id AS i FROM benchmark) c(i), {_values(_DB_ROWS, 'k, dialect, prompt, reasoning, call, stmt')} t""")
 def db_call_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return synth.db_call_examples(spark, 10)
+    """The examples once for every benchmark item."""
+    return synth.db_calls_for(_table(spark, sf_dir, "benchmark"), "item_id")
 
 
 # --- parsers --------------------------------------------------------------------------------------------------------
@@ -356,39 +367,58 @@ def db_call_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
 _EDIT_RE = parsers.EDIT.replace("(?s)", "")
 
 
-@query(f"""WITH e AS {_values(EDITS, 'id, source, text')},
+# All documents with an edit of their own first letters, two edits, or none, and the inline edits under negative ids.
+_OLD, _NEW = "substr(text, 1, 20)", "substr(text, 21, 20)"
+_AS_EDIT = f"""CASE doc_id % 3 WHEN 0 THEN '[src/' || source || '.py]' || {_N} || '<search>' || {_N} || {_OLD} || {_N} || '<replace>' || {_N} || {_NEW} || {_N} || '<diff_end>'
+  WHEN 1 THEN '<search>' || {_N} || {_OLD} || {_N} || '<replace>' || {_N} || 'other words' || {_N} || '<diff_end> and <search>' || {_NEW} || '<replace>' || {_OLD} || '<diff_end>' ELSE text END"""
+
+
+def _edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("source"), F.expr(_AS_EDIT).alias("text"))
+    return docs.union(spark.createDataFrame([(-1 - k, x, t) for k, x, t in EDITS], "id long, source string, text string"))
+
+
+@query(f"""WITH e AS (SELECT doc_id AS id, text AS source, {_AS_EDIT} AS text FROM documents UNION ALL SELECT -1 - id, source, text FROM {_values(EDITS, 'id, source, text')}),
 m AS (SELECT id, regexp_extract_all(text, {_text(_EDIT_RE)}, 1, 's') AS p, regexp_extract_all(text, {_text(_EDIT_RE)}, 2, 's') AS s, regexp_extract_all(text, {_text(_EDIT_RE)}, 3, 's') AS r FROM e)
 SELECT id, i AS nth, replace(s[i], chr(13) || chr(10), chr(10)) AS search, replace(r[i], chr(13) || chr(10), chr(10)) AS "replace", nullif(trim(coalesce(p[i], ''), {_WS}), '') AS path
 FROM m, unnest(range(1, len(s) + 1)) AS t(i)""")
 def parse_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(EDITS, "id int, source string, text string")
-    found = rows.select("id", F.posexplode(parsers.parse_edits("text")).alias("nth", "e"))
+    found = _edits(spark, sf_dir).select("id", F.posexplode(parsers.parse_edits("text")).alias("nth", "e"))
     return found.select("id", (F.col("nth") + 1).cast("long").alias("nth"), "e.search", "e.replace", "e.path")
 
 
 _APPLY = [(k, s, a, b) for k, (s, a, b) in enumerate([("a = 1\r\nb = 2\n", "b = 2", "b = 3"), ("x x", "x", "y"), ("abc", "z", "y"), ("abc", "", "y"), ("aaa", "aa", "b"), ("p\r\nq", "p\nq", "r\r\ns")])]
+#: What is sought in each document: a long beginning, a short one, something absent, nothing.
+_SOUGHT = "CASE doc_id % 4 WHEN 0 THEN substr(text, 1, 25) WHEN 1 THEN substr(text, 1, 2) WHEN 2 THEN 'zz no such words' ELSE '' END"
 
 
-@query(f"""WITH a AS {_values(_APPLY, 'id, source, a, b')}, n AS (SELECT id, replace(source, chr(13) || chr(10), chr(10)) AS s, replace(a, chr(13) || chr(10), chr(10)) AS f, replace(b, chr(13) || chr(10), chr(10)) AS r FROM a),
+@query(f"""WITH a AS (SELECT doc_id AS id, text AS source, {_SOUGHT} AS a, '<' || lang || '>' AS b FROM documents UNION ALL SELECT -1 - id, source, a, b FROM {_values(_APPLY, 'id, source, a, b')}),
+n AS (SELECT id, replace(source, chr(13) || chr(10), chr(10)) AS s, replace(a, chr(13) || chr(10), chr(10)) AS f, replace(b, chr(13) || chr(10), chr(10)) AS r FROM a),
 c AS (SELECT *, CASE WHEN f = '' THEN -1 ELSE (length(s) - length(replace(s, f, ''))) // length(f) END AS k FROM n)
 SELECT id, k = 1 AS ok, CASE WHEN k = 1 THEN replace(s, f, r) END AS result, CASE WHEN k = -1 THEN 'Search block is empty.' WHEN k = 0 THEN 'Search block not found in source text.' || chr(10) || 'Search block:' || chr(10) || f
   WHEN k > 1 THEN 'Search block matched ' || k || ' locations in source text. Must match uniquely to avoid ambiguous edits.' || chr(10) || 'Search block:' || chr(10) || f END AS error FROM c""")
 def apply_edit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(_APPLY, "id int, source string, a string, b string")
+    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("source"), F.expr(_SOUGHT).alias("a"), F.expr("'<' || lang || '>'").alias("b"))
+    rows = docs.union(spark.createDataFrame([(-1 - k, x, y, z) for k, x, y, z in _APPLY], "id long, source string, a string, b string"))
     return rows.select("id", parsers.apply_edit("source", "a", "b").alias("x")).select("id", "x.*")
 
 
 @query()
 def apply_edit_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(EDITS, "id int, source string, text string")
-    return rows.select("id", parsers.apply_edits("source", "text").alias("x")).select("id", "x.*")
+    return _edits(spark, sf_dir).select("id", parsers.apply_edits("source", "text").alias("x")).select("id", "x.*")
 
 
 _KEYS = "['constraints', 'dialect', 'operation', 'table']"
 _D, _O = (f"trim(lower(coalesce(json_extract_string(p, '$.{n}'), 'none')), {_WS})" for n in ("dialect", "operation"))
 
 
-@query(f"""WITH c AS (SELECT id, trim(p, {_WS}) AS p FROM {_values(CALLS, 'id, p')}),
+# Every event as a call, some of them spoiled, and the inline calls under negative ids.
+_DIALECT = "CASE user_id % 6 WHEN 0 THEN 'PostgreSQL' WHEN 1 THEN 'mysql' WHEN 2 THEN ' SQLite ' WHEN 3 THEN 'oracle' WHEN 4 THEN 'mariadb' ELSE 'sqlite' END"
+_OPERATION = "CASE event_id % 5 WHEN 0 THEN 'select' WHEN 1 THEN ' Insert ' WHEN 2 THEN 'update' WHEN 3 THEN 'merge' ELSE 'delete' END"
+_AS_CALL = f"""CASE event_id % 11 WHEN 0 THEN 'no call ' || props WHEN 1 THEN props WHEN 2 THEN '[1, 2]'
+  ELSE '{{"dialect": "' || {_DIALECT} || '", "operation": "' || {_OPERATION} || '", "table": ' || CASE event_id % 11 WHEN 3 THEN '5' WHEN 4 THEN '"  "' ELSE '" ' || event_type || '"' END
+  || ', "constraints": ' || CASE event_id % 11 WHEN 5 THEN 'null' ELSE props END || '}}' END"""
+_CALLS_SQL = f"""WITH c AS (SELECT id, trim(p, {_WS}) AS p FROM (SELECT event_id AS id, {_AS_CALL} AS p FROM events UNION ALL SELECT -1 - id, p FROM {_values(CALLS, 'id, p')}) x),
 j AS (SELECT id, json_valid(p) AS ok, CASE WHEN json_valid(p) THEN p ELSE '{{}}' END AS p FROM c),
 t AS (SELECT id, p, ok, json_type(p) AS kind FROM j),
 v AS (SELECT id, p, CASE WHEN NOT ok THEN 'Malformed JSON in db_call.' WHEN kind <> 'OBJECT' THEN 'Database call payload must be a JSON object.'
@@ -397,18 +427,27 @@ v AS (SELECT id, p, CASE WHEN NOT ok THEN 'Malformed JSON in db_call.' WHEN kind
   WHEN {_O} NOT IN {parsers.OPERATIONS} THEN 'Unsupported SQL operation ''' || {_O} || '''. Supported operations: {parsers._quoted(parsers.OPERATIONS).replace("'", "''")}'
   WHEN coalesce(json_type(p, '$.table'), 'NULL') <> 'VARCHAR' OR trim(coalesce(json_extract_string(p, '$.table'), ''), {_WS}) = '' THEN 'Table name must be a non-empty string.'
   WHEN coalesce(json_type(p, '$.constraints'), 'NULL') = 'NULL' THEN '''constraints'' field cannot be None.' END AS error FROM t)
-SELECT id, error IS NULL AS valid, CASE WHEN error IS NULL THEN {_D} END AS dialect, CASE WHEN error IS NULL THEN {_O} END AS operation,
-  CASE WHEN error IS NULL THEN trim(json_extract_string(p, '$.table'), {_WS}) END AS "table", error FROM v""")
+"""
+_VALIDATED = f"""SELECT id, error IS NULL AS valid, CASE WHEN error IS NULL THEN {_D} END AS dialect, CASE WHEN error IS NULL THEN {_O} END AS operation,
+  CASE WHEN error IS NULL THEN trim(json_extract_string(p, '$.table'), {_WS}) END AS "table", error FROM v"""
+
+
+def _calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = _table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.expr(_AS_CALL).alias("p"))
+    return events.union(spark.createDataFrame([(-1 - k, p) for k, p in CALLS], "id long, p string"))
+
+
+@query(_CALLS_SQL + _VALIDATED)
 def validate_db_call(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(CALLS, "id int, p string")
-    return rows.select("id", parsers.validate_db_call("p").alias("x")).select("id", "x.valid", "x.dialect", "x.operation", "x.table", "x.error")
+    return _calls(spark, sf_dir).select("id", parsers.validate_db_call("p").alias("x")).select("id", "x.valid", "x.dialect", "x.operation", "x.table", "x.error")
 
 
-@query(f"""SELECT c.i AS "copy", k AS example, true AS valid, json_extract_string(call, '$.dialect') AS dialect, json_extract_string(call, '$.operation') AS operation,
-  json_extract_string(call, '$.table') AS "table", CAST(NULL AS VARCHAR) AS error FROM range(2) c(i), {_values(_DB_ROWS, 'k, dialect, prompt, reasoning, call, stmt')} t""")
+@query(_CALLS_SQL + _VALIDATED)
 def parse_db_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = synth.db_call_examples(spark, 2).select("copy", "example", F.explode(parsers.parse_db_calls("content")).alias("x"))
-    return found.select("copy", "example", "x.valid", "x.dialect", "x.operation", "x.table", "x.error")
+    """Every call inside a block of a reply."""
+    shown = F.concat(F.lit("I will ask.\n"), parsers.format_db_call("p"), F.lit("\nDone."))
+    found = _calls(spark, sf_dir).select("id", F.explode(parsers.parse_db_calls(shown)).alias("x"))
+    return found.select("id", "x.valid", "x.dialect", "x.operation", "x.table", "x.error")
 
 
 def _tag_sql(name: str) -> str:
@@ -485,7 +524,7 @@ def agent_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def verify_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(CODE, "id int, path string, content string")
+    rows = _code(spark, sf_dir)
     tag = F.when(F.endswith("path", F.lit(".py")), "py").when(F.endswith("path", F.lit(".ts")), "ts").otherwise("js")
     return rows.select("id", verify.verify_code("content", tag).alias("x")).select("id", "x.*")
 
@@ -574,12 +613,13 @@ def top_p(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.groupBy("vec_id").agg(F.count("*").alias("kept"), F.sum("i").cast("long").alias("positions"))
 
 
-@query("""SELECT i AS step, round(CASE WHEN i < 100 THEN 0.001::DOUBLE * i / 100 ELSE 0.0001::DOUBLE + 0.5 * (0.001::DOUBLE - 0.0001::DOUBLE) * (1 + cos(pi() * (i - 100) / 900.0::DOUBLE)) END, 9) AS lr,
-  round(pow(CAST(4096 + i AS DOUBLE) / 4096, 64.0::DOUBLE / 62), 9) AS ntk FROM range(1000) t(i)""")
+@query("""SELECT event_id, round(CASE WHEN i < 100 THEN 0.001::DOUBLE * i / 100 ELSE 0.0001::DOUBLE + 0.5 * (0.001::DOUBLE - 0.0001::DOUBLE) * (1 + cos(pi() * (i - 100) / 900.0::DOUBLE)) END, 9) AS lr,
+  round(pow(CAST(4096 + i AS DOUBLE) / 4096, 64.0::DOUBLE / 62), 9) AS ntk FROM (SELECT event_id, event_id % 1000 AS i FROM events) t""")
 def schedules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.range(1000).withColumnRenamed("id", "step")
+    """The rate and the base scale at every event's step."""
+    rows = _table(spark, sf_dir, "events").select("event_id", (F.col("event_id") % 1000).alias("step"))
     return rows.select(
-        "step", F.round(vectors.cosine_lr("step", 100, 1000, 0.001, 0.0001), 9).alias("lr"),
+        "event_id", F.round(vectors.cosine_lr("step", 100, 1000, 0.001, 0.0001), 9).alias("lr"),
         F.round(vectors.ntk_factor(F.lit(4096.0), F.col("step") + 4096, F.lit(64.0)), 9).alias("ntk"),
     )
 
@@ -605,13 +645,11 @@ def perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return estimates.perplexity(rows, "l", "n").select(F.round("loss", 6).alias("loss"), F.round("perplexity", 4).alias("perplexity"))
 
 
-_GRID = {"lr": [0.1, 0.01, 0.001], "depth": [2, 4], "kind": ["a", "b"]}
-
-
-@query("""SELECT row_number() OVER (ORDER BY i, j, k) - 1 AS trial_no, lr, depth, kind FROM (VALUES (0, 0.1::DOUBLE), (1, 0.01::DOUBLE), (2, 0.001::DOUBLE)) a(i, lr),
-  (VALUES (0, 2), (1, 4)) b(j, depth), (VALUES (0, 'a'), (1, 'b')) c(k, kind)""")
+@query("""SELECT row_number() OVER (ORDER BY lang, depth, kind) - 1 AS trial_no, lang, depth, kind FROM (SELECT DISTINCT lang FROM documents WHERE lang IS NOT NULL) a, (VALUES (2), (4)) b(depth), (VALUES ('a'), ('b')) c(kind)""")
 def grid_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.grid_frame(spark, _GRID)
+    """A grid with the languages of the documents as one parameter."""
+    langs = _table(spark, sf_dir, "documents").where("lang is not null").select("lang").distinct().orderBy("lang")
+    return search.grid_frame(spark, {"lang": [r["lang"] for r in langs.collect()], "depth": [2, 4], "kind": ["a", "b"]})
 
 
 @query("""SELECT vec_id AS trial_no, score, row_number() OVER (ORDER BY score DESC, vec_id) AS rank FROM (SELECT vec_id, round(CAST(embedding[1] AS DOUBLE), 1) + 0.0 AS score FROM embeddings)""")
@@ -620,14 +658,38 @@ def trial_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.rank_trials(trials, "maximize")
 
 
-@query()
+_RULES = search.grid({"least": [50, 200, 400, 800, 1600], "share": [0.7, 0.8]})
+_DRAWN = search.random_points({"least": (50, 3000, int), "share": (0.5, 1.0, float), "kind": ["n_chars"]}, 20)
+
+
+def _points_sql(points: list[dict]) -> str:
+    return ", ".join(f"({k}, {_text(json.dumps(p))}, {p['least']}, {p['share']!r}::DOUBLE)" for k, p in enumerate(points))
+
+
+def _rule_sql(points: list[dict]) -> str:
+    """Accuracy of a rule, long enough and enough of it letters, against the labels, of each point."""
+    return f"""WITH d AS (SELECT l.quality AS q, length(d.text) AS n, len(regexp_replace(d.text, '[^a-zA-Z]', '', 'g')) / greatest(length(d.text), 1) AS s FROM labels l JOIN documents d USING (doc_id)),
+  t AS (SELECT k AS trial_no, params, round(avg(CAST((n >= least AND s >= share) = (q = 1) AS INT)), 9) AS score FROM d, (VALUES {_points_sql(points)}) p(k, params, least, share) GROUP BY 1, 2)
+  SELECT trial_no, params, score, CAST(NULL AS VARCHAR) AS error, row_number() OVER (ORDER BY score DESC, trial_no) AS rank FROM t"""
+
+
+def _tried(spark: SparkSession, sf_dir: str, points: list[dict]) -> DataFrame:
+    rows = _table(spark, sf_dir, "labels").join(_table(spark, sf_dir, "documents"), "doc_id")
+    letters = F.length(F.regexp_replace("text", "[^a-zA-Z]", "")) / F.greatest(F.length("text"), F.lit(1))
+    shown = rows.select("quality", F.length("text").alias("n"), letters.alias("s"))
+    fits = lambda p: ((F.col("n") >= p["least"]) & (F.col("s") >= p["share"])) == (F.col("quality") == 1)
+    return search.over_table(shown, points, lambda p: F.round(F.avg(fits(p).cast("int")), 9), "maximize")
+
+
+@query(_rule_sql(_RULES))
 def grid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.grid_search(spark, lambda p: (p["lr"] - 0.01) ** 2 + p["depth"], _GRID)
+    """The best of a grid of rules for good documents, all points in one pass over the labels."""
+    return _tried(spark, sf_dir, _RULES)
 
 
-@query()
+@query(_rule_sql(_DRAWN))
 def random_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.random_search(spark, lambda p: p["x"] * p["n"], {"x": (0.0, 1.0, float), "n": (2, 8, int), "c": ["u", "v"]}, 20)
+    return _tried(spark, sf_dir, _DRAWN)
 
 
 # --- learned probes, streaming extension ----------------------------------------------------------------------------
@@ -636,7 +698,7 @@ def random_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def kmeans_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _embeddings(spark, sf_dir)
-    centroids, value = cluster.fit(rows, "embedding", "vec_id", k=4, n_init=1, max_iter=5)
+    centroids, value = cluster.fit(rows, "embedding", "vec_id", k=8)
     out = cluster.assign(rows, "embedding", centroids)
     return out.groupBy("cluster").agg(F.count("*").alias("n")).withColumn("inertia", F.lit(value))
 
@@ -644,7 +706,7 @@ def kmeans_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def probe_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _embeddings(spark, sf_dir).withColumn("name", F.concat(F.lit("l"), F.col("label").cast("string")))
-    probe = probes.ClassificationProbe([f"l{k}" for k in range(10)], max_iter=20).fit(rows, "embedding", "name")
+    probe = probes.ClassificationProbe([f"l{k}" for k in range(10)]).fit(rows, "embedding", "name")
     return probe.predict(rows, "embedding").agg(estimates.accuracy("predicted", "name").alias("accuracy"), F.count("*").alias("n"))
 
 
@@ -719,9 +781,143 @@ def memory_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT d.doc_id, CASE WHEN EXISTS (SELECT 1 FROM seen s WHERE s.text = d.text) OR d.doc_id > f.doc_id THEN true ELSE false END AS repeated
   FROM documents d JOIN f ON d.text = f.text""")
 def dedup_across_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document against the hashes that an earlier run over one source has kept, and against this run's earlier ones."""
+    """Every document against the stored hashes of an earlier run over one source, and against this run's earlier ones."""
+    docs = _table(spark, sf_dir, "documents")
+    hashed = docs.select("doc_id", "source", "text", q.content_hash("text").alias("hash"))
+    store = seen.Seen(spark, shared.new_path(spark, "seen"))
+    store.add(hashed.where("source = 'src0'"), "first")
+    # The firsts meet their rows by number, not by hash, which a mass of copies shares.
+    firsts = filtering.exact_dedup(hashed.select("doc_id", "text"), "text", ["doc_id"]).select("doc_id", F.lit(True).alias("_first"))
+    flagged = store.flagged(hashed.select("doc_id", "hash")).join(firsts, "doc_id", "left")
+    return flagged.select("doc_id", (F.col("_seen") | F.col("_first").isNull()).alias("repeated"))
+
+
+@query(f"""WITH t AS (SELECT doc_id, {_LENGTHS} AS ids FROM documents), flat AS (SELECT unnest(ids) AS x, doc_id, generate_subscripts(ids, 1) AS p FROM t),
+  g AS (SELECT x, row_number() OVER (ORDER BY doc_id, p) - 1 AS i FROM flat)
+  SELECT i // 2048 * 2048 AS at, count(*) AS n, CAST(sum(x) AS BIGINT) AS total, CAST(sum(x * (i % 2048 + 1)) AS BIGINT) AS weighted FROM g GROUP BY 1""")
+def token_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents' ids as one file of int32, written by byte ranges and read again in windows."""
+    path = shared.new_path(spark, "stream") + ".bin"
+    tokenbin.write_stream(_word_lengths(spark, sf_dir), "ids", ["doc_id"], path)
+    places = F.transform("ids", lambda x, i: x.cast("long") * (i + 1))
+    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
+    return tokenbin.read_stream(spark, path).select("at", F.size("ids").cast("long").alias("n"), total(F.col("ids")).alias("total"), total(places).alias("weighted"))
+
+
+def _sums(ids, mask):
+    """A model of two numbers: the sum of the ids so far, and the ids themselves."""
+    import numpy as np
+
+    return np.stack([np.cumsum(ids, 1), ids], 2).astype(float)
+
+
+@query(f"""SELECT doc_id, CAST(list_sum(ids) AS DOUBLE) AS last_sum, CAST(ids[-1] AS DOUBLE) AS last_id, round(list_avg(ids), 6) AS mean_id FROM (SELECT doc_id, {_LENGTHS} AS ids FROM documents)""")
+def embed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pooled states of every document's ids, in batches of like length."""
+    rows = _word_lengths(spark, sf_dir)
+    both = rows.select("doc_id", embedding.embed("ids", lambda: _sums).alias("last"), embedding.embed("ids", lambda: _sums, "mean").alias("mean"))
+    return both.select("doc_id", F.col("last")[0].alias("last_sum"), F.col("last")[1].alias("last_id"), F.round(F.col("mean")[1], 6).alias("mean_id"))
+
+
+@query("""WITH k AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id % 3, vec_id) - 1 AS idx, count(*) OVER () AS n FROM embeddings)
+  SELECT idx, vec_id AS "text" FROM k WHERE idx >= n - 300""")
+def appended_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors appended in three runs, then only the newest 300 wanted, then made one folder."""
+    path, rows = shared.new_path(spark, "segments"), _embeddings(spark, sf_dir).withColumn("text", F.col("vec_id").cast("string"))
+    for k in range(3):
+        segments.append(rows.where(F.col("vec_id") % 3 == k), path, 64, order=["vec_id"])
+    segments.compact(spark, path, 300)
+    return segments.load(spark, path, 300).select("idx", F.col("text").cast("long").alias("text"))
+
+
+# --- small pieces over whole tables -----------------------------------------------------------------------------------
+
+
+@query(_CENTERS + """, s AS (SELECT vec_id, list(1 - list_dot_product(u.v, c.v) ORDER BY c.label) AS d FROM u, c GROUP BY vec_id)
+  SELECT vec_id, round(list_min(d), 6) + 0.0 AS nearest, round(list_max(d), 6) + 0.0 AS farthest, len(d) AS n FROM s""")
+def centroid_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    away = cluster.centroid_distances("embedding", _centers(spark, sf_dir))
+    rows = _embeddings(spark, sf_dir).select("vec_id", away.alias("d"))
+    return rows.select("vec_id", (F.round(F.array_min("d"), 6) + 0.0).alias("nearest"), (F.round(F.array_max("d"), 6) + 0.0).alias("farthest"), F.size("d").cast("long").alias("n"))
+
+
+@query("""WITH l AS (SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * 4 / 0.5::DOUBLE) AS z FROM embeddings),
+  e AS (SELECT vec_id, list_transform(z, lambda x: exp(x - list_max(z))) AS e FROM l)
+  SELECT vec_id, round(list_max(e) / list_sum(e), 6) AS top FROM e""")
+def tempered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The largest probability at half the temperature."""
+    return _logits(spark, sf_dir).select("vec_id", F.round(F.array_max(vectors.softmax("z", 0.5)), 6).alias("top"))
+
+
+@query("""SELECT event_id, round(cos(p), 6) + 0.0 AS c0, round(sin(p), 6) + 0.0 AS s0, round(cos(p * pow(10000.0::DOUBLE, -0.5)), 6) + 0.0 AS c2, round(sin(p * pow(10000.0::DOUBLE, -0.5)), 6) + 0.0 AS s2
+  FROM (SELECT event_id, CAST(event_id % 4096 AS DOUBLE) AS p FROM events)""")
+def rotary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two frequencies of the rotary table at every event's position."""
+    rows = _table(spark, sf_dir, "events").select("event_id", vectors.rotary_table(8, (F.col("event_id") % 4096).cast("double")).alias("r"))
+    shown = lambda k, name: (F.round(F.col("r")[k][name], 6) + 0.0).alias(f"{name[0]}{k}")
+    return rows.select("event_id", *[shown(k, n) for k in (0, 2) for n in ("cos", "sin")])
+
+
+@query("""SELECT doc_id, array_to_string(CASE WHEN lang = 'en' THEN ['en', 'fr', source] ELSE ['en', 'fr'] || CASE WHEN lang = 'fr' THEN [source] ELSE [lang, source] END END, ',') AS labels FROM documents""")
+def label_unions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    merged = mixing.label_union(F.array(F.lit("en"), F.lit("fr")), F.array("lang", "source"))
+    return _table(spark, sf_dir, "documents").select("doc_id", F.array_join(merged, ",").alias("labels"))
+
+
+@query("""SELECT vec_id, label AS code, 'l' || label AS name FROM embeddings""")
+def label_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels to numbers and back."""
+    names = [f"l{k}" for k in range(10)]
+    rows = _embeddings(spark, sf_dir).select("vec_id", F.concat(F.lit("l"), F.col("label").cast("string")).alias("name"))
+    coded = rows.select("vec_id", probes.encode_label("name", names).alias("code"))
+    return coded.select("vec_id", F.col("code").cast("int").alias("code"), probes.decode_label("code", names).alias("name"))
+
+
+@query(f"""SELECT doc_id FROM documents WHERE trim(text, {_WS}) <> '' UNION ALL SELECT doc_id FROM documents WHERE lang = 'en'""")
+def bag_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that are not blank, and those in English once more."""
+    docs = _table(spark, sf_dir, "documents")
+    return mixing.union_all([filtering.non_blank(docs, "text").select("doc_id"), docs.where("lang = 'en'").select("doc_id")])
+
+
+@query("""SELECT doc_id, row_number() OVER (ORDER BY md5(doc_id || ':11'), doc_id) AS place FROM documents""")
+def shuffled_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place in a seeded shuffle."""
+    return mixing.shuffled(_table(spark, sf_dir, "documents").select("doc_id"), "doc_id", 11, "place")
+
+
+@query("""SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents) WHERE r <= 20""")
+def records_per_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filtering.limit_per_file(_table(spark, sf_dir, "documents").select("doc_id", "source"), "source", ["doc_id"], 20)
+
+
+@query("""SELECT count(*) AS total, count(*) FILTER (WHERE lang = 'en') AS english, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents""")
+def summed_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counters of the runs over each source, in one row."""
+    runs = _table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("total"), F.count_if(F.col("lang") == "en").alias("english"), F.sum("n_chars").alias("chars"))
+    return filtering.sum_stats(runs.drop("source"))
+
+
+@query(f"""WITH {_complexity_sql('documents', 'doc_id', 'text')} SELECT k AS doc_id, complexity AS by_text, complexity AS by_content, 0.0::DOUBLE AS by_number FROM complexity""")
+def complexity_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The score that fits a column's type, for a text, for a struct with content, and for a number."""
+    rows = _table(spark, sf_dir, "documents").select("doc_id", "text", F.struct(F.col("text").alias("content")).alias("s"))
+    score = lambda name: curriculum.default_complexity(name, rows.schema[name].dataType)
+    return rows.select("doc_id", score("text").alias("by_text"), score("s").alias("by_content"), score("doc_id").alias("by_number"))
+
+
+@query(f"""SELECT doc_id, '[' || source || ']' || {_N} || '<search>' || {_N} || {_OLD} || {_N} || '<replace>' || {_N} || {_NEW} || {_N} || '<diff_end>' AS edit FROM documents""")
+def formatted_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    earlier = docs.where("source = 'src0'").select(q.content_hash("text").alias("hash"))
-    flagged = filtering.seen_before(docs.select("doc_id", q.content_hash("text").alias("_hash")), earlier)
-    firsts = flagged.groupBy("_hash").agg(F.min("doc_id").alias("first"))
-    return flagged.join(firsts, "_hash").select("doc_id", (F.col("_seen") | (F.col("doc_id") > F.col("first"))).alias("repeated"))
+    return docs.select("doc_id", parsers.format_edit(F.expr(_OLD), F.expr(_NEW), "source").alias("edit"))
+
+
+@query(f"""SELECT 'd' || doc_id % 4 AS folder, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents WHERE trim(text, {_WS}) <> '' AND doc_id % 3 <> 2 GROUP BY 1""")
+def source_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as files of a tree, a third of them with a suffix that is not read, and the tree read again."""
+    path = shared.new_path(spark, "tree")
+    named = F.concat(F.lit("d"), F.col("doc_id") % 4, F.lit("/f"), F.col("doc_id"), F.when(F.col("doc_id") % 3 == 2, ".bin").otherwise(".py"))
+    files.write_files(_table(spark, sf_dir, "documents").select(named.alias("name"), "text"), "name", "text", path)
+    rows = files.read_source_tree(spark, [path])
+    folder = F.regexp_extract("path", "/(d[0-9])/[^/]*$", 1).alias("folder")
+    return rows.groupBy(folder).agg(F.count("*").alias("n"), F.sum(F.length("content")).alias("chars"))

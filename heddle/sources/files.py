@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -45,6 +46,31 @@ def write_jsonl(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     df.write.mode(mode).json(path)
 
 
+def write_files(df: DataFrame, name: str, content: str, path: str) -> None:
+    """One file a row under ``path``, a folder that all executors share, by its relative name; a file that is there is replaced.
+
+    A task that runs again writes the same files. Names that leave the folder fail the write.
+    """
+    root = path.rstrip("/")
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, at = fs.FileSystem.from_uri(root) if "://" in root else (fs.LocalFileSystem(), root)
+        made = set()
+        for frame in batches:
+            for own, text in zip(frame["name"], frame["content"], strict=True):
+                if own.startswith("/") or ".." in own.split("/"):
+                    raise ValueError(f"not a name inside the folder: {own}")
+                folder = f"{at}/{own}".rpartition("/")[0]
+                if folder not in made:
+                    store.create_dir(folder, recursive=True)
+                    made.add(folder)
+                with store.open_output_stream(f"{at}/{own}") as f:
+                    f.write((text or "").encode("utf-8", "surrogatepass"))
+            yield pd.DataFrame({"n": [len(frame)]})
+
+    df.select(F.col(name).alias("name"), F.col(content).alias("content")).mapInPandas(write, "n long").write.format("noop").mode("overwrite").save()
+
+
 def read_source_tree(spark: SparkSession, dirs: list[str], max_files: int | None = None) -> DataFrame:
     """Whole source files under ``dirs``: path, content. Blank files are skipped; missing folders too."""
     found = [d for d in dirs if exists(spark, d)]

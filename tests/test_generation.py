@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from heddle.operators import blocks, correct, estimates, filtering, memory, probes
+from heddle.operators import blocks, correct, estimates, filtering, memory, nearest, probes
 from heddle.sources import hub, teacher
 
 
@@ -89,17 +89,15 @@ def test_limits_and_dedup_with_one_large_group(spark):
     assert kept.where("t is not null").select("id").collect()[0][0] == 1 and kept.where("t is null").count() == 1667
 
 
-def test_search_of_many_queries(spark, monkeypatch):
+def test_search_of_many_queries(spark):
     r = random.Random(4)
     rows = [(k, [r.gauss(0, 1) for _ in range(5)]) for k in range(300)] + [(300, None), (301, [1.0])]
     df = spark.createDataFrame(rows, "idx long, key array<double>").repartition(3)
     queries = df.where("idx % 20 = 0")
     want = {q["idx"]: [h["index"] for h in memory.retrieve(df.where("size(key) = 5").withColumn("text", F.lit("")), q["key"], 4).collect()] for q in queries.collect() if q["key"]}
     for size in (50_000, 40):
-        monkeypatch.setattr(memory, "SLICE", size)
-        monkeypatch.setattr(memory, "QUERIES", max(4, size // 10))
         got = {}
-        for h in memory.retrieve_each(df, queries, 4).orderBy("query", "rank").collect():
+        for h in nearest.build(df, slice_rows=size).search(queries, 4).orderBy("query", "rank").collect():
             got.setdefault(h["query"], []).append(h["index"])
         assert got == want
 
