@@ -76,7 +76,7 @@ def read_source_tree(spark: SparkSession, dirs: list[str], max_files: int | None
     found = [d for d in dirs if exists(spark, d)]
     if not found:
         return spark.createDataFrame([], "path string, content string")
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(found)
+    files = spark.read.text(found, wholetext=True, recursiveFileLookup=True)
     named = files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
     suffix = F.lit(False)
     for e in EXTENSIONS:

@@ -31,7 +31,7 @@ def test_jsonl(spark, tmp_path):
 
 def test_source_tree(spark, tmp_path):
     (tmp_path / "x" / "y").mkdir(parents=True)
-    (tmp_path / "x" / "a.py").write_text("a = 1")
+    (tmp_path / "x" / "a.py").write_text("a = 1\n\nb = 2\n")
     (tmp_path / "x" / "y" / "b.js").write_text("b")
     (tmp_path / "x" / "c.txt").write_text("c")
     (tmp_path / "x" / "d.py").write_text(" \n")
