@@ -19,6 +19,12 @@ RULES = (
     ("block", "net/fr/"),
 )
 
+#: Words that a label of an unwanted host begins with, and globs for them; they judge urls that no rule fits.
+UNWANTED = ("adult", "bets", "casino", "porn")
+GLOBS = tuple(("block", f"{before}{word}*") for word in UNWANTED for before in ("", "*.", "*-"))
+#: Stands between host and path; no wildcard crosses it, and no UTF-8 text holds it.
+BARRIER = 0xFF
+
 
 @dataclass(frozen=True)
 class Automaton:
@@ -30,14 +36,14 @@ class Automaton:
     final: np.ndarray  # (globs, 2): word and bit of each glob's last state
 
 
-def compile_globs(globs: list[str]) -> Automaton:
-    """Pack ``globs`` (``*`` any bytes, ``?`` one byte) over UTF-8 bytes. A ``*`` takes no state of its own."""
+def compile_globs(globs: list[str | bytes]) -> Automaton:
+    """Pack ``globs`` (``*`` any bytes, ``?`` one byte, neither the barrier) over UTF-8 bytes. A ``*`` takes no state of its own."""
     states: list[tuple[set[int] | None, bool]] = []  # (bytes that enter it, None: any; stays on any byte)
     starts, finals = [], []
     for glob in globs:
         starts.append(len(states))
         states.append((set(), False))
-        for token in glob.encode():
+        for token in glob.encode() if isinstance(glob, str) else glob:
             if token == ord("*"):
                 states[-1] = (states[-1][0], True)
             else:
@@ -48,10 +54,10 @@ def compile_globs(globs: list[str]) -> Automaton:
     start = np.zeros(words, np.uint64)
     for at, (entered, stays) in enumerate(states):
         word, bit = at // 64, np.uint64(1 << (at % 64))
-        for byte in range(256) if entered is None else entered:
+        for byte in set(range(256)) - {BARRIER} if entered is None else entered:
             step[byte, word] |= bit
         if stays:
-            loop[:, word] |= bit
+            loop[:BARRIER, word] |= bit
     for at in starts:
         start[at // 64] |= np.uint64(1 << (at % 64))
     return Automaton(step, loop, start, np.array([(at // 64, at % 64) for at in finals], np.int64).reshape(-1, 2))
@@ -80,33 +86,34 @@ def simulate(auto: Automaton, texts: list[bytes]) -> np.ndarray:
     return hits
 
 
-def rule_globs(rule: str) -> list[str]:
+def glob_of(pattern: str) -> bytes:
+    """A glob over host and path: what is before the first ``/`` is the host's; without a ``/`` every path will do."""
+    host, slash, path = pattern.partition("/")
+    return host.encode() + bytes([BARRIER]) + (slash + path if slash else "*").encode()
+
+
+def rule_globs(rule: str) -> list[bytes]:
     """A rule ``host/path`` fits the host and its subdomains, and every path that begins with its own."""
     if "/" not in rule or any(c in rule for c in "*?"):
         raise ValueError(f"a rule is host/path without wildcards, not {rule!r}")
-    return [f"{rule}*", f"*.{rule}*"]
+    return [glob_of(f"{rule}*"), glob_of(f"*.{rule}*")]
 
 
 def _judge(batches: Iterator[pa.RecordBatch], rules, globs, default: str, block: int) -> Iterator[pa.RecordBatch]:
-    patterns = [g for _, rule in rules for g in rule_globs(rule)] + [g for _, g in globs]
+    patterns = [g for _, rule in rules for g in rule_globs(rule)] + [glob_of(g) for _, g in globs]
     auto = compile_globs(patterns)
     names = np.array([rule for _, rule in rules] + [None], object)
     verdicts = [v for v, _ in rules]
     longest = np.argsort([-len(rule) for _, rule in rules], kind="stable")
+    between = bytes([BARRIER])
     for batch in batches:
         for low in range(0, batch.num_rows, block):
             part = batch.slice(low, block)
-            # The "*." of a subdomain glob may also run into a path: each hit is verified on host and path below.
-            hosts = [(x or "") for x in part.column("host").to_pylist()]
-            paths = [(x or "") for x in part.column("path").to_pylist()]
-            hit = simulate(auto, [(h + p).encode() for h, p in zip(hosts, paths, strict=True)])
-            fits = hit[:, 0 : 2 * len(rules) : 2] | hit[:, 1 : 2 * len(rules) : 2] if rules else np.zeros((len(hosts), 0), bool)
-            rule = np.full(len(hosts), len(rules), np.int64)
+            urls = zip(part.column("host").to_pylist(), part.column("path").to_pylist(), strict=True)
+            hit = simulate(auto, [(h or "").encode() + between + (p or "").encode() for h, p in urls])
+            rule = np.full(len(hit), len(rules), np.int64)
             for k in longest[::-1]:
-                own, slash, path = rules[k][1].partition("/")
-                for i in np.flatnonzero(fits[:, k]):
-                    if (hosts[i] == own or hosts[i].endswith("." + own)) and paths[i].startswith(slash + path):
-                        rule[i] = k
+                rule[hit[:, 2 * k] | hit[:, 2 * k + 1]] = k
             extra = hit[:, 2 * len(rules) :]
             verdict = []
             for i, k in enumerate(rule):
@@ -124,7 +131,7 @@ def _judge(batches: Iterator[pa.RecordBatch], rules, globs, default: str, block:
 def filter_urls(
     pages: DataFrame,
     rules=RULES,
-    globs=(),
+    globs=GLOBS,
     default: str = "allow",
     *,
     key: str = "page_id",
@@ -134,9 +141,10 @@ def filter_urls(
     """Judge every url: the longest of ``rules`` that fits, else the first of ``globs``, else ``default``.
 
     Rules and globs are (verdict, pattern) pairs; their number is a parameter's, not the data's. The
-    canonical url is the host (after the first ``://``, A-Z lower-cased) and the path up to ``?`` or
-    ``#``. Every rule becomes two globs, all globs share one multiword Shift-And automaton, and a block
-    of urls runs through it a byte at a time. Null urls and urls without ``://`` have an empty host and
+    canonical url is the host (after the first ``://``, A-Z lower-cased), a barrier that no wildcard
+    crosses, and the path up to ``?`` or ``#``. Every rule becomes two globs, all globs share one
+    multiword Shift-And automaton, and a block of urls runs through it a byte at a time; what it accepts
+    is the verdict. The globs by default block hosts with an unwanted word at the beginning of a part. Null urls and urls without ``://`` have an empty host and
     path and get the default unless a glob matches the empty text. Of rules of equal length the first
     wins. Repeated rows are each judged; an empty table gives an empty result; other columns are not
     read, so clashing names do no harm.
@@ -176,6 +184,7 @@ WITH parts AS (
   FROM canonical c JOIN split s
     ON (c.host = s.own OR ends_with(c.host, '.' || s.own)) AND starts_with(c.path, s.prefix)
 )
-SELECT c.page_id, c.host, c.path, f.rule, coalesce(f.verdict, 'allow') AS verdict
+SELECT c.page_id, c.host, c.path, f.rule,
+  coalesce(f.verdict, CASE WHEN regexp_matches(c.host, '(^|[.-])(adult|bets|casino|porn)') THEN 'block' ELSE 'allow' END) AS verdict
 FROM canonical c LEFT JOIN fits f ON f.page_id = c.page_id AND f.nth = 1
 """
