@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from heddle.llm.columns import quoted
-from heddle.llm.scratch import materialise
+from heddle.operators.blocks import running_before
+from heddle.sources.shared import materialise
 
 #: Words in a window.
 NGRAM = 10
@@ -159,26 +160,52 @@ def _either(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _pieces(batches: Iterator[pa.RecordBatch], ngram: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Items of over ``most`` bytes as pieces of at most so many, each with whole windows; a longer window is a piece alone."""
+    for batch in batches:
+        names, numbers, texts = [], [], []
+        for name, text in zip(batch.column("name").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            words = split_words(text) if len(text) * 4 > most and len(text.encode("utf-8", "surrogatepass")) > most else []
+            if len(words) <= ngram:
+                names.append(name), numbers.append(0), texts.append(text)
+                continue
+            sizes = np.cumsum([0, *(len(w) + 1 for w in words)])
+            low, part = 0, 0
+            while low <= len(words) - ngram:
+                high = max(int(np.searchsorted(sizes, sizes[low] + most, "right")) - 1, low + ngram)
+                names.append(name), numbers.append(part), texts.append(b" ".join(words[low:high]).decode("utf-8", "surrogatepass"))
+                low, part = high - ngram + 1, part + 1
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(numbers, pa.int32()), pa.array(texts, pa.string())], ["name", "part", "text"])
+
+
+def _in_blocks(items: DataFrame, ngram: int, block_bytes: int) -> DataFrame:
+    """Pieces of the items with the block that each lies in: neighbours whose sizes, summed, fill a block."""
+    cut = items.select("name", "text").mapInArrow(lambda it: _pieces(it, ngram, max(1, block_bytes // 4)), "name string, part int, text string")
+    placed = running_before(cut, F.octet_length("text"), [F.col("name"), F.col("part"), F.xxhash64("text")], "before")
+    return materialise(placed.select("name", "text", F.floor(F.col("before") / block_bytes).alias("block")), "decontaminate-items")
+
+
 def scan_documents(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", keep: list[str], item_key: str = "item_id",
                    item_text: str = "text", ngram: int = NGRAM, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Columns ``keep`` of ``docs``, named k0, k1 and so on, with _text, _hits (bit per word), _items (sorted names) and _n_words.
 
-    The benchmark's text is measured first. Up to ``block_bytes`` it is broadcast as one set; beyond that it is split by a
-    hash of the item's key into as many blocks as its size asks for, and the documents are scanned once a block, in tasks
-    of their own, so a worker holds one block's set at a time. What the blocks hit is joined by row. No size is assumed,
-    none is cut off.
+    The benchmark's text is measured first. Up to ``block_bytes`` it is broadcast as one set; beyond that items are packed
+    into blocks by their measured sizes, an item of over a quarter of a block as pieces that share the windows' ends, so a
+    block holds at most five quarters of ``block_bytes``, or one window that is longer. The documents are scanned once a
+    block, in tasks of their own, so a worker holds one block's set at a time. What the blocks hit is joined by row.
     """
     spark = docs.sparkSession
     items = benchmark.select(F.col(item_key).cast("string").alias("name"), F.col(item_text).alias("text")).where(
         "name is not null and text is not null"
     )
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    blocks = max(1, -(-size // block_bytes))
+    packed = _in_blocks(items, ngram, block_bytes) if size > block_bytes else None
+    blocks = 1 if packed is None else packed.agg(F.max("block")).first()[0] + 1
     named = docs.select(*[quoted(c).alias(f"k{i}") for i, c in enumerate(keep)], quoted(text).alias("_text"))
 
     def scanned(rows: DataFrame, block: int) -> DataFrame:
-        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("name"), F.lit(blocks)) == block)
-        found = [(r["name"], r["text"]) for r in part.collect()]  # about block_bytes, measured above
+        part = items if packed is None else packed.where(F.col("block") == block)
+        found = [(r["name"], r["text"]) for r in part.select("name", "text").collect()]  # bounded by block_bytes, see above
         shared = spark.sparkContext.broadcast(GramSet(found, ngram))
         schema = T.StructType([*rows.schema, *_FOUND])
         return rows.mapInArrow(lambda it: _scan(it, shared), schema)

@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from heddle.llm.columns import quoted
 from heddle.llm.graph import Forest, connected_components, runs
-from heddle.llm.scratch import materialise, passing
+from heddle.sources.shared import materialise, passing
 from heddle.llm.simhash import chains
 
 #: Words in a shingle, seed of its hash, and the least similarity that links, as a fraction.

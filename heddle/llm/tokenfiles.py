@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from heddle.llm.bpe import slices
-from heddle.llm.scratch import new_path
+from heddle.sources.shared import new_path
 
 #: Words that a worker's cache may hold (about 200 bytes each), and the longest of them in bytes.
 CACHE_WORDS, CACHE_BYTES = 240_000, 48

@@ -6,7 +6,8 @@ import pytest
 
 import __spark_entry__ as entry
 import corpus_pipeline as p
-from heddle.llm import quality, scratch
+from heddle.llm import quality
+from heddle.sources import shared
 from tests.llm import brute
 
 SF = "/root/testdata/sf0.001"
@@ -17,7 +18,7 @@ def stages(spark):
     docs, out = spark.read.parquet(f"{SF}/documents.parquet"), []
     for name, stage in p.STAGES:
         before = docs
-        docs = scratch.materialise(stage(spark, docs, SF), "test-stage")
+        docs = shared.materialise(stage(spark, docs, SF), "test-stage")
         out.append((name, before, docs))
     return out
 
@@ -54,7 +55,7 @@ def test_each_stage_takes_effect(spark, stages):
 def test_run_and_registration(spark, stages):
     assert {r["doc_id"] for r in p.run(spark, SF).select("doc_id").collect()} == {r["doc_id"] for r in stages[-1][2].collect()}
     names = entry.queries()
-    assert "pipeline" in names and sum(n.startswith("op") and n[2].isdigit() for n in names) == 10
+    assert "pipeline" in names and sum(n.startswith("op") and n[2].isdigit() for n in names) == 13
 
 
 def test_stages_on_nulls_repeats_and_nothing(spark):
