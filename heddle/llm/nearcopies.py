@@ -38,6 +38,8 @@ TIGHT = 40
 BANDS, ROWS = 32, 4
 #: Sets of one bucket that are searched in one go; larger buckets are split.
 BLOCK = 4096
+#: Bytes of shingle hashes that are compared in one go, or twice as many; buckets of more are split again.
+BLOCK_BYTES = 64 << 20
 
 _random = np.random.default_rng(SEED)
 _FLIPS = _random.integers(0, 1 << 64, BANDS * ROWS, np.uint64)
@@ -220,7 +222,7 @@ def _shared(bands: DataFrame, same: str | None = None) -> DataFrame:
     return sizes.where("_meet").groupBy("_n", "_same").agg(F.min("_key").alias("_key")).select("_key", "_n")
 
 
-def links(docs: DataFrame, sketches: DataFrame, *, text: str, block: int) -> DataFrame:
+def links(docs: DataFrame, sketches: DataFrame, *, text: str, block: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(node, root) of the shingle sets (_set) of ``sketches`` (one row each) that are linked to others."""
     bands = sketches.select("_set", F.explode("_keys").alias("_key"))
     wide = sketches.select("_set", *_WIDE)
@@ -252,14 +254,22 @@ def links(docs: DataFrame, sketches: DataFrame, *, text: str, block: int) -> Dat
     again = again.repartition("_key", "_part").sortWithinPartitions("_key", "_part").select("_key", "_part", "_set", "_group", *_WIDE)
     flagged = materialise(again.mapInArrow(_apart, "_key long, _part long, _set long, _group long"), "near-apart")
     asked = sets_of(flagged.select("_set"), "near-asked")
-    last = flagged.join(asked, "_set").repartition("_key", "_part").sortWithinPartitions("_key", "_part")
+    # Long texts have large sets: a bucket of many bytes is dealt into shares, and every two shares meet, as blocks do above.
+    sizes = asked.select("_set", F.octet_length("_hashes").alias("_bytes"))
+    shares = F.ceil(F.sum("_bytes") / block_bytes).alias("_m")
+    loads = flagged.join(sizes, "_set").groupBy("_key", "_part").agg(shares)
+    share = F.pmod(F.xxhash64("_set", F.lit(1)), F.col("_m"))
+    two = F.transform(F.sequence(F.lit(0).cast("long"), F.col("_m") - 1), lambda b: F.least(share, b) * F.col("_m") + F.greatest(share, b))
+    split = flagged.join(loads, ["_key", "_part"]).select("_key", "_part", "_set", "_group", F.explode(two).alias("_two"))
+    named_part = (F.col("_part") * (1 << 24) + F.col("_two")).alias("_part")
+    last = split.select("_key", named_part, "_set", "_group").join(asked, "_set").repartition("_key", "_part").sortWithinPartitions("_key", "_part")
     joined = connected_components(last.select("_key", "_part", "_group", "_hashes").mapInArrow(_join, "a long, b long"))
     labels = sketches.select(F.col("_set").alias("node")).join(groups, "node", "left").select("node", F.coalesce("root", "node").alias("_group"))
     final = labels.join(joined.select(F.col("node").alias("_group"), F.col("root").alias("_root")), "_group", "left")
     return final.select("node", F.coalesce("_root", "_group").alias("root"))
 
 
-def keep_one(docs: DataFrame, *, key: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
+def keep_one(docs: DataFrame, *, key: str = "doc_id", text: str = "text", block: int = BLOCK, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``docs`` with exactly one row of each group of near copies: the one with the smallest key.
 
     Texts link when their sets of SHINGLE-word shingles have a Jaccard similarity of SIMILARITY or more; a group is
@@ -279,7 +289,7 @@ def keep_one(docs: DataFrame, *, key: str = "doc_id", text: str = "text", block:
         order = F.struct(F.col("_k").isNull().alias("_null"), "_k", "_tag")
         firsts = materialise(prints.groupBy("_set").agg(F.min(order).alias("_at")), "near-firsts")
         sketches = materialise(prints.join(firsts.select(F.col("_at._tag").alias("_tag")), "_tag", "left_semi").drop("_k"), "near-sketches")
-        rooted = firsts.join(links(tagged, sketches, text=text, block=block), F.col("_set") == F.col("node"))
+        rooted = firsts.join(links(tagged, sketches, text=text, block=block, block_bytes=block_bytes), F.col("_set") == F.col("node"))
         kept = rooted.groupBy("root").agg(F.min("_at")["_tag"].alias("_tag")).select("_tag")
         kept = materialise(kept, "near-kept", lasting=True)
     return tagged.join(kept, "_tag", "left_semi").select(*[quoted(c) for c in docs.columns])
