@@ -34,8 +34,8 @@ UNIT = 1024
 BINS = 16
 #: Groups up to which their estimates are broadcast (about 2 KB each); more are joined by exchange.
 BROADCAST_GROUPS = 10_000
-#: Files of the small tables.
-FEW = 4
+#: Files of the small tables at least, and groups of a file.
+FEW, GROUPS_A_TASK = 4, 20_000
 #: Repeated windows up to which they are looked up one by one; more are found by sorting. Results are the same.
 LOOKUPS = 32
 
@@ -180,9 +180,15 @@ def _distance() -> str:
     return " + ".join(f"{p} * {p}" for p in parts)
 
 
+def _parts(n_groups: int) -> int:
+    """Partitions of a table of one row, or a few, a group."""
+    return max(FEW, -(-n_groups // GROUPS_A_TASK))
+
+
 def _groups(passed: DataFrame) -> DataFrame:
     """(g1, g2, feeds): the estimates that a language and source feeds: its own, its language's, the whole table's."""
-    named = passed.select("g1", "g2").distinct().coalesce(FEW).withColumn("id", F.monotonically_increasing_id())
+    about = passed.agg(F.approx_count_distinct(F.struct("g1", "g2"))).first()[0]  # sizes the partitions only
+    named = passed.select("g1", "g2").distinct().coalesce(_parts(about)).withColumn("id", F.monotonically_increasing_id())
     first = F.min("id").over(Window.partitionBy("g1"))
     own = materialise(named, "quality-groups")
     return own.select("g1", "g2", F.array(F.col("id") * 2, first * 2 + 1, F.lit(-1).cast("long")).alias("feeds"))
@@ -228,7 +234,7 @@ def _starts(rows: DataFrame, groups: DataFrame, n_groups: int) -> DataFrame:
     Start 0 has no correlation, start 1 that of the spatial signs, start 2 that of the hyperbolic tangents; each bounds
     what a far row can do. Products are summed as integers, so sums do not depend on their order.
     """
-    medians = materialise(_medians(rows, groups, n_groups).coalesce(FEW), "quality-medians")
+    medians = materialise(_medians(rows, groups, n_groups).coalesce(_parts(n_groups)), "quality-medians")
     scaled = _under(rows, groups, medians, n_groups).selectExpr("gid", *[f"(x{k} - m{k}) / s{k} as z{k}" for k in _DIM])
     norm = "sqrt(greatest({}, 1e-12D)) as r".format(" + ".join(f"z{k} * z{k}" for k in _DIM))
     bent = scaled.selectExpr("*", norm).selectExpr("gid", *[f"z{k} / r as u{k}" for k in _DIM], *[f"tanh(z{k}) as t{k}" for k in _DIM])
@@ -280,7 +286,7 @@ def _concentrate(rows: DataFrame, groups: DataFrame, estimates: DataFrame, n_gro
         .withColumn("before", F.sum("c").over(w.orderBy("bin")) - F.col("c"))
         .where(F.col("before") < F.ceil(F.col("n") * SUPPORT))
     )
-    return _factored(_moments(near, ["gid", "start"], consistency(SUPPORT))).coalesce(FEW)
+    return _factored(_moments(near, ["gid", "start"], consistency(SUPPORT))).coalesce(_parts(n_groups))
 
 
 def _reweighted(rows: DataFrame, groups: DataFrame, estimates: DataFrame, n_groups: int) -> DataFrame:
@@ -289,13 +295,13 @@ def _reweighted(rows: DataFrame, groups: DataFrame, estimates: DataFrame, n_grou
     inside = f"{_distance()} <= {chi2_quantile(INSIDE, len(_NAMES))}D as _in"
     sums = placed.groupBy("gid", F.expr(inside)).agg(*_sums())
     all_rows = sums.withColumn("n", F.sum("c").over(Window.partitionBy("gid"))).where("_in")
-    return _moments(all_rows, ["gid"], consistency(INSIDE)).coalesce(FEW)
+    return _moments(all_rows, ["gid"], consistency(INSIDE)).coalesce(_parts(n_groups))
 
 
-def _smallest(estimates: DataFrame) -> DataFrame:
+def _smallest(estimates: DataFrame, n_groups: int) -> DataFrame:
     """Of each group's estimates that with the smallest determinant."""
     least = F.min_by(F.struct(*estimates.columns), F.struct("ld", "start")).alias("_b")
-    return estimates.groupBy("gid").agg(least).select("_b.*").coalesce(FEW)
+    return estimates.groupBy("gid").agg(least).select("_b.*").coalesce(_parts(n_groups))
 
 
 def mcd(rows: DataFrame, groups: DataFrame, n_groups: int) -> DataFrame:
@@ -308,14 +314,14 @@ def mcd(rows: DataFrame, groups: DataFrame, n_groups: int) -> DataFrame:
     estimates = _starts(rows, groups, n_groups)
     for _ in range(START_STEPS):
         estimates = materialise(_concentrate(rows, groups, estimates, n_groups), "quality-estimates")
-    best = materialise(_smallest(estimates), "quality-estimates")
+    best = materialise(_smallest(estimates, n_groups), "quality-estimates")
     for _ in range(STEPS):
         further = materialise(_concentrate(rows, groups, best, n_groups), "quality-estimates")
         gain = further.select("gid", "ld").join(best.select("gid", F.col("ld").alias("_was")), "gid")
         gained = gain.agg(F.max(F.col("_was") - F.col("ld"))).first()[0]  # one number
         if gained is None or gained <= TOLERANCE:
             break
-        best = materialise(_smallest(best.unionByName(further)), "quality-estimates")
+        best = materialise(_smallest(best.unionByName(further), n_groups), "quality-estimates")
     return best
 
 
@@ -366,7 +372,7 @@ def judge(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str
     n_groups = groups.count()
     found = mcd(passed, groups, n_groups)
     final = materialise(_reweighted(passed, groups, found, n_groups), "quality-estimates")
-    judges = materialise(_own(groups, final).coalesce(FEW), "quality-judges")
+    judges = materialise(_own(groups, final).coalesce(_parts(n_groups)), "quality-judges")
     cut = chi2_quantile(1 - TAIL, len(_NAMES))
     outlier = F.expr(f"coalesce({_distance()} > {cut}D, false)")
     judged = _with(table, judges, n_groups, "left")
