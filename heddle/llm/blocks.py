@@ -130,18 +130,18 @@ def blocks_of(page: str) -> list[Block]:
 MAIN, REST = "", ""
 
 _KINDS = {
-    "menu": (["nav", "div.menu", "ul.nav", "div.navbar", "div#navigation", "nav.main-menu", "div.breadcrumbs", "ul.topnav"], "home about contact login news more help"),
-    "header": (["header", "div.header", "div#header", "div.masthead", "div.site-header", "header.top", "div.top-bar"], "welcome menu skip to content search site"),
-    "footer": (["footer", "div.footer", "div#footer", "div.site-footer", "footer.page-footer", "div.copyright", "div.legal"], "© copyright all rights reserved privacy terms imprint"),
-    "sidebar": (["aside", "div.sidebar", "div#sidebar", "aside.widget", "div.related", "div.widget", "section.recommended", "div.trending"], "related popular latest read more trending"),
+    "menu": (["nav", "div.menu", "ul.nav", "div.navbar", "div#navigation", "nav.main-menu", "div.breadcrumbs", "ul.topnav", "td.menu", "td.nav", "div.links"], "home about contact login news more help"),
+    "header": (["header", "div.header", "div#header", "div.masthead", "div.site-header", "header.top", "div.top-bar", "td.header", "td.banner"], "welcome menu skip to content search site"),
+    "footer": (["footer", "div.footer", "div#footer", "div.site-footer", "footer.page-footer", "div.copyright", "div.legal", "td.footer", "td.bottom", "div.credits"], "© copyright all rights reserved privacy terms imprint"),
+    "sidebar": (["aside", "div.sidebar", "div#sidebar", "aside.widget", "div.related", "div.widget", "section.recommended", "div.trending", "td.left", "td.sidebar", "div.right-column"], "related popular latest read more trending"),
     "notice": (["div.cookie-notice", "div.notice", "div.banner", "div.consent", "div#cookie-bar", "div.alert", "section.gdpr", "div.popup", "div.notification"], "cookies accept privacy policy we use agree consent"),
-    "advert": (["div.ad", "div.ads", "div.advert", "div.sponsored", "aside.ad", "div.promo", "div#ad-top", "section.advertisement", "div.ad-slot"], "sponsored advertisement buy now offer"),
+    "advert": (["div.ad", "div.ads", "div.advert", "div.sponsored", "aside.ad", "div.promo", "div#ad-top", "section.advertisement", "div.ad-slot", "div.ad-container", "div.adv", "div.adbox", "ins.ads"], "sponsored advertisement buy now offer"),
     "form": (["form", "form.search", "form#login", "form.newsletter", "div.subscribe", "form.signup"], "email subscribe password name submit search send"),
     "comments": (["section.comments", "div#comments", "div.comment-list", "section#responses", "div.discussion", "ol.comments"], "reply says posted ago likes report"),
     "share": (["div.share", "div.social", "ul.share-buttons", "div.tags", "div.author-box"], "share tweet follow like print"),
 }
-_MAINS = ["article", "main", "div.content", "div.post", "div.entry-content", "div.article-body", "section.story", "div#main", "div", "section", "article.post", "div.text"]
-_WRAPS = ["div", "div.wrapper", "div.container", "div#page", "div.row", "div.col", "section", "div.inner", "main", "div.layout"]
+_MAINS = ["article", "main", "div.content", "div.post", "div.entry-content", "div.article-body", "section.story", "div#main", "div", "section", "article.post", "div.text", "td.content", "td", "div.prose"]
+_WRAPS = ["div", "div.wrapper", "div.container", "div#page", "div.row", "div.col", "section", "div.inner", "main", "div.layout", "table", "tr"]
 
 
 class Pages:
@@ -176,7 +176,9 @@ class Pages:
         line = lambda: f"{REST}{self.words(r.randint(1, 14), hints)}{r.choice(['.', ''])}"
         prose = lambda: REST + self.sentences(1, 3)
         if kind in ("menu", "share"):
-            inner = "<ul>" + "".join(f"<li>{link(r.randint(1, 3))}</li>" for _ in range(r.randint(2, 8))) + "</ul>"
+            links = [link(r.randint(1, 3)) for _ in range(r.randint(2, 8))]
+            gap = r.choice(["", " ", "<br>", " | "])
+            inner = "<ul>" + "".join(f"<li>{x}</li>" for x in links) + "</ul>" if r.random() < 0.7 else gap.join(links)
         elif kind == "sidebar":
             inner = f"<h3>{line()}</h3>" + "".join(r.choice([f"<li>{link(4)}</li>", f"<p>{prose()}</p>", f"<p>{line()}</p>"]) for _ in range(r.randint(1, 6)))
         elif kind == "form":
@@ -189,13 +191,14 @@ class Pages:
         elif kind == "header":
             inner = r.choice([f"<h1>{line()}</h1>", f"<div>{line()}</div>", f"<p>{line()}</p>"]) + (self.rest("menu") if r.random() < 0.4 else "")
         else:
-            inner = r.choice([line(), prose(), f"{REST}© {self.words(1)}. {self.sentences(1, 2)}", f"<p>{prose()}</p>", f"<p>{line()}</p><button>{line()}</button>", f"<p>{link(3)} {self.words(4)}</p>"])
+            inner = r.choice([line(), prose(), f"{REST}© {self.words(1)}. {self.sentences(1, 2)}", f"<p>{prose()}</p>", f"<p>{line()}</p><button>{line()}</button>", f"<p>{link(3)} {self.words(4)}</p>", link(r.randint(2, 9)), f"{REST}{self.words(1)}: {self.words(2)}.example. {self.sentences(1, 1)}"])
         return self.tag(r.choice(specs), inner)
 
     def main(self) -> str:
         r, parts = self.r, []
         if r.random() < 0.85:
-            parts.append(f"<h1>{MAIN}{self.words(r.randint(2, 12))}{r.choice(['', '.'])}</h1>")
+            headline = f"<h1>{MAIN}{self.words(r.randint(2, 12))}{r.choice(['', '.'])}</h1>"
+            parts.append(self.tag(r.choice(["header", "div", "header.entry-header", "div.title"]), headline) if r.random() < 0.25 else headline)
         length = r.randint(1, 10) if r.random() < 0.85 else r.randint(20, 120)
         plain = r.random() < 0.5 and length > 10
         for _ in range(length):
@@ -207,7 +210,8 @@ class Pages:
             elif roll < 0.78:
                 parts.append(f"<h2>{MAIN}{self.words(r.randint(1, 8))}</h2>")
             elif roll < 0.85:
-                parts.append("<ul>" + "".join(f"<li>{MAIN}{self.words(r.randint(2, 15))}</li>" for _ in range(r.randint(2, 5))) + "</ul>")
+                kind, most = r.choice(["ul", "ol"]), r.choice([4, 8, 15, 25])
+                parts.append(f"<{kind}>" + "".join(f"<li>{MAIN}{self.words(r.randint(1, most))}{r.choice(['', '', '.'])}</li>" for _ in range(r.randint(2, 9))) + f"</{kind}>")
             elif roll < 0.89:
                 parts.append(f"<blockquote><p>{MAIN}{self.sentences(1, 3)}</p></blockquote>")
             elif roll < 0.92:
