@@ -11,13 +11,13 @@ from heddle.sources import files
 
 
 def filter_all(spark: SparkSession, raw: str, out: str, *, min_score: float = 0.0, max_records: int | None = None, seen: DataFrame | None = None,
-               languages: tuple[str, ...] = q.LANGUAGES, licenses: tuple[str, ...] = q.LICENSES) -> DataFrame:
+               languages: tuple[str, ...] = q.LANGUAGES, licenses: tuple[str, ...] = q.LICENSES, glob: str = "*.jsonl") -> DataFrame:
     """Filter every JSON-lines file under ``raw`` with one dedup over all of them; the files' order is their names'.
 
     Writes the accepted documents (with their hash) to ``out`` and returns the counters, which are observed in the
     write itself: the files are read, scored and deduplicated once. Hashes of earlier outputs may be given as ``seen``.
     """
-    docs = filtering.limit_per_file(files.read_jsonl(spark, raw), "file", ["line_no"], max_records)
+    docs = filtering.limit_per_file(files.read_jsonl(spark, raw, glob=glob), "file", ["line_no"], max_records)
     flagged = filtering.with_reasons(
         docs, ["file", "line_no"], min_score=min_score, malformed="malformed", seen=seen, languages=languages, licenses=licenses
     )

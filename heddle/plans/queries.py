@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from heddle.functions import curriculum, parsers, prompts, vectors, verify
 from heddle.functions import quality as q
 from heddle.functions.text import WHITE_SPACE
-from heddle.operators import cluster, embedding, estimates, filtering, memory, mixing, packing, probes, search, seen, segments, synth
+from heddle.operators import cluster, embedding, estimates, filtering, memory, mixing, packing, probes, search, seen, segments, synth, tokenizer
 from heddle.operators.blocks import running_before
+from heddle.plans import pipeline
 from heddle.plans.snippets import CALLS, CODE, EDITS, TAGGED
 from heddle.sources import files, shared, tokenbin
 from heddle.streaming.incremental import windowed_counts
@@ -153,6 +154,16 @@ def filter_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filtering.filter_stats(_flagged(spark, sf_dir))
 
 
+@query(_FLAGGED + """SELECT count(*) AS total, count(*) FILTER (WHERE reason = 'lang') AS lang_filtered, count(*) FILTER (WHERE reason = 'license') AS license_filtered,
+  count(*) FILTER (WHERE reason = 'quality') AS quality_filtered, count(*) FILTER (WHERE reason = 'score') AS score_filtered,
+  count(*) FILTER (WHERE reason = 'dedup') AS dedup_filtered, count(*) FILTER (WHERE reason = 'accepted') AS accepted FROM flagged""")
+def filter_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as JSON lines through the filter step, which writes what it accepts and counts in the same pass."""
+    raw = shared.new_path(spark, "raw")
+    files.write_jsonl(_licensed(spark, sf_dir).drop("doc_id"), raw)
+    return pipeline.filter_all(spark, raw, shared.new_path(spark, "filtered"), min_score=0.6, languages=LANGUAGES, glob="*.json")
+
+
 @query(_FLAGGED + "SELECT doc_id, lang, license, path, reason, score AS quality_score FROM flagged WHERE reason = 'accepted'")
 def accepted_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = _flagged(spark, sf_dir).where("reason = 'accepted'")
@@ -500,6 +511,16 @@ def render_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouped.select("conv_id", F.array_join(F.transform("c", lambda x: x["m"]), "\n").alias("chat"), "turns")
 
 
+@query(f"""SELECT conv_id, turn, CASE WHEN {_any("contains(lower(text), {})", prompts.COMPLEX_MARKS)} OR length(trim(text, {_WS})) > 250
+  OR length(text) - length(replace(text, chr(10), '')) >= 4 THEN 768 ELSE 256 END AS auto, 512 AS fixed FROM conversations""")
+def active_dims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The model's slice for every turn: routed between the smallest and the largest, or as given."""
+    turns = _table(spark, sf_dir, "conversations")
+    return turns.select(
+        "conv_id", "turn", prompts.resolve_active_dim("text", [512, 256, 768]).alias("auto"), prompts.resolve_active_dim("text", [512, 256, 768], 512).alias("fixed")
+    )
+
+
 _TOKENS = list(enumerate(["hello", " x ", "", "  ", ".", "(", "\\", "ab.", "\t", "é", "`"]))
 
 
@@ -742,6 +763,33 @@ def raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.read_raw_lines(spark, [path, path + "-missing"]).groupBy("line").agg(F.count("*").alias("n"))
 
 
+@query("SELECT doc_id FROM documents")
+def written_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents' numbers, written unless they are there; a second write of something else changes nothing."""
+    path, ids = shared.new_path(spark, "once"), _table(spark, sf_dir, "documents").select("doc_id")
+    if not files.write_once(ids, path) or files.write_once(ids.limit(0), path):
+        raise RuntimeError("an output was not written once")
+    return spark.read.parquet(path)
+
+
+@query(_rule_sql(_RULES))
+def stored_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ranked trials of the grid, saved and loaded."""
+    path = shared.new_path(spark, "trials")
+    search.save(grid_search(spark, sf_dir), path)
+    return search.load(spark, path)
+
+
+@query("SELECT doc_id, true AS same FROM documents")
+def encoded_and_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text through a public byte-level vocabulary and back."""
+    from public_tokenizers import path
+
+    file = path("byte_bpe_50k.json")
+    ids = _table(spark, sf_dir, "documents").select("doc_id", "text", tokenizer.encode("text", file).alias("ids"))
+    return ids.select("doc_id", (tokenizer.decode("ids", file, skip_special=False) == F.col("text")).alias("same"))
+
+
 _LENGTHS = "list_transform(string_split(text, ' '), lambda x: length(x))"
 
 

@@ -69,12 +69,16 @@ def test_token_budget():
     assert estimates.token_budget(10, 31.0, 1, 1, 1, 5)["regime"] == "overtraining"
 
 
-@pytest.mark.parametrize("kind", ["string", "timestamp", "int", "double"])
-def test_running_sums_of_any_order(spark, kind):
+@pytest.mark.parametrize("kind", ["string", "timestamp", "int", "double", "binary", "boolean", "decimal(9,2)", "date"])
+@pytest.mark.parametrize("rows_a_block", [20_000, 30])
+def test_running_sums_of_any_order(spark, monkeypatch, kind, rows_a_block):
+    monkeypatch.setattr(blocks, "BLOCK_ROWS", rows_a_block)
     r = random.Random(3)
     rows = [(r.choice([None, *range(40)]), k, r.randint(0, 5)) for k in range(900)]
-    df = spark.createDataFrame(rows, "a int, k int, n int").withColumn("a", F.col("a").cast("long").cast(kind)).repartition(5)
-    got = blocks.running_before(df, F.col("n"), [F.col("a"), F.col("k")], "before").orderBy("a", "k").collect()
+    df = spark.createDataFrame(rows, "a int, k int, n int")
+    made = F.date_add(F.lit("2020-01-01").cast("date"), F.col("a")) if kind == "date" else F.concat(F.lit("it's \\ "), F.col("a")) if kind == "string" else F.col("a").cast("long").cast("string").cast(kind) if kind == "binary" else F.col("a").cast("long").cast(kind)
+    df = df.withColumn("a", made).repartition(5)
+    got = blocks.running_before(df, F.col("n"), [F.col("a"), F.struct(F.col("k").alias("x"))], "before").orderBy("a", "k").collect()
     total = 0
     for row in got:
         assert row["before"] == total

@@ -78,7 +78,8 @@ def test_appended_memory(spark, tmp_path):
     assert (again.generation, again.first) == (1, 60) and segments.load(spark, path, 1000).count() == 40 + parts[0].count()
 
 
-def test_blocks_of_an_order(spark):
+def test_blocks_of_an_order(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "BLOCK_ROWS", 20)  # 150 blocks
     r = np.random.default_rng(1)
     rows = [(k, None if x < 0 else float(x), int(n)) for k, (x, n) in enumerate(zip(r.integers(-2, 9, 3000), r.integers(0, 5, 3000), strict=True))]
     calls = spark.sparkContext.accumulator(0)
