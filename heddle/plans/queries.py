@@ -414,7 +414,25 @@ def apply_edit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", parsers.apply_edit("source", "a", "b").alias("x")).select("id", "x.*")
 
 
-@query()
+def _applied_sql(n: int) -> str:
+    """Step ``n`` of applying edits: t{n} from t{n - 1}, the count of the search text, the error or the new text."""
+    f, r, t = f"f{n}", f"r{n}", f"t{n - 1}"
+    lost = "'Search block not found in source text.' || chr(10) || 'Search block:' || chr(10) || " + f
+    many = f"'Search block matched ' || k || ' locations in source text. Must match uniquely to avoid ambiguous edits.' || chr(10) || 'Search block:' || chr(10) || {f}"
+    return f"""c{n} AS (SELECT *, CASE WHEN {f} = '' THEN -1 ELSE (length({t}) - length(replace({t}, {f}, ''))) // length({f}) END AS k FROM {'u' if n == 1 else f's{n - 1}'}),
+s{n} AS (SELECT * EXCLUDE (k, error), CASE WHEN error IS NULL AND n >= {n} AND k = 1 THEN replace({t}, {f}, {r}) ELSE {t} END AS t{n},
+  CASE WHEN error IS NOT NULL OR n < {n} OR k = 1 THEN error WHEN k = -1 THEN 'Search block is empty.' WHEN k = 0 THEN {lost} ELSE {many} END AS error FROM c{n})"""
+
+
+_CRLF = "chr(13) || chr(10), chr(10)"
+
+
+@query(f"""WITH e AS (SELECT doc_id AS id, text AS source, {_AS_EDIT} AS text FROM documents UNION ALL SELECT -1 - id, source, text FROM {_values(EDITS, 'id, source, text')}),
+m AS (SELECT id, source, regexp_extract_all(text, {_text(_EDIT_RE)}, 2, 's') AS s, regexp_extract_all(text, {_text(_EDIT_RE)}, 3, 's') AS r FROM e),
+u AS (SELECT id, replace(source, {_CRLF}) AS t0, len(s) AS n, replace(coalesce(s[1], ''), {_CRLF}) AS f1, replace(coalesce(r[1], ''), {_CRLF}) AS r1, replace(coalesce(s[2], ''), {_CRLF}) AS f2, replace(coalesce(r[2], ''), {_CRLF}) AS r2,
+  CASE WHEN len(s) = 0 THEN 'No valid <search>...<replace>...<diff_end> blocks found in diff text.' END AS error FROM m),
+{_applied_sql(1)}, {_applied_sql(2)}
+SELECT id, error IS NULL AS ok, CASE WHEN error IS NULL THEN t2 END AS result, error FROM s2""")
 def apply_edit_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _edits(spark, sf_dir).select("id", parsers.apply_edits("source", "text").alias("x")).select("id", "x.*")
 
@@ -737,6 +755,36 @@ def probe_regress(spark: SparkSession, sf_dir: str) -> DataFrame:
     return estimates.pearson(probes.RegressionProbe().fit(rows, "embedding", "y").predict(rows, "embedding"), "predicted", "y")
 
 
+@query("SELECT 8 AS clusters, count(*) AS n, true AS improves FROM embeddings")
+def kmeans_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters, rows, and whether the fit lies nearer to the rows than one centroid does."""
+    rows = _embeddings(spark, sf_dir)
+    centroids, value = cluster.fit(rows, "embedding", "vec_id")
+    one = cluster.centroid_means(rows.withColumn("_all", F.lit(0)), "embedding", "_all").first()["centroid"]
+    around_one = cluster.inertia(rows, "embedding", [one]).first()[0]
+    out = cluster.assign(rows, "embedding", centroids).agg(F.count_distinct("cluster").cast("int").alias("clusters"), F.count("*").alias("n"))
+    return out.withColumn("improves", F.lit(value < around_one))
+
+
+@query("""SELECT 'linear' AS probe, count(*) AS n, true AS learned FROM embeddings UNION ALL SELECT 'hidden', count(*), true FROM embeddings
+  UNION ALL SELECT 'mse', count(*), true FROM embeddings UNION ALL SELECT 'huber', count(*), true FROM embeddings""")
+def probe_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probes with and without a hidden layer on all vectors: whether they beat the most frequent label, and follow a target that bends."""
+    rows = _embeddings(spark, sf_dir).withColumn("name", F.concat(F.lit("l"), F.col("label").cast("string")))
+    bent = F.greatest(F.col("embedding")[0].cast("double"), F.lit(0.0)) * 3 + F.col("embedding")[1].cast("double")
+    rows = rows.withColumn("y", bent)
+    names = [f"l{k}" for k in range(10)]
+    most = rows.groupBy("name").agg(F.count("*").alias("n")).agg(F.max("n") / F.sum("n")).first()[0]
+    found = []
+    for kind, hidden in (("linear", None), ("hidden", 64)):
+        probe = probes.ClassificationProbe(names, hidden, rate=0.01).fit(rows, "embedding", "name")
+        found.append(probe.predict(rows, "embedding").agg(F.count("*").alias("n"), (F.avg((F.col("predicted") == F.col("name")).cast("int")) > 1.5 * most).alias("learned")).withColumn("probe", F.lit(kind)))
+    for loss in ("mse", "huber"):
+        probe = probes.RegressionProbe("custom", loss, hidden=64, rate=0.01, epochs=40).fit(rows, "embedding", "y")
+        found.append(probe.predict(rows, "embedding").agg(F.count("*").alias("n"), (F.corr("predicted", "y") > 0.9).alias("learned")).withColumn("probe", F.lit(loss)))
+    return mixing.union_all(found).select("probe", "n", "learned")
+
+
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts, TIMESTAMP '1970-01-01') AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windowed_counts(_table(spark, sf_dir, "events"), "ts", "event_type")
