@@ -11,7 +11,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -47,10 +47,7 @@ def passing() -> Iterator[None]:
     try:
         yield
     finally:
-        gone = set(_passing.pop())
-        for spark, path in [w for w in _written if w[1] in gone]:
-            _delete(spark, path)
-            _written.remove((spark, path))
+        drop(_passing.pop())
 
 
 def materialise(df: DataFrame, label: str, lasting: bool = False) -> DataFrame:
@@ -68,6 +65,19 @@ def _delete(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def written() -> list[str]:
+    """Folders of the tables that are still there."""
+    return [path for _, path in _written]
+
+
+def drop(paths: Iterable[str]) -> None:
+    """Delete written tables that nothing reads any more."""
+    gone = set(paths)
+    for spark, path in [w for w in _written if w[1] in gone]:
+        _delete(spark, path)
+        _written.remove((spark, path))
+
+
 def clear() -> None:
     """Delete every table written so far."""
     while _written:
