@@ -40,6 +40,8 @@ BANDS, ROWS = 32, 4
 BLOCK = 4096
 #: Bytes of shingle hashes that are compared in one go, or twice as many; buckets of more are split again.
 BLOCK_BYTES = 64 << 20
+#: Bits of the filter that wanted rows are found with.
+FILTER_BITS = 1 << 26
 
 _random = np.random.default_rng(SEED)
 _FLIPS = _random.integers(0, 1 << 64, BANDS * ROWS, np.uint64)
@@ -222,6 +224,27 @@ def _shared(bands: DataFrame, same: str | None = None) -> DataFrame:
     return sizes.where("_meet").groupBy("_n", "_same").agg(F.min("_key").alias("_key")).select("_key", "_n")
 
 
+def _possible(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``rows`` without most of those whose tag is not wanted, before they cross the network.
+
+    A bitmap of FILTER_BITS hashed tags, 8 MB in all, is broadcast; it lets every wanted row through, and of the others the share
+    of its bits that are set. With many more wanted rows than bits it lets all through, and only the saving is lost.
+    """
+    place = F.pmod(F.xxhash64("_tag"), F.lit(FILTER_BITS))
+    bits = wanted.select(place.alias("_at")).groupBy(F.bitmap_bucket_number("_at").alias("_bitmap")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_at")).alias("_bits"))
+    placed = rows.withColumn("_at", place).withColumns({"_bitmap": F.bitmap_bucket_number("_at"), "_bit": F.bitmap_bit_position("_at")})
+    byte = F.conv(F.hex(F.substring("_bits", (F.floor(F.col("_bit") / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    on = F.getbit(byte, (F.col("_bit") % 8).cast("int")) == 1
+    return placed.join(F.broadcast(bits), "_bitmap").where(on).select(*rows.columns)
+
+
+def _once(flagged: DataFrame) -> DataFrame:
+    """Rows (_key, _part, _set, _group) of one bucket of those that hold the same sets: pairs mostly meet in several bands."""
+    sizes = flagged.groupBy("_key", "_part").agg(F.count("*").alias("_n"), F.bit_xor(F.xxhash64("_set")).alias("_same"))
+    one = sizes.groupBy("_n", "_same").agg(F.min(F.struct("_key", "_part")).alias("_b")).select("_b._key", "_b._part")
+    return flagged.join(one, ["_key", "_part"], "left_semi")
+
+
 def links(docs: DataFrame, sketches: DataFrame, *, text: str, block: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(node, root) of the shingle sets (_set) of ``sketches`` (one row each) that are linked to others."""
     bands = sketches.select("_set", F.explode("_keys").alias("_key"))
@@ -233,9 +256,9 @@ def links(docs: DataFrame, sketches: DataFrame, *, text: str, block: int, block_
     led = materialise(dealt.select("_key", "_part", "_set", *_WIDE).mapInArrow(_follow, "a long, b long").distinct(), "near-led")
 
     def sets_of(names: DataFrame, label: str) -> DataFrame:
-        # Written first, so that Spark knows its size: a small one is broadcast and no text crosses the network.
         wanted = materialise(names.distinct().join(sketches.select("_set", "_tag"), "_set").select("_set", "_tag"), label + "-wanted")
-        narrow = docs.select("_tag", quoted(text).alias("_text")).join(wanted, "_tag").select("_set", "_text")
+        possible = _possible(docs.select("_tag", quoted(text).alias("_text")), wanted)
+        narrow = possible.join(wanted.hint("shuffle_merge"), "_tag").select("_set", "_text")  # one plan at every size
         return materialise(narrow.mapInArrow(_sets, "_set long, _hashes binary"), label)
 
     met = sets_of(led.select(F.col("a").alias("_set")).union(led.select("b")), "near-sets")
@@ -253,6 +276,7 @@ def links(docs: DataFrame, sketches: DataFrame, *, text: str, block: int, block_
     again = named.join(open_buckets, "_key").select("_key", F.explode(pair).alias("_part"), "_set", "_group").join(wide, "_set")
     again = again.repartition("_key", "_part").sortWithinPartitions("_key", "_part").select("_key", "_part", "_set", "_group", *_WIDE)
     flagged = materialise(again.mapInArrow(_apart, "_key long, _part long, _set long, _group long"), "near-apart")
+    flagged = materialise(_once(flagged), "near-once")
     asked = sets_of(flagged.select("_set"), "near-asked")
     # Long texts have large sets: a bucket of many bytes is dealt into shares, and every two shares meet, as blocks do above.
     sizes = asked.select("_set", F.octet_length("_hashes").alias("_bytes"))
