@@ -52,6 +52,18 @@ def test_each_stage_takes_effect(spark, stages):
     assert {r["doc_id"] for r in rows} == set(left) and all(r["exact"] and r["n_tokens"] == len(r["ids"]) for r in rows)
 
 
+def test_a_stage_deletes_what_the_one_before_has_left_unless_it_reads_it(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    good = p.quality_rules(spark, docs, SF)
+    left = set(shared.written()) & p._left
+    assert left
+    lazily = p.near_dedup(spark, good, SF)  # reads the first stage's tables: they stay
+    assert lazily.count() > 0
+    kept = shared.materialise(lazily, "test-kept")
+    p.benchmark_decontamination(spark, kept, SF).count()
+    assert not left & set(shared.written()) and kept.count() > 0
+
+
 def test_run_and_registration(spark, stages):
     assert {r["doc_id"] for r in p.run(spark, SF).select("doc_id").collect()} == {r["doc_id"] for r in stages[-1][2].collect()}
     names = entry.queries()
