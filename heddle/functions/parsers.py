@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from heddle.functions.text import WHITE_SPACE, col, let, occurrences, strip, unix_newlines
 
@@ -19,20 +22,62 @@ DIALECTS = ("mariadb", "mysql", "postgresql", "sqlite")
 OPERATIONS = ("alter", "create", "delete", "drop", "insert", "select", "update")
 REQUIRED_KEYS = ("constraints", "dialect", "operation", "table")
 TAGS = ("think", "tool_call", "tool_response", "code")
+EDITS = T.ArrayType(T.StructType([T.StructField(c, T.StringType()) for c in ("search", "replace", "path")]))
+# The parts of EDIT's optional head: white space, letters of a path's last part, words before it, and the whole head.
+_SPACE, _NAME, _WORDS = " \t\n\x0b\x0c\r", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_.-", ("File", "Path", "Target", "===")
+_HEAD = re.compile(r"(?:File|Path|Target|===)?[ \t\n\x0b\x0c\r]*[:\[]?([^\n<>\[\]]+\.[a-zA-Z0-9_.-]+)[\]:]?[ \t\n\x0b\x0c\r]*\n\Z")
+
+
+def _path(gap: str) -> str | None:
+    """Path before a block, of the text between it and the block before: what :data:`EDIT` finds there.
+
+    Everything in the optional head has one place: the white space that ends the gap, the line before it, the white space and the
+    word before that line. So the place at which the head begins is known, and the expression is tried there only.
+    """
+    if not gap.endswith("\n"):
+        return None
+    end = len(gap.rstrip(_SPACE))
+    end -= end > 0 and gap[end - 1] in "]:"
+    start = max(gap.rfind(c, 0, end) for c in "\n<>[]") + 1
+    line = gap[start:end]
+    if line.find(".", max(1, len(line.rstrip(_NAME))), len(line) - 1) < 0:
+        return None
+    if start and gap[start - 1] in "[\n":
+        before = gap[: start - (gap[start - 1] == "[")].rstrip(_SPACE)
+        start = len(before) - next((len(w) for w in _WORDS if before.endswith(w)), 0)
+    found = _HEAD.match(gap, start)
+    return found[1].strip(WHITE_SPACE) or None if found else None
+
+
+def _edits(text: str) -> list[tuple[str, str, str | None]]:
+    """(search, replace, path) of each block: the marks are sought one after the other, each from where the last one ended."""
+    out, at = [], 0
+    while True:
+        a = text.find("<search>", at)
+        b = text.find("<replace>", a + 8) if a >= 0 else -1
+        c = text.find("<diff_end>", b + 9) if b >= 0 else -1
+        if c < 0:
+            return out
+        inner = (text[a + 8 : b], text[b + 9 : c])
+        search, replace = (x.removeprefix("\n").removesuffix("\n").replace("\r\n", "\n") for x in inner)
+        out.append((search, replace, _path(text[at:a])))
+        at = c + 10
+
+
+@F.udf(EDITS, useArrow=True)
+def _parsed(text: str | None) -> list[tuple[str, str, str | None]] | None:
+    return None if text is None else _edits(text)
 
 
 def parse_edits(text: Column | str) -> Column:
-    """Edits of a text as an array of (search, replace, path); the path is null where none precedes the block."""
-    found = lambda k: F.regexp_extract_all(col(text), F.lit(EDIT), F.lit(k))
-    zipped = F.arrays_zip(found(1).alias("p"), found(2).alias("s"), found(3).alias("r"))
-    return F.transform(
-        zipped,
-        lambda e: F.struct(
-            unix_newlines(e["s"]).alias("search"),
-            unix_newlines(e["r"]).alias("replace"),
-            F.nullif(strip(e["p"]), F.lit("")).alias("path"),
-        ),
-    )
+    """Edits of a text as an array of (search, replace, path); the path is null where none precedes the block.
+
+    The blocks that :data:`EDIT` finds, in time that grows with the text: as one expression it is tried at every character of a
+    line and reads on to the line's end. Only texts with the first mark leave the engine.
+    """
+    t = col(text)
+    marked = F.contains(t, F.lit("<search>"))
+    return F.when(marked, _parsed(F.when(marked, t))).when(~marked, F.array().cast(EDITS))
 
 
 def _applied(source: Column, search: Column, replace: Column) -> Column:

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from heddle.functions import parsers, prompts, vectors, verify
+from heddle.functions.text import strip
 from heddle.plans.snippets import CALLS
 
 
@@ -22,6 +24,22 @@ def test_edit_with_and_without_path(spark):
     assert bare[0].path is None and one(spark, "none", parsers.parse_edits) == []
 
 
+def test_edits_are_found_as_the_expression_finds_them(spark):
+    r = random.Random(5)
+    parts = ["<search>", "<replace>", "<diff_end>", "\n", "\n", "\r\n", " ", "\x0b", "[", "]", ":", ".", "..", "a.py", "File", "Path", "===", "src/b", "<", ">", "é", "Target: "]
+    texts = ["".join(r.choices(parts, k=r.randint(1, 14))) for _ in range(3000)]
+    head = ["", "x", "\n", "File", "===", "Target", "[", ":", "]", "a.b", "..", ".c", " ", "\n \n", "d-e_f.g", "\x85", "é.ts"]
+    texts += ["".join(r.choices(head, k=r.randint(1, 7))) + r.choice(["", "\n", ":\n", "]\n", " \n"]) + "<search>\n1\n<replace>2\r\n<diff_end>" * r.randint(1, 2) for _ in range(6000)]
+    df = spark.createDataFrame([(t,) for t in [*texts, None]], "c string").repartition(4)
+    found = lambda k: F.regexp_extract_all("c", F.lit(parsers.EDIT), F.lit(k))
+    shown = F.transform(F.arrays_zip(found(2).alias("s"), found(3).alias("r"), found(1).alias("p")), lambda e: F.struct(
+        F.replace(e["s"], F.lit("\r\n"), F.lit("\n")).alias("search"), F.replace(e["r"], F.lit("\r\n"), F.lit("\n")).alias("replace"),
+        F.nullif(strip(e["p"]), F.lit("")).alias("path")))
+    both = df.select("c", parsers.parse_edits("c").alias("got"), shown.alias("want")).cache()
+    assert both.where(~F.col("got").eqNullSafe(F.col("want"))).take(3) == []
+    assert both.where(F.exists("got", lambda e: e["path"].isNotNull())).count() > 300
+
+
 @pytest.mark.parametrize(
     "source,search,replace,result,error",
     [("x = 1", "1", "2", "x = 2", None), ("x", "y", "z", None, "not found"), ("a a", "a", "b", None, "matched 2 locations"), ("a", "", "b", None, "empty"), ("a\r\nb", "a\nb", "c", "c", None)],
