@@ -82,28 +82,32 @@ def parse_edits(text: Column | str) -> Column:
 
 def _applied(source: Column, search: Column, replace: Column) -> Column:
     """One edit of normalised texts: a struct of the result or the error."""
+
+    def checked(count: Column) -> Column:
+        at = F.instr(source, search)
+        # The built-in replaces every occurrence; there is exactly one here.
+        done = F.concat(F.substring(source, F.lit(1), at - 1), replace, F.substring(source, at + F.length(search), F.length(source)))
+        error = (
+            F.when(search == "", F.lit("Search block is empty."))
+            .when(count == 0, F.concat(F.lit("Search block not found in source text.\nSearch block:\n"), search))
+            .when(
+                count > 1,
+                F.concat(
+                    F.lit("Search block matched "), count.cast("string"),
+                    F.lit(" locations in source text. Must match uniquely to avoid ambiguous edits.\nSearch block:\n"), search,
+                ),
+            )
+        )
+        return let(error, lambda e: F.struct(e.isNull().alias("ok"), F.when(e.isNull(), done).alias("result"), e.alias("error")))
+
     size = F.greatest(F.length(search), F.lit(1))
-    count = ((F.length(source) - F.length(F.replace(source, search, F.lit("")))) / size).cast("int")
-    at = F.instr(source, search)
-    # The built-in replaces every occurrence; there is exactly one here.
-    done = F.concat(F.substring(source, F.lit(1), at - 1), replace, F.substring(source, at + F.length(search), F.length(source)))
-    error = (
-        F.when(search == "", F.lit("Search block is empty."))
-        .when(count == 0, F.concat(F.lit("Search block not found in source text.\nSearch block:\n"), search))
-        .when(
-            count > 1,
-            F.concat(
-                F.lit("Search block matched "), count.cast("string"),
-                F.lit(" locations in source text. Must match uniquely to avoid ambiguous edits.\nSearch block:\n"), search,
-            ),
-        )
-    )
-    return F.struct(error.isNull().alias("ok"), F.when(error.isNull(), done).alias("result"), error.alias("error"))
+    return let(((F.length(source) - F.length(F.replace(source, search, F.lit("")))) / size).cast("int"), checked)
 
 
 def apply_edit(source: Column | str, search: Column | str, replace: Column | str) -> Column:
     """Replace the one occurrence of ``search``: (ok, result, error). None, several and an empty search are errors."""
-    return _applied(unix_newlines(source), unix_newlines(search), unix_newlines(replace))
+    texts = F.struct(unix_newlines(source).alias("s"), unix_newlines(search).alias("f"), unix_newlines(replace).alias("r"))
+    return let(texts, lambda t: _applied(t["s"], t["f"], t["r"]))
 
 
 def apply_edits(source: Column | str, edits_text: Column | str) -> Column:
@@ -111,8 +115,8 @@ def apply_edits(source: Column | str, edits_text: Column | str) -> Column:
     start = F.struct(col(source).alias("text"), F.lit(None).cast("string").alias("error"))
 
     def step(acc: Column, edit: Column) -> Column:
-        tried = _applied(unix_newlines(acc["text"]), edit["search"], edit["replace"])
-        after = F.struct(F.coalesce(tried["result"], acc["text"]).alias("text"), tried["error"].alias("error"))
+        tried = let(unix_newlines(acc["text"]), lambda source: _applied(source, edit["search"], edit["replace"]))
+        after = let(tried, lambda t: F.struct(F.coalesce(t["result"], acc["text"]).alias("text"), t["error"].alias("error")))
         return F.when(acc["error"].isNotNull(), acc).otherwise(after)
 
     def run(edits: Column) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -40,6 +41,17 @@ def test_edits_are_found_as_the_expression_finds_them(spark):
     assert both.where(F.exists("got", lambda e: e["path"].isNotNull())).count() > 300
 
 
+def test_long_lines_around_edits_take_no_time(spark):
+    line, many = "a b.c " * 40_000, 20_000
+    texts = [line, f"{line}\n<search>\nx\n<replace>\ny\n<diff_end>", "<search>" * many + "<replace>" * many, "." * 4 * many + "\n<search>1<replace>2<diff_end>"]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
+    began = time.monotonic()
+    got = {row["k"]: row for row in df.select("k", parsers.parse_edits("t").alias("e"), parsers.apply_edits(F.lit("x 1"), "t").alias("x")).collect()}
+    assert time.monotonic() - began < 30
+    assert [len(got[k]["e"]) for k in range(4)] == [0, 1, 0, 1]
+    assert got[1]["e"][0].path == line.strip() and got[1]["x"].result == "y 1" and got[3]["x"].result == "x 2" and not got[0]["x"].ok
+
+
 @pytest.mark.parametrize(
     "source,search,replace,result,error",
     [("x = 1", "1", "2", "x = 2", None), ("x", "y", "z", None, "not found"), ("a a", "a", "b", None, "matched 2 locations"), ("a", "", "b", None, "empty"), ("a\r\nb", "a\nb", "c", "c", None)],
