@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import os
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from typing import TYPE_CHECKING
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from heddle.sources.shared import materialise
 
+if TYPE_CHECKING:
+    from tokenizers import Tokenizer
+
 # Fixed value: special tokens in the order of their ids.
 SPECIAL_TOKENS = (
     "<pad>", "<bos>", "<eos>", "<unk>", "<think>", "</think>", "<tool_call>", "</tool_call>", "<tool_response>", "</tool_response>",
@@ -19,6 +25,8 @@ SPECIAL_TOKENS = (
 )
 #: A pre-token: an optional space and letters, digits or marks, or white space.
 PRE_TOKEN = r" ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+"
+#: Characters that are encoded in one go, and tokens that are decoded in one go.
+TOGETHER = 1 << 20
 
 
 def special_ids() -> dict[str, int]:
@@ -33,6 +41,7 @@ def pre_token_counts(df: DataFrame, content: str, min_frequency: int = 2) -> Dat
 
 @lru_cache(maxsize=4)
 def _load(path: str):
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark deals out the cores
     from tokenizers import Tokenizer
 
     out = Tokenizer.from_file(path)
@@ -41,6 +50,25 @@ def _load(path: str):
     return out
 
 
+def _slices(sizes: Iterable[int]) -> Iterator[slice]:
+    """Neighbours whose sizes sum up to :data:`TOGETHER` at most, or one that is larger."""
+    low, total, at = 0, 0, 0
+    for size in sizes:
+        if at > low and total + size > TOGETHER:
+            yield slice(low, at)
+            low, total = at, 0
+        at, total = at + 1, total + size
+    if at > low:
+        yield slice(low, at)
+
+
+def encoded(own: Tokenizer, texts: pd.Series) -> Iterator[pd.Series]:
+    """Ids of the texts, as parts of a series: the library keeps some 100 bytes a token until a part is done."""
+    for part in _slices(0 if t is None else len(t) for t in texts):
+        found = iter(own.encode_batch([t for t in texts[part] if t is not None], add_special_tokens=False))
+        yield pd.Series([None if t is None else np.array(next(found).ids, np.int32) for t in texts[part]], dtype=object)
+
+
 def encode(content: Column | str, path: str) -> Column:
     """Token ids by the tokenizer file at ``path``, which every executor must be able to read; null gives null."""
 
@@ -48,8 +76,7 @@ def encode(content: Column | str, path: str) -> Column:
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own = _load(path)
         for part in texts:
-            found = iter(own.encode_batch([t for t in part if t is not None], add_special_tokens=False))
-            yield pd.Series([None if t is None else next(found).ids for t in part])
+            yield from encoded(own, part)
 
     return run(content)
 
@@ -58,8 +85,9 @@ def decode(ids: Column | str, path: str, skip_special: bool = True) -> Column:
     @F.pandas_udf("string")
     def run(lists: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own = _load(path)
-        for part in lists:
-            yield part.map(lambda x: None if x is None else own.decode(list(map(int, x)), skip_special_tokens=skip_special))
+        for whole in lists:
+            for part in _slices(0 if x is None else len(x) for x in whole):
+                yield whole[part].map(lambda x: None if x is None else own.decode(x.tolist(), skip_special_tokens=skip_special))
 
     return run(ids)
 

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from heddle.operators import blocks, correct, estimates, filtering, memory, nearest, probes
+from heddle.operators import blocks, correct, estimates, filtering, memory, nearest, probes, tokenizer
 from heddle.sources import hub, teacher
 
 
@@ -110,3 +111,27 @@ def test_folders():
     assert [hub.folder_of(n) for n in ("javascript", "typescript", "python", "vue", "css", "html", "markdown", "json", "yaml", "scss")] == [
         "JavaScript", "TypeScript", "Python", "Vue", "CSS", "HTML", "Markdown", "JSON", "YAML", "scss",
     ]
+
+
+def test_texts_are_encoded_in_bounded_parts(spark, monkeypatch):
+    from public_tokenizers import path
+
+    file, most = path("byte_bpe_50k.json"), []
+    own = tokenizer._load(file)
+
+    class Watched:
+        def encode_batch(self, texts, add_special_tokens):
+            most.append(sum(map(len, texts)))
+            return own.encode_batch(texts, add_special_tokens=add_special_tokens)
+
+    monkeypatch.setattr(tokenizer, "TOGETHER", 1000)
+    r = random.Random(3)
+    texts = [None, "", *("ab é \U0001f600\n" * r.randint(0, 60) for _ in range(200)), "x" * 5000, None, "end"]
+    found = pd.concat(list(tokenizer.encoded(Watched(), pd.Series(texts))))
+    want = [None if t is None else own.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [None if x is None else x.tolist() for x in found] == want
+    assert len(most) > 50 and sorted(most)[-2] <= 1000 and max(most) == 5000
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string").repartition(3)
+    ids = df.select("k", "t", tokenizer.encode("t", file).alias("ids"))
+    got = {x["k"]: x for x in ids.select("k", "t", "ids", tokenizer.decode("ids", file, skip_special=False).alias("back")).collect()}
+    assert [got[k]["ids"] for k in range(len(texts))] == want and [got[k]["back"] for k in range(len(texts))] == texts
