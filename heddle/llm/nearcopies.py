@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -112,21 +112,16 @@ def similar(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        names, wide, keys = [], [], []
+        names, wide, keys, sizes = [], [], [], []
         for t in batch.column("_text"):
             found = shingles(t.as_py())
             names.append(xxhash.xxh64_intdigest(found.tobytes(), SEED))
             wide.append(wide_print(found).view(np.int64))
             keys.append(band_keys(found).view(np.int64))
+            sizes.append(found.nbytes)
         columns = [pa.array(np.array(names, np.uint64).view(np.int64)), *(pa.array(c) for c in np.array(wide).reshape(-1, WORDS).T.copy())]
-        made = [*columns, pa.array(keys, pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays([batch.column("_tag"), batch.column("_k"), *made], ["_tag", "_k", "_set", *_WIDE, "_keys"])
-
-
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        raw = [shingles(t.as_py()).tobytes() for t in batch.column("_text")]
-        yield pa.RecordBatch.from_arrays([batch.column("_set"), pa.array(raw, pa.binary())], ["_set", "_hashes"])
+        made = [*columns, pa.array(keys, pa.list_(pa.int64())), pa.array(sizes, pa.int64())]
+        yield pa.RecordBatch.from_arrays([batch.column("_tag"), batch.column("_k"), *made], ["_tag", "_k", "_set", *_WIDE, "_keys", "_bytes"])
 
 
 def _buckets(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[list[np.ndarray]]:
@@ -202,18 +197,20 @@ def join_groups(groups: np.ndarray, sets: list[np.ndarray], forest: Forest) -> N
 
 def _join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     forest = Forest()
-    for _, _, groups, raw in _buckets(batches, ["_key", "_part", "_group", "_hashes"]):
-        join_groups(groups.astype(np.int64), [np.frombuffer(r, np.uint64) for r in raw], forest)
+    for _, _, groups, texts in _buckets(batches, ["_key", "_part", "_group", "_text"]):
+        join_groups(groups.astype(np.int64), [shingles(t) for t in texts], forest)
     yield from _pairs(forest.links())
 
 
 def _checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links whose two sets are similar."""
+    """Links whose two sets are similar; the links of one leader mostly follow each other."""
+    last, led = None, np.array([], np.uint64)
     for batch in batches:
-        good = [
-            bool(similar(np.frombuffer(x.as_buffer(), np.uint64), [np.frombuffer(y.as_buffer(), np.uint64)])[0])
-            for x, y in zip(batch.column("_x"), batch.column("_y"), strict=True)
-        ]
+        good = []
+        for b, x, y in zip(batch.column("b").to_pylist(), batch.column("_x"), batch.column("_y"), strict=True):
+            if b != last:
+                last, led = b, shingles(y.as_py())
+            good.append(bool(similar(shingles(x.as_py()), [led])[0]))
         yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(good)) for c in "ab"], ["a", "b"])
 
 
@@ -232,6 +229,17 @@ def _possible(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """
     place = F.pmod(F.xxhash64("_tag"), F.lit(FILTER_BITS))
     bits = wanted.select(place.alias("_at")).groupBy(F.bitmap_bucket_number("_at").alias("_bitmap")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_at")).alias("_bits"))
+    return _marked(rows, place, bits)
+
+
+def _tagged(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``rows`` whose tag is wanted: one bit a tag is broadcast, so the rows, with their texts, stay where they are."""
+    placed = wanted.select(F.bitmap_bucket_number("_tag").alias("_bitmap"), F.bitmap_bit_position("_tag").alias("_at")).repartition("_bitmap")
+    return _marked(rows, F.col("_tag"), placed.groupBy("_bitmap").agg(F.bitmap_construct_agg("_at").alias("_bits")))
+
+
+def _marked(rows: DataFrame, place: Column, bits: DataFrame) -> DataFrame:
+    """``rows`` whose place is set in the bitmaps (_bitmap, _bits)."""
     placed = rows.withColumn("_at", place).withColumns({"_bitmap": F.bitmap_bucket_number("_at"), "_bit": F.bitmap_bit_position("_at")})
     byte = F.conv(F.hex(F.substring("_bits", (F.floor(F.col("_bit") / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
     on = F.getbit(byte, (F.col("_bit") % 8).cast("int")) == 1
@@ -255,14 +263,15 @@ def links(docs: DataFrame, sketches: DataFrame, *, text: str, block: int, block_
     dealt = members.join(wide, "_set").repartition("_key", "_part").sortWithinPartitions("_key", "_part")
     led = materialise(dealt.select("_key", "_part", "_set", *_WIDE).mapInArrow(_follow, "a long, b long").distinct(), "near-led")
 
-    def sets_of(names: DataFrame, label: str) -> DataFrame:
-        wanted = materialise(names.distinct().join(sketches.select("_set", "_tag"), "_set").select("_set", "_tag"), label + "-wanted")
+    # A set travels as its text, of which its hashes, 8 bytes a word that do not compress, are made again where they are compared.
+    def texts_of(names: DataFrame, label: str) -> DataFrame:
+        wanted = materialise(names.distinct().join(sketches.select("_set", "_tag", "_bytes"), "_set").select("_set", "_tag", "_bytes"), label + "-wanted")
         possible = _possible(docs.select("_tag", quoted(text).alias("_text")), wanted)
-        narrow = possible.join(wanted.hint("shuffle_merge"), "_tag").select("_set", "_text")  # one plan at every size
-        return materialise(narrow.mapInArrow(_sets, "_set long, _hashes binary"), label)
+        narrow = possible.join(wanted.hint("shuffle_merge"), "_tag").select("_set", "_bytes", "_text")  # one plan at every size
+        return materialise(narrow, label)
 
-    met = sets_of(led.select(F.col("a").alias("_set")).union(led.select("b")), "near-sets")
-    x, y = (met.select(F.col("_set").alias(c), F.col("_hashes").alias(h)) for c, h in (("a", "_x"), ("b", "_y")))
+    met = texts_of(led.select(F.col("a").alias("_set")).union(led.select("b")), "near-sets")
+    x, y = (met.select(F.col("_set").alias(c), F.col("_text").alias(h)) for c, h in (("a", "_x"), ("b", "_y")))
     sure = led.join(x, "a").join(y, "b").select("a", "b", "_x", "_y").mapInArrow(_checked, "a long, b long")
     groups = connected_components(sure)
 
@@ -277,17 +286,17 @@ def links(docs: DataFrame, sketches: DataFrame, *, text: str, block: int, block_
     again = again.repartition("_key", "_part").sortWithinPartitions("_key", "_part").select("_key", "_part", "_set", "_group", *_WIDE)
     flagged = materialise(again.mapInArrow(_apart, "_key long, _part long, _set long, _group long"), "near-apart")
     flagged = materialise(_once(flagged), "near-once")
-    asked = sets_of(flagged.select("_set"), "near-asked")
+    asked = texts_of(flagged.select("_set"), "near-asked")
     # Long texts have large sets: a bucket of many bytes is dealt into shares, and every two shares meet, as blocks do above.
-    sizes = asked.select("_set", F.octet_length("_hashes").alias("_bytes"))
+    sizes = asked.select("_set", "_bytes")
     shares = F.ceil(F.sum("_bytes") / block_bytes).alias("_m")
     loads = flagged.join(sizes, "_set").groupBy("_key", "_part").agg(shares)
     share = F.pmod(F.xxhash64("_set", F.lit(1)), F.col("_m"))
     two = F.transform(F.sequence(F.lit(0).cast("long"), F.col("_m") - 1), lambda b: F.least(share, b) * F.col("_m") + F.greatest(share, b))
     split = flagged.join(loads, ["_key", "_part"]).select("_key", "_part", "_set", "_group", F.explode(two).alias("_two"))
     named_part = (F.col("_part") * (1 << 24) + F.col("_two")).alias("_part")
-    last = split.select("_key", named_part, "_set", "_group").join(asked, "_set").repartition("_key", "_part").sortWithinPartitions("_key", "_part")
-    joined = connected_components(last.select("_key", "_part", "_group", "_hashes").mapInArrow(_join, "a long, b long"))
+    last = split.select("_key", named_part, "_set", "_group").join(asked.select("_set", "_text"), "_set").repartition("_key", "_part").sortWithinPartitions("_key", "_part")
+    joined = connected_components(last.select("_key", "_part", "_group", "_text").mapInArrow(_join, "a long, b long"))
     labels = sketches.select(F.col("_set").alias("node")).join(groups, "node", "left").select("node", F.coalesce("root", "node").alias("_group"))
     final = labels.join(joined.select(F.col("node").alias("_group"), F.col("root").alias("_root")), "_group", "left")
     return final.select("node", F.coalesce("_root", "_group").alias("root"))
@@ -307,7 +316,7 @@ def keep_one(docs: DataFrame, *, key: str = "doc_id", text: str = "text", block:
         kind = docs.schema[key].dataType
         narrow = tagged.select("_tag", quoted(key).alias("_k"), quoted(text).alias("_text"))
         longs = [T.StructField(c, T.LongType()) for c in ("_set", *_WIDE)]
-        schema = T.StructType([T.StructField("_tag", T.LongType()), T.StructField("_k", kind), *longs, T.StructField("_keys", T.ArrayType(T.LongType()))])
+        schema = T.StructType([T.StructField("_tag", T.LongType()), T.StructField("_k", kind), *longs, T.StructField("_keys", T.ArrayType(T.LongType())), T.StructField("_bytes", T.LongType())])
         prints = materialise(narrow.mapInArrow(_sketches, schema), "near-prints")
         # Rows of one set, a mass of copies as well, are only ever summed up partially.
         order = F.struct(F.col("_k").isNull().alias("_null"), "_k", "_tag")
@@ -316,4 +325,4 @@ def keep_one(docs: DataFrame, *, key: str = "doc_id", text: str = "text", block:
         rooted = firsts.join(links(tagged, sketches, text=text, block=block, block_bytes=block_bytes), F.col("_set") == F.col("node"))
         kept = rooted.groupBy("root").agg(F.min("_at")["_tag"].alias("_tag")).select("_tag")
         kept = materialise(kept, "near-kept", lasting=True)
-    return tagged.join(kept, "_tag", "left_semi").select(*[quoted(c) for c in docs.columns])
+    return _tagged(tagged, kept).select(*[quoted(c) for c in docs.columns])

@@ -91,3 +91,28 @@ def test_similar_sets_lie_within_the_radius():
             other = base.copy()
             other[: size // 9] = r.integers(0, 1 << 64, size // 9, np.uint64)  # similarity 0.8
             assert nearcopies.near(nearcopies.wide_print(base), nearcopies.wide_print(other)[None], nearcopies.RADIUS)[0]
+
+
+def test_sets_travel_as_texts_and_link_as_before(spark, monkeypatch):
+    """No table between the steps holds hashes of whole texts, which take over twice the room of the texts."""
+    kinds, write = {}, nearcopies.materialise
+    monkeypatch.setattr(nearcopies, "materialise", lambda df, label, **more: kinds.setdefault(label, dict(df.dtypes)) and write(df, label, **more))
+    words = [f"w{k}" for k in range(100)]
+    rows = [(k, " ".join([*words[: 98 - k], "x", *words[99 - k :]])) for k in range(8)] + [(20, " ".join(words[::-1])), (21, None), (22, "")]
+    got = nearcopies.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert sorted(row["doc_id"] for row in got.collect()) == [0, 20, 21]
+    assert kinds["near-sets"]["_text"] == kinds["near-asked"]["_text"] == "string"
+    assert not any(kind == "binary" for table in kinds.values() for kind in table.values())
+
+
+def test_kept_rows_are_not_sent(spark):
+    """The result's plan moves tags and bitmaps, never a text, also where no table is small enough to be broadcast by itself."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = nearcopies.keep_one(spark.createDataFrame([(k, f"text {k // 2}") for k in range(40)], "doc_id long, text string").repartition(3))
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert sorted(row["doc_id"] for row in got.collect()) == list(range(0, 40, 2))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
